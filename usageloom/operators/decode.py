@@ -23,27 +23,26 @@ def carry_context(records: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
     model is the last one named so far; where that is not a known model, the
     file's first known one.
     """
-    marked = records.withColumn("known_context_model", known_model(F.col("context_model")))
     carried = carry_along(
-        marked,
+        records.select(
+            "path", "line_no", "event_ts", "session_meta_id", "context_model", "cumulative"
+        ),
         "path",
         "line_no",
         last=("session_meta_id", "context_model"),
         previous=("cumulative",),
-        first=("known_context_model",),
+        first={"known_model": known_model(F.col("context_model"))},
         segment_rows=segment_rows,
     )
     return carried.select(
         "path",
         "line_no",
-        "kind",
         "event_ts",
-        "error",
         "cumulative",
         "previous_cumulative",
         F.coalesce("last_session_meta_id", file_stem(F.col("path"))).alias("session_id"),
         backfill_model(
-            F.coalesce("last_context_model", F.lit(UNKNOWN)), F.col("first_known_context_model")
+            F.coalesce("last_context_model", F.lit(UNKNOWN)), F.col("first_known_model")
         ).alias("model"),
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one series that one task handles together.
@@ -15,14 +17,14 @@ def carry_along(
     position: str,
     last: tuple[str, ...] = (),
     previous: tuple[str, ...] = (),
-    first: tuple[str, ...] = (),
+    first: Mapping[str, Column] | None = None,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Add ``last_<c>``, ``previous_<c>`` and ``first_<c>``.
+    """Add ``last_<c>``, ``previous_<c>`` and ``first_<name>``.
 
     ``last`` is the newest non-null value up to and including the row,
     ``previous`` the newest one strictly before it, and ``first`` the first
-    non-null value of the whole series.
+    non-null value of an expression in the whole series.
 
     A series is cut into segments by position, so that no task holds more than
     ``segment_rows`` positions of a long file. Each segment hands its end state
@@ -30,9 +32,14 @@ def carry_along(
     segment could not see itself.
     """
     carried = tuple(dict.fromkeys((*last, *previous)))
+    first = first or {}
     columns = rows.columns
-    cut = rows.withColumn("_segment", F.floor(F.col(position) / segment_rows)).repartition(
-        series, "_segment"
+    # The join below needs non-null keys; saying so here gives both of its sides
+    # the same filter, and so the same shuffle.
+    cut = (
+        rows.withColumn("_segment", F.floor(F.col(position) / segment_rows))
+        .filter(F.col(series).isNotNull() & F.col("_segment").isNotNull())
+        .repartition(series, "_segment")
     )
     inside = Window.partitionBy(series, "_segment").orderBy(position)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -43,12 +50,12 @@ def carry_along(
         *[F.last(c, True).over(before).alias(f"_p_{c}") for c in previous],
     )
     # Taking the whole last row keeps both uses of the shuffle identical, so it
-    # is written once and read twice.
+    # is written once and read twice. Pass only columns that are used later.
     tails = local.groupBy(series, "_segment").agg(
         F.max_by(F.struct(*local.columns), position).alias("_tail"),
         *[
-            F.min_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_h_{c}")
-            for c in first
+            F.min_by(value, F.when(value.isNotNull(), F.col(position))).alias(f"_h_{name}")
+            for name, value in first.items()
         ],
     )
     segments = Window.partitionBy(series).orderBy("_segment")

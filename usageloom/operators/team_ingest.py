@@ -20,10 +20,54 @@ ARRIVAL = ("received_at", "envelope_id", "position")
 
 @dataclass(frozen=True)
 class IngestRun:
-    """Rows to append, and one result per envelope."""
-
-    new_events: DataFrame
-    results: DataFrame
+    """The accepted events of a batch, and what is needed to report on it."""
+
+    checked: DataFrame
+    screened: DataFrame
+    accepted: DataFrame
+
+    @property
+    def new_events(self) -> DataFrame:
+        """Rows to append to the fact."""
+        return self.accepted.select(*TEAM_EVENT_COLUMNS)
+
+    @property
+    def results(self) -> DataFrame:
+        return self.results_given(self.accepted)
+
+    def results_given(self, accepted: DataFrame) -> DataFrame:
+        """One result per envelope, from the accepted events or their stored copy.
+
+        Duplicates are valid less accepted, so copies of a hot key meet in an
+        aggregate and never in one task's window.
+        """
+        present = F.col("event_text_present")
+        tallies = self.screened.groupBy("envelope_id").agg(
+            F.count_if(present).alias("event_count"),
+            F.count_if(present & F.col("reject_reason").isNotNull()).alias("rejected"),
+        )
+        counted = accepted.groupBy("envelope_id").agg(F.count(F.lit(1)).alias("accepted"))
+        zero = F.lit(0).cast("bigint")
+        duplicate = (
+            F.coalesce("event_count", zero)
+            - F.coalesce("rejected", zero)
+            - F.coalesce("accepted", zero)
+        )
+        return (
+            self.checked.join(tallies, "envelope_id", "left")
+            .join(counted, "envelope_id", "left")
+            .select(
+                "envelope_id",
+                "token_hash",
+                *[F.col(f"bound_{c}").alias(c) for c in DEVICE],
+                "uploaded_at",
+                "code",
+                F.coalesce("event_count", zero).alias("event_count"),
+                F.coalesce("accepted", zero).alias("accepted"),
+                duplicate.alias("duplicate"),
+                F.coalesce("rejected", zero).alias("rejected"),
+            )
+        )
 
 
 def check_envelopes(envelopes: DataFrame, registry: DataFrame) -> DataFrame:
@@ -46,48 +90,45 @@ def attribute_events(screened: DataFrame, zone: str) -> DataFrame:
     )
 
 
-def ingest_team_batch(
-    envelopes: DataFrame, registry: DataFrame, stored: DataFrame, zone: str
-) -> IngestRun:
-    """Guard, screen and attribute a batch, and find its new events.
+def screened_batch(checked: DataFrame) -> DataFrame:
+    """Events of the envelopes that passed, each with its reject reason or none.
 
-    The first arrival of a new key is accepted, later ones are duplicates.
-    Duplicates are counted as valid less accepted, so copies of a hot key meet
-    in an aggregate and never in one task's window.
+    The raw event text ends here; only canonical columns go on.
     """
-    checked = check_envelopes(envelopes, registry)
-    screened = screen_events(envelope_events(checked.filter(F.col("code") == "ok")))
+    events = envelope_events(checked.filter(F.col("code") == "ok"))
     present = F.col("event_text").isNotNull()
-    valid = screened.filter(present & F.col("reject_reason").isNull())
-    fresh = insert_new_events(
-        attribute_events(valid, zone), stored, key=EVENT_IDENTITY, order=ARRIVAL
-    )
-    tallies = screened.groupBy("envelope_id").agg(
-        F.count_if(present).alias("event_count"),
-        F.count_if(present & F.col("reject_reason").isNotNull()).alias("rejected"),
-    )
-    accepted = fresh.groupBy("envelope_id").agg(F.count(F.lit(1)).alias("accepted"))
-    zero = F.lit(0).cast("bigint")
-    results = (
-        checked.join(tallies, "envelope_id", "left")
-        .join(accepted, "envelope_id", "left")
+    return (
+        screen_events(events)
+        .withColumn("event_text_present", present)
         .select(
             "envelope_id",
-            "token_hash",
-            *[F.col(f"bound_{c}").alias(c) for c in DEVICE],
+            "position",
             "uploaded_at",
-            "code",
-            F.coalesce("event_count", zero).alias("event_count"),
-            F.coalesce("accepted", zero).alias("accepted"),
-            (
-                F.coalesce("event_count", zero)
-                - F.coalesce("rejected", zero)
-                - F.coalesce("accepted", zero)
-            ).alias("duplicate"),
-            F.coalesce("rejected", zero).alias("rejected"),
+            *[f"bound_{c}" for c in DEVICE],
+            *[c for c in EVENT_COLUMNS if c != "local_date"],
+            "reject_reason",
+            "event_text_present",
         )
     )
-    return IngestRun(fresh.select(*TEAM_EVENT_COLUMNS), results)
+
+
+def ingest_checked(
+    checked: DataFrame, screened: DataFrame, stored: DataFrame, zone: str
+) -> IngestRun:
+    """Find a screened batch's new events; the first arrival of a new key is accepted."""
+    valid = screened.filter(F.col("event_text_present") & F.col("reject_reason").isNull())
+    accepted = insert_new_events(
+        attribute_events(valid, zone), stored, key=EVENT_IDENTITY, order=ARRIVAL
+    )
+    return IngestRun(checked, screened, accepted)
+
+
+def ingest_team_batch(
+    envelopes: DataFrame, registry: DataFrame, stored: DataFrame, zone: str
+) -> IngestRun:
+    """Guard, screen and attribute a batch in one plan, without writing anything."""
+    checked = check_envelopes(envelopes, registry)
+    return ingest_checked(checked, screened_batch(checked), stored, zone)
 
 
 def ledger_rows(results: DataFrame, zone: str, storage_error: str | None = None) -> DataFrame:
