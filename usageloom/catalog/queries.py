@@ -456,20 +456,18 @@ def dedupe_first(spark, sf_dir):
        ELSE input_tokens+k+cached_input_tokens+output_tokens+reasoning_output_tokens END AS total_tokens FROM base"""
 )
 def message_token_normalise(spark, sf_dir):
-    section = F.to_json(
-        F.struct(
-            "input_tokens",
-            F.col("k").alias("cache_creation_input_tokens"),
-            F.col("cached_input_tokens").alias("cache_read_input_tokens"),
-            "output_tokens",
-            "reasoning_output_tokens",
-            F.when(F.col("event_id") % 2 == 0, F.col("total_tokens")).alias("total_tokens"),
-        )
+    raw = {
+        "input_tokens": F.col("input_tokens"),
+        "cache_creation_input_tokens": F.col("k"),
+        "cache_read_input_tokens": F.col("cached_input_tokens"),
+        "output_tokens": F.col("output_tokens"),
+        "reasoning_output_tokens": F.col("reasoning_output_tokens"),
+        "total_tokens": F.when(F.col("event_id") % 2 == 0, F.col("total_tokens")),
+    }
+    counters = message_log.message_token_normalise(raw)
+    return d.usage_base(spark, sf_dir).select(
+        "event_key", *[c.alias(t) for c, t in zip(counters, TOKENS)]
     )
-    rows = d.usage_base(spark, sf_dir).select("event_key", section.alias("section"))
-    return rows.select(
-        "event_key", message_log.message_token_normalise(F.col("section")).alias("t")
-    ).select("event_key", "t.*")
 
 
 @query(

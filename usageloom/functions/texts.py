@@ -1,4 +1,4 @@
-"""Text expressions: blanks, hashes, masks, file names and token counters."""
+"""Text expressions: blanks, hashes, masks, file names and numbers."""
 
 from __future__ import annotations
 
@@ -63,22 +63,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.jsonl$", "")
 
 
-def counter_text(section: Column, name: str) -> Column:
-    """Digits after a counter's name inside one JSON object text, '' when absent."""
-    return F.regexp_extract(section, f'"{name}"\\s*:\\s*([-0-9]*)', 1)
+def leading_digits(text: Column) -> Column:
+    """The digits a JSON value starts with; '' for other values."""
+    return F.regexp_extract(text, "^([-0-9]*)", 1)
 
 
-def counter(section: Column, name: str) -> Column:
-    """Counter value, null when absent or not a number."""
-    return counter_text(section, name).try_cast("bigint")
-
-
-def counter_is_broken(section: Column, *names: str) -> Column:
-    broken = F.lit(False)
-    for name in names:
-        text = counter_text(section, name)
-        broken = broken | ((text != "") & text.try_cast("bigint").isNull())
-    return broken
+def unreadable(digits: Column) -> Column:
+    """Digits are there but make no 64-bit number."""
+    return (digits != "") & digits.try_cast("bigint").isNull()
 
 
 def utf16_length(text: Column) -> Column:

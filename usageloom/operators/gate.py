@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageloom.functions.instants import parse_instant
 from usageloom.functions.texts import (
-    counter,
-    counter_is_broken,
     has_positive_usage,
     is_blank,
     is_known_tool,
+    leading_digits,
     mentions_forbidden,
     or_unknown,
+    unreadable,
     utf16_length,
 )
 from usageloom.model import MAX_ENVELOPE_CHARS, MAX_ENVELOPE_EVENTS, TOKENS, UNKNOWN
 
 EVENT_SCHEMA = (
     "event_key string, tool string, session_id string, model string, timestamp string, "
-    "source_kind string, source_quality string"
+    "source_kind string, source_quality string, " + ", ".join(f"{t} string" for t in TOKENS)
 )
 
 
@@ -60,6 +63,8 @@ def envelope_code() -> Column:
 def parse_events(events: DataFrame) -> DataFrame:
     """Raw event text to typed columns; counters stay null where absent or broken."""
     text = F.col("event_text")
+    digits = [leading_digits(F.col(f"_e.{t}")) for t in TOKENS]
+    broken = reduce(or_, [F.coalesce(unreadable(x), F.lit(False)) for x in digits])
     return events.withColumn("_e", F.from_json(text, EVENT_SCHEMA)).select(
         *events.columns,
         *[
@@ -68,8 +73,8 @@ def parse_events(events: DataFrame) -> DataFrame:
         ],
         F.col("_e.timestamp").alias("timestamp_text"),
         parse_instant(F.col("_e.timestamp")).alias("event_ts"),
-        *[counter(text, t).alias(t) for t in TOKENS],
-        counter_is_broken(text, *TOKENS).alias("broken_counter"),
+        *[x.try_cast("bigint").alias(t) for x, t in zip(digits, TOKENS)],
+        broken.alias("broken_counter"),
         mentions_forbidden(text).alias("forbidden"),
     )
 

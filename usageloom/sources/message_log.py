@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.functions.instants import canonical_instant, parse_instant
-from usageloom.functions.texts import counter, counter_is_broken, is_blank, known_model
-from usageloom.model import TOKENS
-from usageloom.sources.lines import session_lines
-
-# Only usage metadata is read from a line, never message contents.
-RECORD_SCHEMA = (
-    "sessionId string, session_id string, timestamp string, time string, uuid string, "
-    "model string, message struct<id string, model string, usage string>, "
-    "toolUseResult struct<model string, usage string>, "
-    "input_tokens string, cached_input_tokens string, output_tokens string, "
-    "reasoning_output_tokens string, total_tokens string"
+from usageloom.functions.texts import (
+    has_positive_usage,
+    is_blank,
+    known_model,
+    leading_digits,
+    unreadable,
 )
+from usageloom.model import TOKENS, UNKNOWN
+from usageloom.sources.lines import session_lines
 
 # Counters of a nested usage object.
 USAGE_COUNTERS = (
@@ -29,6 +30,16 @@ USAGE_COUNTERS = (
     "total_tokens",
 )
 
+_NESTED_USAGE = "struct<" + ", ".join(f"{c} string" for c in USAGE_COUNTERS) + ">"
+
+# Only usage metadata is read from a line, never message contents.
+RECORD_SCHEMA = (
+    "sessionId string, session_id string, timestamp string, time string, uuid string, "
+    f"model string, message struct<id string, model string, usage {_NESTED_USAGE}>, "
+    f"toolUseResult struct<model string, usage {_NESTED_USAGE}>, "
+    + ", ".join(f"{t} string" for t in TOKENS)
+)
+
 # What a source mode says about where and how usage was measured.
 SOURCE_MODES = {
     "local": ("local_jsonl", "reported"),
@@ -49,40 +60,33 @@ def tag_source(df: DataFrame, mode: str) -> DataFrame:
     return df.withColumn("source_kind", F.lit(kind)).withColumn("source_quality", F.lit(quality))
 
 
-def message_token_normalise(section: Column) -> Column:
-    """Counters of a nested usage object; cache creation and reads join gross input."""
-    zero = F.lit(0).cast("bigint")
-    read = {c: F.coalesce(counter(section, c), zero) for c in USAGE_COUNTERS}
+def message_token_normalise(raw: Mapping[str, Column]) -> tuple[Column, ...]:
+    """The five counters from those of a nested usage object, null where absent.
+
+    Cache creation and cache reads are part of gross input.
+    """
+    read = {c: F.coalesce(raw[c], F.lit(0).cast("bigint")) for c in USAGE_COUNTERS}
     cached = read["cache_creation_input_tokens"] + read["cache_read_input_tokens"]
     gross = read["input_tokens"] + cached
-    total = F.coalesce(
-        counter(section, "total_tokens"),
-        gross + read["output_tokens"] + read["reasoning_output_tokens"],
-    )
-    return _tokens(gross, cached, read["output_tokens"], read["reasoning_output_tokens"], total)
+    output, reasoning = read["output_tokens"], read["reasoning_output_tokens"]
+    total = F.coalesce(raw["total_tokens"], gross + output + reasoning)
+    return gross, cached, output, reasoning, total
 
 
-def _tokens(*values: Column) -> Column:
-    return F.struct(*[v.alias(t) for v, t in zip(values, TOKENS)])
-
-
-def _flat_tokens(text: Column) -> Column:
+def flat_tokens(raw: Mapping[str, Column]) -> tuple[Column, ...]:
+    """The five counters of a flat line, whose input is gross already."""
     zero = F.lit(0).cast("bigint")
-    read = [F.coalesce(counter(text, t), zero) for t in TOKENS[:4]]
-    total = F.coalesce(counter(text, "total_tokens"), read[0] + read[2] + read[3])
-    return _tokens(*read, total)
+    gross, cached, output, reasoning = [F.coalesce(raw[t], zero) for t in TOKENS[:4]]
+    total = F.coalesce(raw["total_tokens"], gross + output + reasoning)
+    return gross, cached, output, reasoning, total
 
 
-def _flat_section(record: str) -> Column:
-    """The flat shape's counters as one small JSON object text."""
-    parts = [
-        F.when(
-            F.col(f"{record}.{t}").isNotNull(),
-            F.concat(F.lit(f'"{t}":'), F.col(f"{record}.{t}")),
-        )
-        for t in TOKENS
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def _read(section: str, prefix: str, names: Sequence[str]) -> list[Column]:
+    """A number per counter of a parsed section, and whether one is unreadable."""
+    texts = [leading_digits(F.col(f"{section}.{n}")) for n in names]
+    broken = reduce(or_, [unreadable(t) for t in texts])
+    numbers = [t.try_cast("bigint").alias(f"{prefix}{n}") for t, n in zip(texts, names)]
+    return [*numbers, broken.alias(f"{prefix}broken")]
 
 
 def is_message_candidate(line: Column) -> Column:
@@ -101,99 +105,81 @@ def message_log_records(lines: DataFrame) -> DataFrame:
     drops the line at the shape that met it (``dropped``). ``line_model`` is the
     known model a line mentions, for the backfill.
     """
-    r = "r"
     parsed = lines.filter(is_message_candidate(F.col("line"))).select(
-        "path", "line_no", F.from_json("line", RECORD_SCHEMA).alias(r)
+        "path", "line_no", F.from_json("line", RECORD_SCHEMA).alias("r")
     )
-    session = F.col("r.sessionId")
-    sections = parsed.select(
+    session, timestamp = F.col("r.sessionId"), F.col("r.timestamp")
+    nested = ~is_blank(session) & ~is_blank(timestamp)
+    flat_session = F.coalesce("r.session_id", "r.sessionId")
+    flat_time = F.coalesce("r.timestamp", "r.time")
+    read = parsed.select(
         "path",
         "line_no",
-        r,
-        F.when(
-            ~is_blank(session) & ~is_blank(F.col("r.timestamp")) & F.col("r.message.usage").startswith("{"),
-            F.col("r.message.usage"),
-        ).alias("_m"),
-        F.when(
-            ~is_blank(session)
-            & ~is_blank(F.col("r.timestamp"))
-            & F.col("r.toolUseResult.usage").startswith("{"),
-            F.col("r.toolUseResult.usage"),
-        ).alias("_t"),
-        _flat_section(r).alias("_f"),
-        parse_instant(F.col("r.timestamp")).alias("_ts"),
-        F.coalesce("r.session_id", "r.sessionId").alias("_flat_session"),
-        F.coalesce("r.timestamp", "r.time").alias("_flat_time"),
-    ).withColumn("_flat_ts", parse_instant(F.col("_flat_time")))
-
-    used = sections.select(
-        "*",
-        F.when(F.col("_m").isNotNull(), message_token_normalise(F.col("_m"))).alias("_mu"),
-        F.when(F.col("_t").isNotNull(), message_token_normalise(F.col("_t"))).alias("_tu"),
-        F.when(
-            ~is_blank(F.col("_flat_session")) & ~is_blank(F.col("_flat_time")),
-            _flat_tokens(F.col("_f")),
-        ).alias("_fu"),
+        "r",
+        (nested & F.col("r.message.usage").isNotNull()).alias("_is_message"),
+        (nested & F.col("r.toolUseResult.usage").isNotNull()).alias("_is_result"),
+        (~is_blank(flat_session) & ~is_blank(flat_time)).alias("_is_flat"),
+        parse_instant(timestamp).alias("_ts"),
+        parse_instant(flat_time).alias("_flat_ts"),
+        *_read("r.message.usage", "_m_", USAGE_COUNTERS),
+        *_read("r.toolUseResult.usage", "_t_", USAGE_COUNTERS),
+        *_read("r", "_f_", TOKENS),
     )
 
-    def positive(u: str) -> Column:
-        return F.coalesce(F.greatest(*[F.col(f"{u}.{t}") for t in TOKENS]) > 0, F.lit(False))
+    def raw(prefix: str, names: Sequence[str]) -> dict[str, Column]:
+        return {n: F.col(f"{prefix}{n}") for n in names}
+
+    message = message_token_normalise(raw("_m_", USAGE_COUNTERS))
+    result = message_token_normalise(raw("_t_", USAGE_COUNTERS))
+    flat = flat_tokens(raw("_f_", TOKENS))
+
+    def unusable(prefix: str, ts: str) -> Column:
+        return F.col(ts).isNull() | F.coalesce(f"{prefix}broken", F.lit(False))
 
-    m_failed = F.col("_m").isNotNull() & (
-        F.col("_ts").isNull() | counter_is_broken(F.col("_m"), *USAGE_COUNTERS)
-    )
-    t_failed = F.col("_t").isNotNull() & (
-        F.col("_ts").isNull() | counter_is_broken(F.col("_t"), *USAGE_COUNTERS)
-    )
-    f_failed = F.col("_fu").isNotNull() & (
-        F.col("_flat_ts").isNull() | counter_is_broken(F.col("_f"), *TOKENS)
-    )
     shape = (
-        F.when(m_failed, "failed")
-        .when(positive("_mu"), "message")
-        .when(t_failed, "failed")
-        .when(positive("_tu"), "tool_result")
-        .when(f_failed, "failed")
-        .when(positive("_fu"), "flat")
+        F.when(F.col("_is_message") & unusable("_m_", "_ts"), "failed")
+        .when(F.col("_is_message") & has_positive_usage(message), "message")
+        .when(F.col("_is_result") & unusable("_t_", "_ts"), "failed")
+        .when(F.col("_is_result") & has_positive_usage(result), "tool_result")
+        .when(F.col("_is_flat") & unusable("_f_", "_flat_ts"), "failed")
+        .when(F.col("_is_flat") & has_positive_usage(flat), "flat")
     )
-    usage = (
-        F.when(F.col("shape") == "message", F.col("_mu"))
-        .when(F.col("shape") == "tool_result", F.col("_tu"))
-        .when(F.col("shape") == "flat", F.col("_fu"))
-    )
-    model = (
-        F.when(F.col("shape") == "message", F.coalesce("r.message.model", "r.model"))
-        .when(F.col("shape") == "tool_result", F.coalesce("r.toolUseResult.model", "r.model"))
-        .otherwise(F.col("r.model"))
-    )
-    flat = F.col("shape") == "flat"
-    ts = F.when(flat, F.col("_flat_ts")).otherwise(F.col("_ts"))
+    shaped = read.withColumn("shape", shape)
+
+    def by_shape(of_message: Column, of_result: Column, of_flat: Column) -> Column:
+        return (
+            F.when(F.col("shape") == "message", of_message)
+            .when(F.col("shape") == "tool_result", of_result)
+            .when(F.col("shape") == "flat", of_flat)
+        )
+
+    ts = by_shape(F.col("_ts"), F.col("_ts"), F.col("_flat_ts"))
     message_id = F.when(~is_blank(F.col("r.message.id")), F.col("r.message.id"))
-    identity = (
-        F.when(F.col("shape") == "message", F.coalesce(message_id, canonical_instant(ts)))
-        .when(F.col("shape") == "tool_result", F.coalesce(F.col("r.uuid"), canonical_instant(ts)))
-        .otherwise(canonical_instant(ts))
+    given = by_shape(message_id, F.col("r.uuid"), F.lit(None).cast("string"))
+    model = by_shape(
+        F.coalesce("r.message.model", "r.model"),
+        F.coalesce("r.toolUseResult.model", "r.model"),
+        F.col("r.model"),
     )
-    return (
-        used.withColumn("shape", shape)
-        .withColumn("_u", usage)
-        .select(
-            "path",
-            "line_no",
-            "shape",
-            (F.col("shape") == "failed").alias("dropped"),
-            F.when(flat, F.col("_flat_session")).otherwise(session).alias("session_id"),
-            F.coalesce(model, F.lit("unknown")).alias("model"),
-            ts.alias("event_ts"),
-            identity.alias("identity"),
-            F.coalesce(
-                known_model(F.col("r.message.model")),
-                known_model(F.col("r.toolUseResult.model")),
-                known_model(F.col("r.model")),
-            ).alias("line_model"),
-            *[F.col(f"_u.{t}").alias(t) for t in TOKENS],
-        )
+    row = F.struct(
+        "path",
+        "line_no",
+        "shape",
+        (F.col("shape") == "failed").alias("dropped"),
+        by_shape(session, session, flat_session).alias("session_id"),
+        F.coalesce(model, F.lit(UNKNOWN)).alias("model"),
+        ts.alias("event_ts"),
+        F.coalesce(given, canonical_instant(ts)).alias("identity"),
+        F.coalesce(
+            known_model(F.col("r.message.model")),
+            known_model(F.col("r.toolUseResult.model")),
+            known_model(F.col("r.model")),
+        ).alias("line_model"),
+        *[by_shape(m, r, f).alias(t) for m, r, f, t in zip(message, result, flat, TOKENS)],
     )
+    # One row in, one row out. The generator keeps filters on the shape above it;
+    # below, each would be repeated in terms of every counter.
+    return shaped.select(F.inline(F.array(row)))
 
 
 def usage_telemetry(spark: SparkSession, paths: str | list[str], mode: str) -> DataFrame:

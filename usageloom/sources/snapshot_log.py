@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.functions.instants import parse_instant
-from usageloom.functions.texts import counter, counter_is_broken
+from usageloom.functions.texts import leading_digits, unreadable
 from usageloom.model import TOKENS
 from usageloom.sources.lines import session_lines
 
-# Only these places of a record are read; token totals stay raw JSON text.
+# Only these places of a record are read; numbers stay text until they are checked.
 RECORD_SCHEMA = (
     "type string, timestamp string, id string, model string, "
     "payload struct<id string, model string, type string, "
-    "info struct<total_token_usage string>>"
+    "info struct<total_token_usage struct<" + ", ".join(f"{t} string" for t in TOKENS) + ">>>"
 )
 
 
@@ -46,39 +49,35 @@ def snapshot_log_records(lines: DataFrame) -> DataFrame:
         (top == "event_msg")
         & (F.col("r.payload.type") == "token_count")
         & F.col("r.timestamp").isNotNull()
-        & usage.startswith("{")
+        & usage.isNotNull()
     )
     kind = F.when(top.isin("session_meta", "turn_context"), top).when(is_token, "token_count")
-    token_kind = F.col("kind") == "token_count"
-    bad_number = counter_is_broken(F.col("_usage"), *TOKENS)
-    error = F.when(token_kind & bad_number, "parse error: NumberFormatException").when(
-        token_kind & F.col("event_ts").isNull(), "parse error: DateTimeParseException"
+    typed = parsed.select(
+        "path",
+        "line_no",
+        kind.alias("kind"),
+        F.coalesce("r.payload.id", "r.id").alias("_id"),
+        F.coalesce("r.payload.model", "r.model").alias("_model"),
+        F.when(is_token, parse_instant(F.col("r.timestamp"))).alias("_ts"),
+        F.when(is_token, usage).alias("_usage"),
+    ).filter(F.col("kind").isNotNull())
+    token = F.col("kind") == "token_count"
+    digits = {t: leading_digits(F.col(f"_usage.{t}")) for t in TOKENS}
+    broken = reduce(or_, [F.coalesce(unreadable(x), F.lit(False)) for x in digits.values()])
+    error = F.when(token & broken, "parse error: NumberFormatException").when(
+        token & F.col("_ts").isNull(), "parse error: DateTimeParseException"
     )
+    zero = F.lit(0).cast("bigint")
     cumulative = F.struct(
-        *[F.coalesce(counter(F.col("_usage"), t), F.lit(0).cast("bigint")).alias(t) for t in TOKENS]
+        *[F.coalesce(x.try_cast("bigint"), zero).alias(t) for t, x in digits.items()]
     )
-    return (
-        parsed.select(
-            "path",
-            "line_no",
-            kind.alias("kind"),
-            F.coalesce("r.payload.id", "r.id").alias("_id"),
-            F.coalesce("r.payload.model", "r.model").alias("_model"),
-            parse_instant(F.col("r.timestamp")).alias("event_ts"),
-            usage.alias("_usage"),
-        )
-        .filter(F.col("kind").isNotNull())
-        .select(
-            "path",
-            "line_no",
-            "kind",
-            F.when(F.col("kind") == "session_meta", F.col("_id")).alias("session_meta_id"),
-            F.when(F.col("kind") == "turn_context", F.col("_model")).alias("context_model"),
-            F.when(token_kind, F.col("event_ts")).alias("event_ts"),
-            error.alias("error"),
-            F.when(token_kind & error.isNull(), cumulative).alias("cumulative"),
-        )
+    return typed.withColumn("error", error).select(
+        "path",
+        "line_no",
+        "kind",
+        F.when(F.col("kind") == "session_meta", F.col("_id")).alias("session_meta_id"),
+        F.when(F.col("kind") == "turn_context", F.col("_model")).alias("context_model"),
+        F.col("_ts").alias("event_ts"),
+        "error",
+        F.when(token & F.col("error").isNull(), cumulative).alias("cumulative"),
     )
-
-
-__all__ = ["is_snapshot_candidate", "snapshot_log_lines", "snapshot_log_records"]

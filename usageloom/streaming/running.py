@@ -59,10 +59,10 @@ def stream_upload_health(uploads: DataFrame) -> DataFrame:
 def stream_active_time(events: DataFrame, horizon: str) -> DataFrame:
     """Stretches of activity per session, closed once ``horizon`` has passed.
 
-    On whole seconds a gap up to the limit is a gap below the limit plus one, so
-    that is the window's gap, and it is taken off its end again.
+    A window takes in an event that falls exactly on its end, so on whole seconds
+    its gap is the limit itself; it is taken off the window's length again.
     """
-    gap = ACTIVE_GAP_SECONDS + 1
+    gap = ACTIVE_GAP_SECONDS
     seconds = events.withColumn("second", F.date_trunc("second", "event_ts"))
     stretch = F.session_window("second", f"{gap} seconds")
     return (
