@@ -20,51 +20,46 @@ AS_OF = date(2024, 1, 17)
 AS_OF_INSTANT = datetime(2024, 1, 17, 4, 0, 0, tzinfo=timezone.utc)
 
 
+# Column types of the table; stating them spares a job that reads file footers.
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string"
+)
+
+
 def usage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team events, unknown tool included, with ``event_id`` and ``k`` for further tables."""
     configure(spark)
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    shifted = raw.select(
+    raw = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    shifted = raw.selectExpr(
         "event_id",
-        F.col("ts").cast("timestamp").alias("event_ts"),
-        F.from_utc_timestamp(F.col("ts").cast("timestamp"), ZONE).alias("lts"),
-        F.col("user_id").alias("uid"),
+        "CAST(ts AS timestamp) AS event_ts",
+        f"from_utc_timestamp(CAST(ts AS timestamp), '{ZONE}') AS lts",
+        "user_id AS uid",
         "event_type",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.floor(F.col("value") * 10).alias("i"),
-        F.floor(F.col("value") * 3).alias("o"),
+        "CAST(get_json_object(props, '$.k') AS bigint) AS k",
+        "floor(value * 10) AS i",
+        "floor(value * 3) AS o",
     )
-
-    def tag(prefix, value):
-        return F.concat(F.lit(prefix), value.cast("string"))
-
-    reasoning = F.expr("(o * (k % 7)) div 10")
-    kind = F.when(F.expr("k % 3 = 0"), "local_jsonl").when(F.expr("k % 3 = 1"), "otel_metric")
-    quality = F.when(F.expr("k % 3 = 0"), "derived").when(F.expr("k % 3 = 1"), "reported")
-    return shifted.select(
-        tag("ev-", F.col("event_id")).alias("event_key"),
-        tag("team-", F.expr("uid % 3")).alias("team_id"),
-        tag("user-", F.col("uid")).alias("user_id"),
-        tag("device-", F.expr("uid * 2 + day(lts) % 2")).alias("device_id"),
-        F.when(F.col("event_type").isin("view", "click"), "codex")
-        .when(F.col("event_type").isin("signup", "purchase"), "claude-code")
-        .otherwise("other")
-        .alias("tool"),
-        F.concat(F.lit("s-"), F.col("uid").cast("string"), F.lit("-"), F.date_format("lts", "yyyyMMdd")).alias(
-            "session_id"
-        ),
-        F.when(F.expr("k % 10 = 9"), "unknown").otherwise(tag("model-", F.expr("k % 5"))).alias("model"),
+    return shifted.selectExpr(
+        "concat('ev-', event_id) AS event_key",
+        "concat('team-', uid % 3) AS team_id",
+        "concat('user-', uid) AS user_id",
+        "concat('device-', uid * 2 + day(lts) % 2) AS device_id",
+        """CASE WHEN event_type IN ('view', 'click') THEN 'codex'
+                WHEN event_type IN ('signup', 'purchase') THEN 'claude-code'
+                ELSE 'other' END AS tool""",
+        "concat('s-', uid, '-', date_format(lts, 'yyyyMMdd')) AS session_id",
+        "CASE WHEN k % 10 = 9 THEN 'unknown' ELSE concat('model-', k % 5) END AS model",
         "event_ts",
-        F.to_date("lts").alias("local_date"),
-        F.col("i").alias("input_tokens"),
-        F.when(F.col("k") >= 95, F.expr("i + k")).otherwise(F.expr("(i * k) div 100")).alias(
-            "cached_input_tokens"
-        ),
-        F.col("o").alias("output_tokens"),
-        reasoning.alias("reasoning_output_tokens"),
-        (F.col("i") + F.col("o") + reasoning).alias("total_tokens"),
-        kind.otherwise("").alias("source_kind"),
-        quality.otherwise("").alias("source_quality"),
+        "to_date(lts) AS local_date",
+        "i AS input_tokens",
+        "CASE WHEN k >= 95 THEN i + k ELSE (i * k) div 100 END AS cached_input_tokens",
+        "o AS output_tokens",
+        "(o * (k % 7)) div 10 AS reasoning_output_tokens",
+        "i + o + (o * (k % 7)) div 10 AS total_tokens",
+        "CASE k % 3 WHEN 0 THEN 'local_jsonl' WHEN 1 THEN 'otel_metric' ELSE '' END AS source_kind",
+        "CASE k % 3 WHEN 0 THEN 'derived' WHEN 1 THEN 'reported' ELSE '' END AS source_quality",
         "event_id",
         "k",
         "uid",
@@ -236,27 +231,19 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(base: DataFrame) -> DataFrame:
     """Device registry: some devices absent, inactive, unnamed or bound twice."""
-    devices = base.select(*DEVICE, "uid").distinct().filter(F.col("uid") % 11 != 0)
-    token = F.concat("device_id", F.lit("-token"))
-    second = F.concat("device_id", F.lit("-second"))
-    doubled = devices.withColumn("token", token).unionByName(
-        devices.filter(F.col("uid") % 5 == 0).withColumn("token", second)
-    )
-    uid = F.col("uid")
-    return doubled.select(
-        F.sha2("token", 256).alias("token_hash"),
+    devices = base.select(*DEVICE, "uid").distinct().filter("uid % 11 <> 0")
+    tokens = """explode(CASE WHEN uid % 5 = 0
+        THEN array(concat(device_id, '-token'), concat(device_id, '-second'))
+        ELSE array(concat(device_id, '-token')) END) AS token"""
+    return devices.selectExpr("*", tokens).selectExpr(
+        "sha2(token, 256) AS token_hash",
         *DEVICE,
-        F.when(uid % 4 == 0, "")
-        .otherwise(F.concat(F.lit("Dev "), "device_id"))
-        .alias("display_name"),
-        F.when(uid % 13 == 0, "disabled").when(uid % 17 == 0, "revoked").otherwise("active").alias(
-            "status"
-        ),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
-        F.lit(None).cast("timestamp").alias("last_seen_at"),
-        F.concat(F.left("token", F.lit(6)), F.lit("****"), F.right("token", F.lit(4))).alias(
-            "token_preview"
-        ),
+        "CASE WHEN uid % 4 = 0 THEN '' ELSE concat('Dev ', device_id) END AS display_name",
+        """CASE WHEN uid % 13 = 0 THEN 'disabled' WHEN uid % 17 = 0 THEN 'revoked'
+                ELSE 'active' END AS status""",
+        "timestamp '2024-01-01 00:00:00' AS created_at",
+        "CAST(NULL AS timestamp) AS last_seen_at",
+        "concat(left(token, 6), '****', right(token, 4)) AS token_preview",
     )
 
 

@@ -44,19 +44,16 @@ def plain(df: DataFrame) -> DataFrame:
     """Instants as UTC wall-clock times and maps or arrays as text, for comparison."""
     columns = []
     for field in df.schema:
-        column = F.col(field.name)
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.TimestampType):
-            column = column.cast("timestamp_ntz")
+            name = f"CAST({name} AS timestamp_ntz) AS {name}"
         elif isinstance(field.dataType, T.MapType):
-            pairs = F.transform(
-                F.map_entries(column),
-                lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")),
-            )
-            column = F.array_join(pairs, ",")
+            pairs = f"transform(map_entries({name}), e -> concat(e.key, ':', e.value))"
+            name = f"array_join({pairs}, ',') AS {name}"
         elif isinstance(field.dataType, T.ArrayType):
-            column = F.array_join(column, ",")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            name = f"array_join({name}, ',') AS {name}"
+        columns.append(name)
+    return df.selectExpr(*columns)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -96,7 +93,7 @@ def session_lines(spark, sf_dir):
     """Write events as log files, read them back: every line number must match."""
     d.configure(spark)
     path = scratch_dir(spark, "lines")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spark.read.schema(d.EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     text = raw.select("event_id", "user_id", row.alias("row")).select(
         F.to_json(F.struct("event_id", "user_id", "row")).alias("value")
@@ -488,7 +485,7 @@ def decode_errors(spark, sf_dir):
 def local_date_in_zones(spark, sf_dir):
     d.configure(spark)
     ts = F.col("ts").cast("timestamp")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spark.read.schema(d.EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
         local_date(ts, d.ZONE).alias("shanghai"),
         local_date(ts, "UTC").alias("utc"),
@@ -505,7 +502,7 @@ def local_date_in_zones(spark, sf_dir):
 )
 def scalar_keys(spark, sf_dir):
     d.configure(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spark.read.schema(d.EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
         canonical_instant(F.col("ts").cast("timestamp")).alias("instant"),
         short_hash(F.col("props")).alias("short_hash"),

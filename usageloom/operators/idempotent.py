@@ -50,11 +50,12 @@ def insert_new_events(
 
 def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """(events_inserted, events_skipped) of one insert."""
-    counts = batch.agg(F.count(F.lit(1)).alias("_all")).crossJoin(
-        inserted.agg(F.count(F.lit(1)).alias("events_inserted"))
-    )
-    return counts.select(
-        "events_inserted", (F.col("_all") - F.col("events_inserted")).alias("events_skipped")
+    both = batch.select(F.lit(0).alias("inserted")).unionAll(inserted.select(F.lit(1)))
+    return both.agg(
+        F.count_if(F.col("inserted") == 1).alias("events_inserted"),
+        (F.count_if(F.col("inserted") == 0) - F.count_if(F.col("inserted") == 1)).alias(
+            "events_skipped"
+        ),
     )
 
 

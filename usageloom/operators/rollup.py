@@ -21,7 +21,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usageloom.functions.measures import cache_hit_rate, share
 from usageloom.functions.texts import or_unknown
 from usageloom.model import ACTIVE_GAP_SECONDS, TOKENS, Scope
 
@@ -60,35 +59,38 @@ def call_grain(events: DataFrame, keys: Sequence[str], scope: Scope) -> DataFram
 
 
 def half_hours(calls: DataFrame, keys: Sequence[str], scope: Scope) -> DataFrame:
-    weight = F.col("usage_event_count")
-    second = F.unix_seconds("event_ts")
-    slot = F.floor(second / ACTIVE_GAP_SECONDS).alias("_slot")
-    net = F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_input_tokens"))
+    """One row per session and aligned half hour, as wide as the longest counted gap."""
+    slot = F.expr(f"unix_seconds(event_ts) div {ACTIVE_GAP_SECONDS} AS _slot")
     return calls.groupBy(*_names(keys, scope.session), slot).agg(
-        *[F.sum(F.col(t) * weight).alias(f"_{t}") for t in TOKENS],
-        F.sum(net * weight).alias("_net_input_tokens"),
-        F.sum(weight).alias("_usage_event_count"),
-        F.count(F.lit(1)).alias("_call_count"),
-        F.min(second).alias("_first"),
-        F.max(second).alias("_last"),
-        F.min("event_ts").alias("started_at"),
-        F.max("event_ts").alias("ended_at"),
+        *[F.expr(f"sum({t} * usage_event_count) AS _{t}") for t in TOKENS],
+        F.expr(
+            "sum(greatest(0, input_tokens - cached_input_tokens) * usage_event_count)"
+            " AS _net_input_tokens"
+        ),
+        F.expr("sum(usage_event_count) AS _usage_event_count"),
+        F.expr("count(*) AS _call_count"),
+        F.expr("min(event_ts) AS started_at"),
+        F.expr("max(event_ts) AS ended_at"),
     )
 
 
 def session_grain(slots: DataFrame, keys: Sequence[str], scope: Scope) -> DataFrame:
+    """One row per session of each bucket, its active seconds included."""
     group = _names(keys, scope.session)
     along = Window.partitionBy(*group).orderBy("_slot")
-    gap = F.col("_first") - F.lag("_last").over(along)
-    bridged = F.when(gap <= ACTIVE_GAP_SECONDS, gap).otherwise(0)
+    before = F.lag("ended_at").over(along).alias("_before")
+    gap = "unix_seconds(started_at) - unix_seconds(_before)"
     return (
-        slots.withColumn("_active", F.col("_last") - F.col("_first") + bridged)
+        slots.select("*", before)
         .groupBy(*group)
         .agg(
-            *[F.sum(f"_{c}").alias(f"_{c}") for c in _ADDED],
-            F.sum("_active").alias("_active"),
-            F.min("started_at").alias("started_at"),
-            F.max("ended_at").alias("ended_at"),
+            *[F.expr(f"sum(_{c}) AS _{c}") for c in _ADDED],
+            F.expr(
+                "sum(unix_seconds(ended_at) - unix_seconds(started_at)"
+                f" + CASE WHEN {gap} <= {ACTIVE_GAP_SECONDS} THEN {gap} ELSE 0 END) AS _active"
+            ),
+            F.expr("min(started_at) AS started_at"),
+            F.expr("max(ended_at) AS ended_at"),
         )
     )
 
@@ -109,33 +111,36 @@ def usage_rollup(
     also = also or {}
     grain = call_grain(events, keys, scope) if calls is None else calls
     sessions = session_grain(half_hours(grain, keys, scope), keys, scope)
-    zero = F.lit(0).cast("bigint")
     sums = sessions.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(f"_{c}"), zero).alias(c) for c in _ADDED],
-        F.count(F.lit(1)).alias("sessions"),
-        F.coalesce(F.sum("_active"), zero).alias("active_seconds"),
-        F.min("started_at").alias("started_at"),
-        F.max("ended_at").alias("ended_at"),
+        *[F.expr(f"coalesce(sum(_{c}), 0L) AS {c}") for c in _ADDED],
+        F.expr("count(*) AS sessions"),
+        F.expr("coalesce(sum(_active), 0L) AS active_seconds"),
+        F.expr("min(started_at) AS started_at"),
+        F.expr("max(ended_at) AS ended_at"),
         *[F.count_distinct(c).alias(name) for c, name in scope.counted],
         *[column.alias(name) for name, column in also.items()],
     )
     return with_ratios(sums, keys, [name for _, name in scope.counted], list(also))
 
 
+# How metrics follow from sums; try_divide is null where there is nothing to divide by.
+_DERIVED = {
+    "net_total_tokens": "net_input_tokens + output_tokens + reasoning_output_tokens",
+    "cache_hit_rate": "least(1.0D, coalesce(try_divide(cached_input_tokens, input_tokens), 0.0D))",
+    "reasoning_ratio": "coalesce(try_divide(reasoning_output_tokens, output_tokens), 0.0D)",
+    "avg_tokens_per_session": "coalesce(try_divide(total_tokens, sessions), 0.0D)",
+    "avg_tokens_per_call": "coalesce(try_divide(total_tokens, call_count), 0.0D)",
+}
+
+
 def with_ratios(sums: DataFrame, keys: Sequence[str], *more: Sequence[str]) -> DataFrame:
     """Add derived metrics and fix the column order."""
-    derived = sums.withColumns(
-        {
-            "net_total_tokens": F.col("net_input_tokens")
-            + F.col("output_tokens")
-            + F.col("reasoning_output_tokens"),
-            "cache_hit_rate": cache_hit_rate(F.col("cached_input_tokens"), F.col("input_tokens")),
-            "reasoning_ratio": share(F.col("reasoning_output_tokens"), F.col("output_tokens")),
-            "avg_tokens_per_session": share(F.col("total_tokens"), F.col("sessions")),
-            "avg_tokens_per_call": share(F.col("total_tokens"), F.col("call_count")),
-        }
+    return sums.selectExpr(
+        *[
+            f"{_DERIVED[c]} AS {c}" if c in _DERIVED else f"`{c}`"
+            for c in _names(keys, METRICS, *more)
+        ]
     )
-    return derived.select(*_names(keys, METRICS, *more))
 
 
 def value_counts(events: DataFrame, keys: Sequence[str], dimension: str) -> DataFrame:
@@ -145,13 +150,29 @@ def value_counts(events: DataFrame, keys: Sequence[str], dimension: str) -> Data
     )
 
 
-def histogram(events: DataFrame, keys: Sequence[str], dimension: str) -> DataFrame:
-    """One sorted map per bucket; a map has as many entries as there are values."""
-    entries = F.sort_array(F.collect_list(F.struct("value", "count")))
-    return (
-        value_counts(events, keys, dimension)
-        .groupBy(*keys)
-        .agg(F.map_from_entries(entries).alias(dimension))
+def histograms(
+    events: DataFrame, keys: Sequence[str], dimensions: Sequence[str]
+) -> DataFrame:
+    """One sorted map per bucket and dimension, all from one scan.
+
+    Events shrink to their distinct combinations first; a map has as many
+    entries as its dimension has values.
+    """
+    combined = events.groupBy(*keys, *dimensions).agg(F.expr("count(*) AS n"))
+    pairs = ", ".join(f"'{c}', {c}" for c in dimensions)
+    counts = (
+        combined.selectExpr(*keys, "n", f"stack({len(dimensions)}, {pairs}) AS (dimension, value)")
+        .groupBy(*keys, "dimension", or_unknown(F.col("value")).alias("value"))
+        .agg(F.expr("sum(n) AS n"))
+    )
+    return counts.groupBy(*keys).agg(
+        *[
+            F.expr(
+                "map_from_entries(sort_array(collect_list("
+                f"CASE WHEN dimension = '{c}' THEN struct(value, n) END))) AS {c}"
+            )
+            for c in dimensions
+        ]
     )
 
 

@@ -76,7 +76,7 @@ def report_document(
     sorts down). Meant for days of a range, tools and top-k lists; use
     ``report_rows`` for the rest.
     """
-    head = summary.select(F.struct(*document_fields(summary, zone)).alias("summary"))
+    gathered = []
     for name, (report, order) in lists.items():
         rank = [
             (-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"k{i}")
@@ -85,8 +85,8 @@ def report_document(
         items = report.select(
             F.struct(*rank).alias("_k"), F.struct(*document_fields(report, zone)).alias("_i")
         ).agg(F.array_sort(F.collect_list(F.struct("_k", "_i")), _by_rank).alias("_all"))
-        listed = items.select(F.transform("_all", lambda x: x["_i"]).alias(name))
-        head = head.crossJoin(listed)
+        listed = items.select(F.transform("_all", lambda x: x["_i"]))
+        gathered.append(listed.scalar().alias(name))
     bounds = F.struct(
         F.lit(span.kind).alias("kind"),
         F.lit(str(span.start)).alias("start_date"),
@@ -94,4 +94,5 @@ def report_document(
         F.lit(span.days).alias("days"),
         F.lit(zone).alias("timezone"),
     )
-    return head.select(F.to_json(F.struct(bounds.alias("range"), "summary", *lists)).alias("document"))
+    head = F.struct(*document_fields(summary, zone)).alias("summary")
+    return summary.select(F.to_json(F.struct(bounds.alias("range"), head, *gathered)).alias("document"))

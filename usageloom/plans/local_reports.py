@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usageloom.model import LOCAL, MAX_SESSION_PAGE, TOKENS
 from usageloom.operators.rank import minute, ranked
-from usageloom.operators.rollup import METRICS, distinct_values, histogram, usage_rollup
+from usageloom.operators.rollup import METRICS, distinct_values, histograms, usage_rollup
 from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary
 from usageloom.plans.periods import PeriodPair, Range, day_spine
 
@@ -33,12 +33,13 @@ _ZERO_DOUBLES = (
 
 def zero_filled(spine: DataFrame, rollup: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per date of the spine; dates without events are zero."""
-    longs = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in (*_ZERO_LONGS, *more)}
-    doubles = {c: F.coalesce(c, F.lit(0.0)) for c in _ZERO_DOUBLES}
+    zero = {**dict.fromkeys((*_ZERO_LONGS, *more), "0L"), **dict.fromkeys(_ZERO_DOUBLES, "0.0D")}
     return (
         spine.join(rollup, "local_date", "left")
-        .withColumns({**longs, **doubles})
-        .select("local_date", *METRICS, *more)
+        .selectExpr(
+            "local_date",
+            *[f"coalesce({c}, {zero[c]}) AS {c}" if c in zero else c for c in (*METRICS, *more)],
+        )
         .orderBy("local_date")
     )
 
@@ -49,10 +50,15 @@ def by_total(rollup: DataFrame, *keys: str) -> DataFrame:
 
 def with_histograms(rollup: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """Add source_kind and source_quality maps to buckets."""
-    for dimension in ("source_kind", "source_quality"):
-        counts = histogram(events, keys, dimension)
-        rollup = rollup.join(counts, keys, "left") if keys else rollup.crossJoin(counts)
-    return rollup
+    dimensions = ("source_kind", "source_quality")
+    counts = histograms(events, keys, dimensions)
+    if keys:
+        return rollup.join(counts, keys, "left")
+    none = F.expr("map('unknown', 0L)")
+    whole = [F.when(F.size(c) > 0, F.col(c)).otherwise(none) for c in dimensions]
+    return rollup.select(
+        "*", *[counts.select(w).scalar().alias(c) for w, c in zip(whole, dimensions)]
+    )
 
 
 def local_summary(events: DataFrame) -> DataFrame:

@@ -16,13 +16,11 @@ def in_range(df: DataFrame, start: date, end: date, zone: str) -> DataFrame:
 
     The bounds on ``event_ts``, a day wide on both sides, reach the Parquet scan.
     """
-    low = F.lit(f"{start - timedelta(days=1)} 00:00:00").cast("timestamp")
-    high = F.lit(f"{end + timedelta(days=2)} 00:00:00").cast("timestamp")
-    day = local_date(F.col("event_ts"), zone)
+    low, high = start - timedelta(days=1), end + timedelta(days=2)
     return (
-        df.filter((F.col("event_ts") >= low) & (F.col("event_ts") < high))
-        .withColumn("local_date", day)
-        .filter(F.col("local_date").between(F.lit(start), F.lit(end)))
+        df.filter(f"event_ts >= timestamp '{low}' AND event_ts < timestamp '{high}'")
+        .withColumn("local_date", local_date(F.col("event_ts"), zone))
+        .filter(f"local_date BETWEEN date '{start}' AND date '{end}'")
     )
 
 
