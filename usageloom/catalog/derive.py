@@ -49,7 +49,7 @@ def usage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN event_type IN ('view', 'click') THEN 'codex'
                 WHEN event_type IN ('signup', 'purchase') THEN 'claude-code'
                 ELSE 'other' END AS tool""",
-        "concat('s-', uid, '-', date_format(lts, 'yyyyMMdd')) AS session_id",
+        "concat('s-', uid, '-', replace(CAST(to_date(lts) AS string), '-', '')) AS session_id",
         "CASE WHEN k % 10 = 9 THEN 'unknown' ELSE concat('model-', k % 5) END AS model",
         "event_ts",
         "to_date(lts) AS local_date",
