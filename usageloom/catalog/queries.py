@@ -680,12 +680,18 @@ _RESULTS = """results AS (SELECT c.envelope_id, c.team_id, c.user_id, c.device_i
 
 
 def _run(spark, sf_dir) -> team_ingest.IngestRun:
-    """All envelopes against a store that already holds the events before 10 January."""
+    """All envelopes against a store that already holds the events before 10 January.
+
+    Guarded envelopes and screened events are staged, as in the batch job, so
+    that bodies are parsed once.
+    """
     base = d.usage_base(spark, sf_dir)
     before = F.col("event_ts") < F.lit("2024-01-10").cast("timestamp")
-    return team_ingest.ingest_team_batch(
-        d.envelopes(base), d.registry(base), d.team_events(base).filter(before), d.ZONE
-    )
+    checked = team_ingest.check_envelopes(d.envelopes(base), d.registry(base))
+    screened = jobs.stage(spark, team_ingest.screened_batch(checked), "screened")
+    guarded = jobs.stage(spark, checked.drop("body", "events"), "guarded")
+    stored = d.team_events(base).filter(before)
+    return team_ingest.ingest_checked(guarded, screened, stored, d.ZONE)
 
 
 @query(
