@@ -11,10 +11,6 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def cache_hit_rate(cached: Column, gross: Column) -> Column:
-    return F.least(F.lit(1.0), share(cached, gross))
-
-
 def change_rate(delta: Column, previous: Column) -> Column:
     grown = F.when(delta == 0, 0.0).otherwise(1.0)
     return F.when(previous == 0, grown).otherwise(share(delta, previous))
