@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import sharding, simhash
+from usageloom.llm import packing, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -17,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 40
+#: The vocabulary that packing counts tokens with.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn: Query) -> Query:
@@ -56,3 +59,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    placed = packing.pack_documents(documents(spark, sf_dir), VOCABULARY)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
