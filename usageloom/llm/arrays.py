@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 12
 
 _codec = None
 
@@ -32,15 +33,17 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about ``limit`` bytes of text each; a longer text stands alone."""
+def slices(
+    batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows, at most ``rows``, with about ``limit`` bytes of text; a longer text stands alone."""
     if not batch.num_rows:
         return
     _, bounds = bytes_of(batch.column(batch.schema.get_field_index(text)))
     first = 0
     while first < batch.num_rows:
         last = int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1
-        last = max(last, first + 1)
+        last = min(max(last, first + 1), first + rows)
         yield batch.slice(first, last - first)
         first = last
 
@@ -78,20 +81,17 @@ def unpack_numbers(blob: bytes, dtype) -> np.ndarray:
 #: An odd multiplier and its inverse modulo 2**64, for hashes of byte ranges.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        tables = []
+def _power_tables(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
         for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
             steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
-        _powers.clear()
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import packing, sharding, simhash
+from usageloom.llm import packing, quality_rules, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -66,3 +66,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     placed = packing.pack_documents(documents(spark, sf_dir), VOCABULARY)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose cutoffs falsely reject few good documents of each language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("stratum"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    judged = quality_rules.judge(docs, labels)
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
