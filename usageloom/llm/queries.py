@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import packing, quality_rules, sharding, simhash
+from usageloom.llm import language_id, packing, quality_model, quality_rules, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -75,3 +75,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     judged = quality_rules.judge(docs, labels)
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def fold(column: str, of: int) -> Column:
+    """crc32(doc_id as text) modulo a number: the folds that models are tested on."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5) == 0
+    model = language_id.fit_on(docs.where(~held_out))
+    scored = language_id.with_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from three quarters of the labels."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality_model.fit_on(docs, labels.where(fold("doc_id", 4) != 2))
+    scored = quality_model.with_quality(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
