@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import language_id, packing, quality_model, quality_rules, sharding, simhash
+from usageloom.llm import language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -22,9 +24,25 @@ SHARDS = 40
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster without that folder the package is sent with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (*paths, root) if p)
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reachable(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,3 +118,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model.fit_on(docs, labels.where(fold("doc_id", 4) != 2))
     scored = quality_model.with_quality(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from four fifths of them."""
+    docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 5) == 1)
+    return lm_scoring.score_texts(docs)
