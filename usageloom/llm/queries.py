@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
+from usageloom.llm import decontamination, language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -125,3 +125,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents, learned from four fifths of them."""
     docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 5) == 1)
     return lm_scoring.score_texts(docs)
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items: one row per document and item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    marked = decontamination.with_leaks(documents(spark, sf_dir), benchmark)
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
