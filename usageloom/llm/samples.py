@@ -12,6 +12,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     Rows are drawn by a hash of doc_id, so the draw does not depend on order.
     The counts of labels come first; rows above a label's share of the hash range
     never meet in a task, and the bound is then applied to the narrow rows left.
+    Both broadcasts are bounded: by the labels a model can hold, and by the sample.
     ``labels`` holds doc_id and the label, one value each.
     """
     marked = labels.select("doc_id", F.col(label).alias("label")).where("label is not null")
@@ -20,11 +21,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
     drawn = (
         marked.withColumn("draw", draw)
-        .join(counts, "label")
+        .join(F.broadcast(counts), "label")
         .where(F.col("draw") * F.col("count") < 1.25 * per_label + 10)
         .withColumn("rank", rank)
         .where(F.col("rank") <= per_label)
         .select("doc_id", "label")
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
 
