@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import decontamination, language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
+from usageloom.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -133,3 +133,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     marked = decontamination.with_leaks(documents(spark, sf_dir), benchmark)
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated line runs."""
+    docs = documents(spark, sf_dir)
+    kept = line_dedup.without_repeats(docs)
+    return kept.select(
+        "doc_id",
+        F.size("removed_lines").alias("n_removed_lines"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "removed_lines",
+    )
