@@ -110,3 +110,24 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     prefix[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts])
+
+
+def pack_table(columns: dict[str, np.ndarray]) -> bytes:
+    """Columns of one length as a compressed Arrow message."""
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_table(blob: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(blob).read_all()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)

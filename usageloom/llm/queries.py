@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, simhash
+from usageloom.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, substring_dedup
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -147,3 +147,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
         "removed_lines",
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier."""
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
