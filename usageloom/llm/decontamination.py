@@ -24,10 +24,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usageloom.llm.arrays import column, mix, slices
+from usageloom.llm.staging import packed, unpacked
 
 #: Tokens of a seed and of the shortest tile.
 MIN_MATCH = 5
@@ -203,36 +204,31 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Add an array `leaks` of the benchmark items each document contains; other columns pass through."""
     context = docs.sparkSession.sparkContext
-    names = docs.columns
-    out = docs.withColumn("leaks", F.lit([]).cast(f"array<{LEAK}>"))
-    kind = pa.list_(
-        pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("matched", pa.int32()), ("tokens", pa.int32()), ("tiles", pa.int32())])
-    )
-    keys = [f.name for f in kind.value_type]
+    lower = F.lower(F.coalesce("text", F.lit(""))).alias("lower")
+    out = packed(docs, lower, F.lit([]).cast(f"array<{LEAK}>").alias("leaks"))
+    schema = f"row {out.schema['row'].dataType.simpleString()}, lower string, leaks array<{LEAK}>"
     for rows in _slices(benchmark):
         shared = context.broadcast(build_index(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "_lower"):
-                    texts = [t.encode() for t in column(part, "_lower").to_pylist()]
+                index = batch.schema.get_field_index("leaks")
+                kind = batch.schema.field(index).type
+                keys = [f.name for f in kind.value_type]
+                for part in slices(batch, "lower"):
+                    texts = [t.encode() for t in column(part, "lower").to_pylist()]
                     found = [
                         before + [dict(zip(keys, leak)) for leak in own]
-                        for before, own in zip(column(part, "leaks").to_pylist(), leaks(texts, shared.value, coverage=coverage))
+                        for before, own in zip(part.column(index).to_pylist(), leaks(texts, shared.value, coverage=coverage))
                     ]
-                    yield pa.RecordBatch.from_arrays(
-                        [column(part, n) for n in names] + [pa.array(found, kind)], [*names, "leaks"]
-                    )
-
-        schema = ", ".join(f"`{n}` {t}" for n, t in out.dtypes)
-        out = out.withColumn("_lower", _lower()).mapInArrow(run, schema)
-    return out
-
+                    yield part.set_column(index, "leaks", pa.array(found, kind))
 
-def _lower() -> Column:
-    return F.lower(F.coalesce("text", F.lit("")))
+        out = out.mapInArrow(run, schema)
+    return unpacked(out, "leaks")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that contain no benchmark item, with their own columns."""
-    return with_leaks(docs, benchmark, coverage).where(F.size("leaks") == 0).drop("leaks")
+    marked = with_leaks(docs.withColumnsRenamed({"leaks": "leaks_"}) if "leaks" in docs.columns else docs, benchmark, coverage)
+    kept = marked.where(F.size("leaks") == 0).drop("leaks")
+    return kept.withColumnsRenamed({"leaks_": "leaks"}) if "leaks" in docs.columns else kept

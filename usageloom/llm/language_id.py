@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from usageloom.llm.arrays import bytes_of, column, slices
 from usageloom.llm.samples import labelled_sample
+from usageloom.llm.staging import packed, unpacked
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -149,23 +150,22 @@ def fit_on(training: DataFrame, sample: int = SAMPLE) -> Model:
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """Add lang_pred and score; all other columns pass through."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_letters", rows=ROWS):
-                known = np.array(column(part, "_known").to_numpy(zero_copy_only=False), bool)
+            for part in slices(batch, "letters", rows=ROWS):
+                known = np.array(column(part, "known").to_numpy(zero_copy_only=False), bool)
                 language, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 if known.any() and model.languages:
-                    x = histograms(*bytes_of(column(part, "_letters")))
+                    x = histograms(*bytes_of(column(part, "letters")))
                     language[known], score[known] = model.predict(x[known])
                 codes = [model.languages[i] if k and model.languages else UNKNOWN for i, k in zip(language, known)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, name) for name in names] + [pa.array(codes, pa.string()), pa.array(score)],
-                    [*names, "lang_pred", "score"],
+                    [column(part, "row"), pa.array(codes, pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
                 )
 
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    letters = F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" "))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double"
-    return docs.withColumn("_known", known).withColumn("_letters", letters).mapInArrow(run, schema)
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known")
+    letters = F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" ")).alias("letters")
+    rows = packed(docs, known, letters)
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    return unpacked(rows.mapInArrow(run, schema), "lang_pred", "score")

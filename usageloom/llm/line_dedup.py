@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageloom.llm.arrays import bytes_of, column, slices
-from usageloom.llm.staging import Stage, ordered_ranks
+from usageloom.llm.staging import Stage, ordered_ranks, packed, unpacked
 from usageloom.llm.textstats import Words, lines
 
 #: Words of the shortest run that is deleted.
@@ -39,10 +39,10 @@ MIN_WORDS = 8
 _LINES = "d long, h long, seq int, line int, a long, b long, ahead int, behind int"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keys() -> list[Column]:
     """A document's key: doc_id (the least long for null) and a hash of its text."""
     least = F.lit(-(1 << 63)).cast("long")
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), least), "h": F.xxhash64("text")})
+    return [F.coalesce(F.col("doc_id").cast("long"), least).alias("d"), F.xxhash64("text").alias("h")]
 
 
 def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -87,7 +87,7 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                     [c.split()[0] for c in _LINES.split(", ")],
                 )
 
-    texts = _keyed(docs).select("d", "h", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, _LINES)
 
 
@@ -150,13 +150,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = stage.keep(
         rows.join(covered, ["d", "h", "seq"]).groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
     )
-    joined = _keyed(docs).join(removed, ["d", "h"], "left").drop("d", "h")
-    joined = joined.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-    return _cut(joined.select(*docs.columns, "removed_lines"))
+    joined = packed(docs, *_keys(), F.col("text")).join(removed, ["d", "h"], "left")
+    rows = joined.select("row", "text", F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    return unpacked(_cut(rows), "text", "removed_lines").select(
+        *[c for c in docs.columns if c != "removed_lines"], "removed_lines"
+    )
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """Take removed_lines out of the texts; all columns pass through."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """Take removed_lines out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,5 +170,5 @@ def _cut(docs: DataFrame) -> DataFrame:
             index = batch.schema.get_field_index("text")
             yield batch.set_column(index, "text", pa.array(texts, batch.schema.field(index).type))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, schema)
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, removed_lines array<int>"
+    return rows.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from usageloom.llm.arrays import bytes_of, column
 from usageloom.llm.components import components
-from usageloom.llm.staging import Stage
+from usageloom.llm.staging import Stage, packed, unpacked
 
 WORDS = 4
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
 
 
 def with_fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of each document."""
+    """doc_id, a hash of the text and the fingerprint (as signed longs) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +77,14 @@ def with_fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
             cut = bounds.tolist()
             prints = [fingerprint(raw[a:b], size) for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"]
+                [column(batch, "doc_id"), column(batch, "text_key"), pa.array(prints, pa.int64())],
+                ["doc_id", "text_key", "fp"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    return texts.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _keys(keyed: int, radius: int) -> list[Column]:
@@ -268,7 +271,7 @@ def links(stage: Stage, fingerprints: DataFrame, radius: int = RADIUS) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp and the least doc_id of its component."""
+    """One row per document: doc_id, text_key, fp, its component's least fp (root) and least doc_id."""
     stage = Stage(docs.sparkSession, "simhash")
     prints = stage.keep(with_fingerprints(docs, size))
     nodes = stage.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -277,6 +280,20 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) ->
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage.keep(rooted.join(least, "root").select("fp", "component_id"))
-    stage.drop(nodes, found) if hasattr(found, "_staged_path") else stage.drop(nodes)
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stage.keep(rooted.join(least, "root").select("fp", "root", "component_id"))
+    stage.drop(nodes)
+    return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that of the least doc_id (null first), with its own columns."""
+    least = F.lit(-(1 << 63)).cast("long")
+    keys = [F.coalesce(F.col("doc_id").cast("long"), least).alias("d"), F.xxhash64("text").alias("h")]
+    chosen = (
+        near_duplicates(docs, size, radius)
+        .groupBy("root")
+        .agg(F.min(F.struct(F.coalesce("doc_id", least).alias("d"), F.col("text_key").alias("h"))).alias("k"))
+        .select("k.*")
+    )
+    kept = packed(docs, *keys).join(chosen, ["d", "h"]).dropDuplicates(["d", "h"])
+    return unpacked(kept)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.session import scratch_dir
@@ -14,23 +14,34 @@ class Stage:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = scratch_dir(spark, job)
-        self.count = 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back: a lost executor costs no recomputation."""
-        path = f"{self.root}/{self.count}"
-        self.count += 1
+        path = f"{self.root}/{len(self.kept)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._staged_path = path
+        self.kept.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove staged tables through the cluster's file system."""
         jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            folder = jvm.org.apache.hadoop.fs.Path(table._staged_path)
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        for table, path in self.kept:
+            if any(table is gone for gone in tables):
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of a table as one column `row`, beside working columns: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """The table again, with the named columns added; they replace columns of the same names."""
+    own = [f.name for f in rows.schema["row"].dataType.fields if f.name not in columns]
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in own], *columns)
 
 
 def ordered_ranks(stage: Stage, keys: DataFrame, by: list[str], name: str) -> DataFrame:
