@@ -26,7 +26,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         product = product * (x + k)
     y = x + 8
     inverse = 1 / (y * y)
-    series = (1 / 12 - inverse * (1 / 360 - inverse / 1260)) / y
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse / 1680))) / y
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(product)
 
 
@@ -128,26 +128,28 @@ def build(code: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> Subtrees:
 
 @dataclass
 class Crown:
-    """Estimates and stop weights of depths 0 and 1, as dense arrays by node."""
+    """Estimates, stop weights and presence of depths 0 and 1, as dense arrays by node."""
 
     one: tuple[np.ndarray, np.ndarray]
     stop: tuple[np.ndarray, np.ndarray]
+    seen: tuple[np.ndarray, np.ndarray]
 
 
 def crown(top_key: np.ndarray, top_counts: np.ndarray, top_weighted: np.ndarray) -> Crown:
     """Weight the two depths above all subtrees."""
     key = shorter(top_key, 1).astype(np.int64)
     n = [np.bincount(key, c, 1 << 16) for c in top_counts]
-    ones, stops = [], []
+    ones, stops, seen = [], [], []
     under = np.bincount(key, top_weighted, 1 << 16)
-    for size in (1 << 16, 1 << 8):
+    for _ in range(2):
         own = kt(n[0], n[1])
         weighted = np.logaddexp(own, under) - _LN2
         ones.append((n[1] + 0.5) / (n[0] + n[1] + 1.0))
-        stops.append(np.exp(np.minimum(0.0, own - _LN2 - weighted)))
+        seen.append(n[0] + n[1] > 0)
+        stops.append(np.where(seen[-1], np.exp(np.minimum(0.0, own - _LN2 - weighted)), 0.0))
         under = weighted.reshape(-1, 256).sum(axis=0)
         n = [x.reshape(-1, 256).sum(axis=0) for x in n]
-    return Crown((ones[1], ones[0]), (stops[1], stops[0]))
+    return Crown((ones[1], ones[0]), (stops[1], stops[0]), (seen[1], seen[0]))
 
 
 def log10_probability(code: np.ndarray, trees: Subtrees, top: Crown, depth: int = DEPTH) -> np.ndarray:
@@ -162,9 +164,9 @@ def log10_probability(code: np.ndarray, trees: Subtrees, top: Crown, depth: int
         node = _node_key(code, bit)
         low = (node & np.uint64(255)).astype(np.int64)
         near = (shorter(code, depth - 1) & ~np.uint64(255)).astype(np.int64) | low
-        mixed, left = np.zeros(len(code)), np.ones(len(code))
-        for index, p, stop in zip((low, near), top.one, top.stop):
-            last = np.where(one, p[index], 1 - p[index])
+        mixed, left, last = np.zeros(len(code)), np.ones(len(code)), np.full(len(code), 0.5)
+        for index, p, stop, seen in zip((low, near), top.one, top.stop, top.seen):
+            last = np.where(seen[index], np.where(one, p[index], 1 - p[index]), last)
             mixed += left * stop[index] * last
             left *= 1 - stop[index]
         known = np.arange(len(code))
