@@ -3,8 +3,9 @@
 Documents become token ids and an end id; only documents longer than a sequence
 are cut. Pieces are dealt into groups of bounded size that are packed apart from
 each other. Inside a group each piece, longest first, goes where the sum of the
-squared numbers of open bins per residual gap becomes least. At the end of a
-group the emptiest open bins are dissolved while their pieces fit elsewhere.
+squared numbers of open bins per residual gap becomes least, once with a new bin
+as a free choice and once as the last resort, and the better packing is taken.
+At the end the emptiest open bins are dissolved while their pieces fit elsewhere.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated
 rows are packed as often as they occur; an empty table gives no pieces.
@@ -147,7 +148,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of item numbers; items are taken longest first."""
+    """Bins of item numbers; items are taken longest first.
+
+    Packed twice, with a new bin as a choice at any time, and as the last
+    resort only; the packing of fewer bins is kept.
+    """
+    return min((_packed(lengths, capacity, free) for free in (True, False)), key=len)
+
+
+def _packed(lengths: np.ndarray, capacity: int, free: bool) -> list[list[int]]:
     open_bins = np.zeros(capacity + 1, np.int64)
     at_gap: dict[int, list[int]] = {}
     bins: list[list[int]] = []
@@ -162,7 +171,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[i
         cost = np.where(here > 0, cost, np.iinfo(np.int64).max)
         best = int(np.argmin(cost)) if len(cost) else 0
         fresh = 2 * int(open_bins[left]) + 1 if left else 0
-        if not len(cost) or cost[best] > fresh:
+        if not len(cost) or not here[best] or (free and cost[best] > fresh):
             chosen = len(bins)
             bins.append([])
             gaps.append(capacity)
