@@ -121,7 +121,7 @@ def _exceeds(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.nda
 
 def near_lanes(fps: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int):
     """Cells (query row, plane word) that still have lanes within the radius, and those lanes."""
-    depth = radius.bit_length()
+    depth = max(1, radius.bit_length())
     value = fps[query]
     counter = [np.zeros(len(query), np.uint64) for _ in range(depth)]
     over = np.zeros(len(query), np.uint64)
