@@ -1552,8 +1552,10 @@ def stream_ingest_envelopes(spark, sf_dir):
     drop, root = scratch_dir(spark, "drop"), scratch_dir(spark, "store")
     d.envelopes(base).write.parquet(drop)
     tables = jobs.Tables(root)
+    bindings = scratch_dir(spark, "registry")
+    d.registry(base).write.parquet(bindings)
     started = stream_ingest.stream_ingest_envelopes(
-        spark, drop, d.registry(base), tables, d.ZONE, scratch_dir(spark, "stream-checkpoint")
+        spark, drop, bindings, tables, d.ZONE, scratch_dir(spark, "stream-checkpoint")
     )
     started.awaitTermination()
     return spark.read.parquet(tables.uploads).groupBy(*DEVICE).agg(

@@ -72,11 +72,11 @@ def register_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def touch_last_seen(registry: DataFrame, seen: DataFrame) -> DataFrame:
-    """Move last_seen_at to each token's latest successful upload."""
+    """Move last_seen_at forward to each token's latest successful upload, never back."""
     latest = seen.groupBy("token_hash").agg(F.max("uploaded_at").alias("_latest"))
     return registry.join(latest, "token_hash", "left").select(
         *[
-            F.coalesce("_latest", "last_seen_at").alias(c) if c == "last_seen_at" else F.col(c)
+            F.greatest("_latest", "last_seen_at").alias(c) if c == "last_seen_at" else F.col(c)
             for c in registry.columns
         ]
     )

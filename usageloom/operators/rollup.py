@@ -60,7 +60,7 @@ def call_grain(events: DataFrame, keys: Sequence[str], scope: Scope) -> DataFram
 
 def half_hours(calls: DataFrame, keys: Sequence[str], scope: Scope) -> DataFrame:
     """One row per session and aligned half hour, as wide as the longest counted gap."""
-    slot = F.expr(f"unix_seconds(event_ts) div {ACTIVE_GAP_SECONDS} AS _slot")
+    slot = F.expr(f"CAST(floor(unix_seconds(event_ts) / {ACTIVE_GAP_SECONDS}) AS bigint) AS _slot")
     return calls.groupBy(*_names(keys, scope.session), slot).agg(
         *[F.expr(f"sum({t} * usage_event_count) AS _{t}") for t in TOKENS],
         F.expr(

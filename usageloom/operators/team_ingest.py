@@ -15,7 +15,7 @@ from usageloom.operators.registry import resolve_device
 from usageloom.sources.envelopes import envelope_events, open_envelopes
 
 EVENT_IDENTITY = (*DEVICE, "event_key")
-ARRIVAL = ("received_at", "envelope_id", "position")
+ARRIVAL = ("received_at", "envelope_id", "arrival", "position")
 
 
 @dataclass(frozen=True)
@@ -36,17 +36,17 @@ class IngestRun:
         return self.results_given(self.accepted)
 
     def results_given(self, accepted: DataFrame) -> DataFrame:
-        """One result per envelope, from the accepted events or their stored copy.
+        """One result per arrival of an envelope, from the accepted events or their stored copy.
 
         Duplicates are valid less accepted, so copies of a hot key meet in an
         aggregate and never in one task's window.
         """
         present = F.col("event_text_present")
-        tallies = self.screened.groupBy("envelope_id").agg(
+        tallies = self.screened.groupBy("envelope_id", "arrival").agg(
             F.count_if(present).alias("event_count"),
             F.count_if(present & F.col("reject_reason").isNotNull()).alias("rejected"),
         )
-        counted = accepted.groupBy("envelope_id").agg(F.count(F.lit(1)).alias("accepted"))
+        counted = accepted.groupBy("envelope_id", "arrival").agg(F.count(F.lit(1)).alias("accepted"))
         zero = F.lit(0).cast("bigint")
         duplicate = (
             F.coalesce("event_count", zero)
@@ -54,8 +54,8 @@ class IngestRun:
             - F.coalesce("accepted", zero)
         )
         return (
-            self.checked.join(tallies, "envelope_id", "left")
-            .join(counted, "envelope_id", "left")
+            self.checked.join(tallies, ["envelope_id", "arrival"], "left")
+            .join(counted, ["envelope_id", "arrival"], "left")
             .select(
                 "envelope_id",
                 "token_hash",
@@ -71,8 +71,13 @@ class IngestRun:
 
 
 def check_envelopes(envelopes: DataFrame, registry: DataFrame) -> DataFrame:
-    """Opened, resolved envelopes with the ``code`` of the first failed guard."""
-    sized = envelopes.withColumn("too_long", too_many_chars(F.col("body")))
+    """Opened, resolved envelopes with the ``code`` of the first failed guard.
+
+    ``arrival`` tells repeats of one envelope in a batch apart: a retry is an
+    upload of its own, whose events are duplicates.
+    """
+    numbered = envelopes.withColumn("arrival", F.monotonically_increasing_id())
+    sized = numbered.withColumn("too_long", too_many_chars(F.col("body")))
     return resolve_device(open_envelopes(sized), registry).withColumn("code", envelope_code())
 
 
@@ -80,6 +85,7 @@ def attribute_events(screened: DataFrame, zone: str) -> DataFrame:
     """Team, user and device come from the token's binding, never from the client."""
     return screened.select(
         "envelope_id",
+        "arrival",
         "position",
         *[F.col(f"bound_{c}").alias(c) for c in DEVICE],
         *[
@@ -102,6 +108,7 @@ def screened_batch(checked: DataFrame) -> DataFrame:
         .withColumn("event_text_present", present)
         .select(
             "envelope_id",
+            "arrival",
             "position",
             "uploaded_at",
             *[f"bound_{c}" for c in DEVICE],

@@ -1,11 +1,14 @@
 """Batch jobs that read and write tables. One writer per table at a time.
 
-Every run writes its own ``run_id=…`` directory, so a failed or repeated run
-replaces what it wrote before and nothing is counted twice.
+Every write of a run goes to a fresh ``attempt=…`` folder, and one commit row
+makes all folders of the attempt visible at once. A run that fails leaves
+nothing that readers see, whatever it wrote before; repeating it starts afresh.
+Repeating a committed ingest run changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -25,6 +28,7 @@ from usageloom.operators.idempotent import (
     manifest_rows,
 )
 from usageloom.operators.team_ingest import (
+    IngestRun,
     check_envelopes,
     ingest_checked,
     ledger_rows,
@@ -36,8 +40,8 @@ from usageloom.sources.lines import file_line_counts, file_listing
 from usageloom.sources.message_log import message_log_lines, message_log_records
 from usageloom.sources.snapshot_log import snapshot_log_lines, snapshot_log_records
 
-# Files read by one slice of a refresh.
-SLICE_FILES = 20_000
+# Files named to one read; any number gives the same store.
+FILES_PER_READ = 20_000
 
 
 @dataclass(frozen=True)
@@ -63,8 +67,8 @@ class Tables:
         return f"{self.root}/manifest"
 
     @property
-    def runs(self) -> str:
-        return f"{self.root}/runs"
+    def commits(self) -> str:
+        return f"{self.root}/commits"
 
 
 _TYPES = {
@@ -95,35 +99,73 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("scanned_at", T.TimestampType()),
     ]
 )
-_PARTITIONS = [T.StructField("run_id", T.LongType()), T.StructField("year_month", T.IntegerType())]
+COMMIT_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+    ]
+)
+_ATTEMPT = [T.StructField("attempt", T.StringType())]
+_MONTH = [T.StructField("year_month", T.IntegerType())]
 
 
-def read_runs(
-    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, monthly=True
-) -> DataFrame:
-    """A table of run directories, optionally only the runs before one."""
-    whole = T.StructType(schema.fields + (_PARTITIONS if monthly else _PARTITIONS[:1]))
+def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        table = spark.read.schema(whole).option("basePath", path).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        table = spark.createDataFrame([], whole)
-    return table if before is None else table.filter(F.col("run_id") < before)
+        return spark.createDataFrame([], schema)
 
 
-def write_run(df: DataFrame, path: str, run_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+def read_commits(spark: SparkSession, tables: Tables) -> DataFrame:
+    """(run_id, seq, attempt) of every finished attempt; seq is the order of commits."""
+    return _existing(spark, tables.commits, COMMIT_SCHEMA)
 
 
-def write_events_run(events: DataFrame, path: str, run_id: int) -> None:
-    (
-        events.withColumn("year_month", year_month(F.col("local_date")))
-        .sortWithinPartitions("year_month", "event_ts")
-        .write.mode("overwrite")
-        .partitionBy("year_month")
-        .parquet(f"{path}/run_id={run_id}")
-    )
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, monthly: bool = True) -> DataFrame:
+    """A table's rows from committed attempts, with the attempt's place ``seq``."""
+    table = _existing(spark, path, T.StructType(schema.fields + _ATTEMPT + (_MONTH if monthly else [])))
+    done = read_commits(spark, Tables(path.rsplit("/", 1)[0])).select("attempt", "seq")
+    return table.join(done, "attempt").drop("attempt")
+
+
+@dataclass(frozen=True)
+class Attempt:
+    """The folders of one try of a run; nothing is visible before ``commit``."""
+
+    spark: SparkSession
+    tables: Tables
+    run_id: str
+    name: str
+
+    @staticmethod
+    def begin(spark: SparkSession, tables: Tables, run_id: int | str) -> Attempt:
+        return Attempt(spark, tables, str(run_id), uuid.uuid4().hex)
+
+    def folder(self, path: str) -> str:
+        return f"{path}/attempt={self.name}"
+
+    def write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(self.folder(path))
+        return self.spark.read.schema(df.schema).parquet(self.folder(path))
+
+    def write_events(self, events: DataFrame) -> DataFrame:
+        folder = self.folder(self.tables.events)
+        (
+            events.withColumn("year_month", year_month(F.col("local_date")))
+            .sortWithinPartitions("year_month", "event_ts")
+            .write.partitionBy("year_month")
+            .parquet(folder)
+        )
+        schema = T.StructType(events.schema.fields + _MONTH)
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+    def commit(self) -> None:
+        last = read_commits(self.spark, self.tables).agg(F.max("seq")).first()[0]
+        row = self.spark.createDataFrame([(self.run_id, (last or 0) + 1)], "run_id string, seq bigint")
+        row.coalesce(1).write.parquet(self.folder(self.tables.commits))
 
 
 def stage(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
@@ -139,32 +181,48 @@ def run_team_ingest(
     registry: DataFrame,
     tables: Tables,
     zone: str,
-    run_id: int,
+    run_id: int | str,
 ) -> DataFrame:
-    """Ingest one batch of envelopes; returns the result per envelope.
+    """Ingest one batch of envelopes; returns the result per arrival.
 
-    Bodies are parsed once: checked envelopes and screened events are staged,
-    and everything else reads those.
+    Bodies are parsed once: opened envelopes are staged, and everything else
+    reads those. A run that was committed before returns its stored results.
     """
-    checked = check_envelopes(envelopes, registry)
+    done = read_commits(spark, tables).filter(F.col("run_id") == str(run_id)).first()
+    if done is not None:
+        return spark.read.parquet(f"{tables.results}/attempt={done.attempt}")
+    checked = stage(spark, check_envelopes(envelopes, registry).drop("body"), "opened")
     screened = stage(spark, screened_batch(checked), "screened")
-    guarded = stage(spark, checked.drop("body", "events"), "guarded")
-    stored = read_runs(spark, tables.events, TEAM_SCHEMA, before=run_id)
-    run = ingest_checked(guarded, screened, stored, zone)
-    write_events_run(run.accepted, tables.events, run_id)
-    appended = read_runs(spark, tables.events, _with_arrival(), before=run_id + 1).filter(
-        F.col("run_id") == run_id
-    )
-    results = run.results_given(appended)
-    write_run(results, tables.results, run_id)
-    written = spark.read.schema(results.schema).parquet(f"{tables.results}/run_id={run_id}")
-    write_run(ledger_rows(written, zone), tables.uploads, run_id)
+    guarded = checked.drop("events")
+    attempt = Attempt.begin(spark, tables, run_id)
+    try:
+        stored = read_runs(spark, tables.events, TEAM_SCHEMA)
+        run = ingest_checked(guarded, screened, stored, zone)
+        appended = attempt.write_events(run.accepted)
+        written = attempt.write(run.results_given(appended), tables.results)
+        attempt.write(ledger_rows(written, zone), tables.uploads)
+        attempt.commit()
+    except Exception as failure:
+        record_failure(spark, guarded, screened, tables, zone, run_id, f"{type(failure).__name__}: {failure}"[:500])
+        raise
     return written
 
 
-def _with_arrival() -> T.StructType:
-    extra = [T.StructField("envelope_id", T.StringType()), T.StructField("position", T.IntegerType())]
-    return T.StructType(TEAM_SCHEMA.fields + extra)
+def record_failure(
+    spark: SparkSession,
+    guarded: DataFrame,
+    screened: DataFrame,
+    tables: Tables,
+    zone: str,
+    run_id: int | str,
+    message: str,
+) -> None:
+    """Ledger rows of a run whose storing failed; the run itself stays open to be repeated."""
+    attempt = Attempt.begin(spark, tables, f"{run_id} failed")
+    nothing = spark.createDataFrame([], "envelope_id string, arrival bigint")
+    results = IngestRun(guarded, screened, nothing).results
+    attempt.write(ledger_rows(results, zone, storage_error=message), tables.uploads)
+    attempt.commit()
 
 
 def incremental_refresh(
@@ -173,42 +231,77 @@ def incremental_refresh(
     message_paths: str | list[str] | None,
     tables: Tables,
     zone: str,
-    run_id: int,
+    run_id: int | str,
     scanned_at: datetime,
     on_error: str = "continue",
+    files_per_read: int = FILES_PER_READ,
 ) -> dict[str, int]:
     """Replay changed log files into the local store.
 
     A changed file is read from its start: that is what makes differences of
-    running totals right without any stored state. ``on_error="fail"`` stops
-    before anything of a slice with unreadable lines is written.
+    running totals right without any stored state. All changed files of a tool
+    are decoded before one decision on errors, one choice of the first copy of
+    each key and one insert. ``on_error="fail"`` stops before anything is written.
     """
     if on_error not in ("continue", "fail"):
         raise ValueError("on_error must be continue or fail")
-    totals = dict.fromkeys(
-        ("files_scanned", "files_changed", "events_inserted", "events_skipped", "errors"), 0
-    )
+    names = ("files_scanned", "files_changed", "events_inserted", "events_skipped", "errors")
+    totals = dict.fromkeys(names, 0)
+    attempt = Attempt.begin(spark, tables, run_id)
+    stored = read_runs(spark, tables.events, LOCAL_SCHEMA)
+    manifest = current_manifest(spark, tables)
+    fresh = entries = None
     for tool, paths in (("codex", snapshot_paths), ("claude-code", message_paths)):
         if not paths:
             continue
         listing = file_listing(spark, paths, tool)
-        manifest = current_manifest(spark, tables)
         changed = stage(spark, changed_files(listing, manifest), "changed")
         totals["files_scanned"] += listing.count()
-        for part, uris in enumerate(_slices(changed, SLICE_FILES)):
-            files = changed.join(
-                spark.createDataFrame([(u,) for u in uris], "uri string"), "uri", "left_semi"
-            )
-            counts = _refresh_slice(
-                spark, tool, uris, files, tables, zone, _slice_id(run_id, tool, part), scanned_at, on_error
-            )
-            for name, count in counts.items():
-                totals[name] += count
+        batch, errors, last_lines = _decoded(spark, tool, changed, zone, files_per_read)
+        totals["files_changed"] += changed.count()
+        totals["events_skipped"] += batch.count()
+        totals["errors"] += errors.count()
+        new = insert_new_events(batch, stored, ("event_key",), ("source_path", "line_number"))
+        rows = manifest_rows(changed, batch, errors, last_lines, scanned_at)
+        fresh = new if fresh is None else fresh.unionByName(new)
+        entries = rows if entries is None else entries.unionByName(rows)
+    if totals["errors"] and on_error == "fail":
+        raise RuntimeError(f"{totals['errors']} unreadable log lines")
+    if totals["files_changed"]:
+        totals["events_inserted"] = attempt.write_events(fresh).count()
+        totals["events_skipped"] -= totals["events_inserted"]
+        attempt.write(entries, tables.manifest)
+        attempt.commit()
     return totals
 
 
-def _slice_id(run_id: int, tool: str, part: int) -> int:
-    return (run_id * 2 + (tool == "claude-code")) * 1_000_000 + part
+def _decoded(
+    spark: SparkSession, tool: str, changed: DataFrame, zone: str, files_per_read: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, errors and line counts of all changed files, staged."""
+    records, counts = scratch_dir(spark, "records"), scratch_dir(spark, "lines")
+    for part, uris in enumerate(_slices(changed, files_per_read)):
+        if tool == "codex":
+            decoded = snapshot_log_records(snapshot_log_lines(spark, uris))
+        else:
+            decoded = message_log_records(message_log_lines(spark, uris))
+        decoded.write.parquet(f"{records}/part={part}")
+        file_line_counts(spark, uris).write.parquet(f"{counts}/part={part}")
+    lines = _existing(spark, counts, _line_schema())
+    if tool == "codex":
+        rows = _existing(spark, records, _schema_of(spark, snapshot_log_records))
+        return stage(spark, snapshot_events(rows, zone), "batch"), decode_errors(rows), lines
+    rows = _existing(spark, records, _schema_of(spark, message_log_records))
+    none = spark.createDataFrame([], "path string, line bigint, message string")
+    return stage(spark, message_events(rows, zone), "batch"), none, lines
+
+
+def _line_schema() -> T.StructType:
+    return T.StructType([T.StructField("path", T.StringType()), T.StructField("last_line", T.LongType())])
+
+
+def _schema_of(spark: SparkSession, decode) -> T.StructType:
+    return decode(spark.createDataFrame([], "path string, line_no bigint, line string")).schema
 
 
 def _slices(changed: DataFrame, size: int) -> Iterator[list[str]]:
@@ -220,43 +313,4 @@ def _slices(changed: DataFrame, size: int) -> Iterator[list[str]]:
 
 def current_manifest(spark: SparkSession, tables: Tables) -> DataFrame:
     rows = read_runs(spark, tables.manifest, MANIFEST_SCHEMA, monthly=False)
-    return latest_per_key(rows, ("tool", "path"), ("scanned_at", "run_id")).drop("run_id")
-
-
-def _refresh_slice(
-    spark: SparkSession,
-    tool: str,
-    uris: list[str],
-    files: DataFrame,
-    tables: Tables,
-    zone: str,
-    slice_id: int,
-    scanned_at: datetime,
-    on_error: str,
-) -> dict[str, int]:
-    if tool == "codex":
-        records = stage(spark, snapshot_log_records(snapshot_log_lines(spark, uris)), "records")
-        batch, errors = snapshot_events(records, zone), decode_errors(records)
-    else:
-        records = stage(spark, message_log_records(message_log_lines(spark, uris)), "records")
-        batch = message_events(records, zone)
-        errors = spark.createDataFrame([], "path string, line bigint, message string")
-    failed = errors.count()
-    if failed and on_error == "fail":
-        raise RuntimeError(f"{failed} unreadable log lines")
-    batch = stage(spark, batch, "batch")
-    stored = read_runs(spark, tables.events, LOCAL_SCHEMA, before=slice_id)
-    fresh = insert_new_events(batch, stored, ("event_key",), ("source_path", "line_number"))
-    write_events_run(fresh, tables.events, slice_id)
-    inserted = (
-        read_runs(spark, tables.events, LOCAL_SCHEMA).filter(F.col("run_id") == slice_id).count()
-    )
-    entries = manifest_rows(files, batch, errors, file_line_counts(spark, uris), scanned_at)
-    write_run(entries, tables.manifest, slice_id)
-    return {
-        "files_changed": files.count(),
-        "events_inserted": inserted,
-        "events_skipped": batch.count() - inserted,
-        "errors": failed,
-    }
-
+    return latest_per_key(rows, ("tool", "path"), ("scanned_at", "seq")).drop("seq")

@@ -142,8 +142,8 @@ def health_status(status: Column, gap_seconds: Column) -> Column:
 
 
 def latest_uploads(uploads: DataFrame) -> DataFrame:
-    """Newest upload of each device."""
-    newest = F.max_by(F.struct("upload_time", *_OUTCOME), "upload_time")
+    """Newest upload of each device; among equal times the greatest outcome."""
+    newest = F.max(F.struct("upload_time", *_OUTCOME))
     return uploads.groupBy(*DEVICE).agg(newest.alias("_u"))
 
 
@@ -166,7 +166,7 @@ def upload_health(uploads: DataFrame, as_of: datetime) -> DataFrame:
 
 def recent_uploads(uploads: DataFrame, rows: int = RECENT_UPLOADS_PER_DEVICE) -> DataFrame:
     """Newest uploads per device; each task keeps its best few before the shuffle."""
-    newest = Window.partitionBy(*DEVICE).orderBy(F.col("upload_time").desc())
+    newest = Window.partitionBy(*DEVICE).orderBy(*[F.col(c).desc() for c in ("upload_time", *_OUTCOME)])
     return (
         uploads.withColumn("position", F.row_number().over(newest))
         .filter(F.col("position") <= rows)
@@ -175,7 +175,7 @@ def recent_uploads(uploads: DataFrame, rows: int = RECENT_UPLOADS_PER_DEVICE) ->
 
 
 def upload_list(uploads: DataFrame, rows: int = UPLOAD_LIST_ROWS) -> DataFrame:
-    return uploads.orderBy(F.col("upload_time").desc(), *DEVICE).limit(rows)
+    return uploads.orderBy(F.col("upload_time").desc(), *DEVICE, *[F.col(c).desc() for c in _OUTCOME]).limit(rows)
 
 
 def team_compare_summary(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
@@ -218,21 +218,25 @@ _TEXT_FIELDS = ("team_id", "user_id", "display_name", "tool", "model")
 
 
 def ranked_team_models(
-    events: DataFrame, registry: DataFrame, field: str = "total_tokens", descending: bool = True
+    events: DataFrame,
+    registry: DataFrame,
+    field: str = "total_tokens",
+    descending: bool = True,
+    rows: int = RANKED_MODEL_ROWS,
 ) -> DataFrame:
-    """Model detail by any field, text without regard to case; the top fifty rows."""
+    """Model detail by any field, text without regard to case; the top rows."""
     column = F.lower(F.col(field)) if field in _TEXT_FIELDS else F.col(field)
     lead = column.desc() if descending else column.asc()
     return (
         _model_detail(events, registry)
         .orderBy(lead, F.col("local_date").desc(), "tool", "model", "team_id", "user_id")
-        .limit(RANKED_MODEL_ROWS)
+        .limit(rows)
     )
 
 
-def overview_top6(ranked_report: DataFrame) -> DataFrame:
+def overview_top6(ranked_report: DataFrame, rows: int = OVERVIEW_ROWS) -> DataFrame:
     """The first rows of a report that is already in its order."""
-    return ranked_report.limit(OVERVIEW_ROWS)
+    return ranked_report.limit(rows)
 
 
 def filter_facets(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,31 +14,51 @@ from usageloom.plans.jobs import Tables, run_team_ingest
 DROP_SCHEMA = "envelope_id string, token string, uploaded_at timestamp, body string"
 
 
+#: Files that one micro-batch takes in.
+FILES_PER_BATCH = 1_000
+
+
 def stream_ingest_envelopes(
     spark: SparkSession,
     drop_dir: str,
-    registry: DataFrame,
+    registry: str,
     tables: Tables,
     zone: str,
     checkpoint: str,
     every: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Run the batch ingest on each micro-batch of newly dropped files.
 
-    Exact: the batch's run id is its batch id, so a batch repeated after a
-    failure replaces its own output. ``every`` keeps polling, such as
-    ``"300 seconds"``; without it the query ends once the directory is read.
+    ``registry`` is the path of the stored registry, read anew for each batch, so
+    a revoked token stops working. Exact: a run is named by the query's id, which
+    its checkpoint keeps, and the batch id, so a batch repeated after a failure
+    finds its own commit and a query on a new checkpoint meets no old run.
+    ``every`` keeps polling, such as ``"300 seconds"``; without it the query ends
+    once the directory is read.
     """
-    arrivals = spark.readStream.schema(DROP_SCHEMA).option("recursiveFileLookup", "true").parquet(
-        drop_dir
+    arrivals = (
+        spark.readStream.schema(DROP_SCHEMA)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(drop_dir)
     )
+    query_id: list[str] = []
+    named = Event()
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        run_team_ingest(batch.sparkSession, batch, registry, tables, zone, batch_id)
+        named.wait()
+        session = batch.sparkSession
+        run_team_ingest(
+            session, batch, session.read.parquet(registry), tables, zone, f"{query_id[0]}/{batch_id}"
+        )
 
     writer = arrivals.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    started = writer.trigger(**trigger).start()
+    query_id.append(str(started.id))
+    named.set()
+    return started
 
 
 def stream_dedupe(events: DataFrame, horizon: str) -> DataFrame:
