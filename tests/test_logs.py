@@ -18,6 +18,7 @@ from usageloom.operators.decode import (
     snapshot_events,
 )
 from usageloom.operators.rollup import usage_rollup
+from usageloom.plans import jobs
 from usageloom.plans.jobs import (
     LOCAL_SCHEMA,
     Tables,
@@ -308,3 +309,44 @@ def test_series_shuffle_is_shared(spark, tmp_path):
     events.collect()
     plan = events._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("on_error", ["continue", "fail"])
+def test_the_reading_unit_does_not_change_the_store(spark, tmp_path, on_error):
+    logs = tmp_path / "logs"
+    write(logs, "a.jsonl", token("2026-04-30T10:00:00Z", 7), token("2026-04-30T10:00:01Z", 9))
+    write(logs, "b.jsonl", token("2026-04-30", 1), token("2026-04-30T10:00:02Z", 4))
+    write(logs, "c.jsonl", token("2026-04-30T10:00:03Z", 5))
+    stores = []
+    for size in (1, 2, 20_000):
+        tables = Tables(str(tmp_path / f"store{size}"))
+        try:
+            incremental_refresh(spark, str(logs), None, tables, ZONE, 1, NOW, on_error, files_per_read=size)
+        except RuntimeError:
+            assert on_error == "fail"
+        rows = read_runs(spark, tables.events, LOCAL_SCHEMA).drop("seq").collect()
+        stores.append(sorted(map(str, rows)))
+    assert stores[0] == stores[1] == stores[2]
+    assert len(stores[0]) == (4 if on_error == "continue" else 0)
+
+
+def test_a_repeated_run_keeps_earlier_files(spark, tmp_path):
+    logs, tables = tmp_path / "logs", Tables(str(tmp_path / "store"))
+    write(logs, "a.jsonl", token("2026-04-30T10:00:00Z", 7))
+    incremental_refresh(spark, str(logs), None, tables, ZONE, 1, NOW)
+    write(logs, "b.jsonl", token("2026-04-30T10:00:01Z", 9))
+    incremental_refresh(spark, str(logs), None, tables, ZONE, 1, NOW)
+    assert read_runs(spark, tables.events, LOCAL_SCHEMA).count() == 2
+    assert current_manifest(spark, tables).count() == 2
+
+
+def test_a_refresh_that_fails_before_its_commit_is_repeated_whole(spark, tmp_path, monkeypatch):
+    logs, tables = tmp_path / "logs", Tables(str(tmp_path / "store"))
+    write(logs, "a.jsonl", token("2026-04-30T10:00:00Z", 7))
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs.Attempt, "commit", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            incremental_refresh(spark, str(logs), None, tables, ZONE, 1, NOW)
+    assert read_runs(spark, tables.events, LOCAL_SCHEMA).count() == 0
+    assert incremental_refresh(spark, str(logs), None, tables, ZONE, 1, NOW)["events_inserted"] == 1
+    assert read_runs(spark, tables.events, LOCAL_SCHEMA).count() == 1

@@ -12,11 +12,12 @@ from usageloom.operators import outbox
 from usageloom.operators.gate import too_many_chars
 from usageloom.operators.idempotent import first_per_key, insert_new_events
 from usageloom.operators.rank import minute, ranked
-from usageloom.operators.registry import device_names, register_tokens, upsert_registry
+from usageloom.operators.registry import device_names, register_tokens, touch_last_seen, upsert_registry
 from usageloom.operators.rollup import usage_rollup
 from usageloom.operators.team_ingest import ingest_team_batch, ledger_rows
-from usageloom.plans import documents, local_reports, periods, team_reports
+from usageloom.plans import documents, jobs, local_reports, periods, team_reports
 from usageloom.plans.jobs import TEAM_SCHEMA, Tables, read_runs, run_team_ingest
+from usageloom.streaming.ingest import stream_ingest_envelopes
 
 ZONE = "Asia/Shanghai"
 AT = datetime(2026, 5, 1, 9)
@@ -251,16 +252,16 @@ def test_week_comparison(spark):
         row("2026-05-15T02:00:00", "late", tokens=(999, 0, 0, 0, 999)),
     )
     pair = periods.resolve_period("week", date(2026, 5, 21))
-    both = {r.period: r for r in team_reports.team_compare_summary(spark, events, pair).collect()}
+    both = {r.period: r for r in team_reports.team_compare_summary(spark, events, pair, ZONE).collect()}
     assert (both["current"].total_tokens, both["previous"].total_tokens) == (3000, 1000)
     assert (both["current"].users, both["current"].label) == (2, "This Week")
-    delta = team_reports.team_compare_delta(events, pair).first()
+    delta = team_reports.team_compare_delta(events, pair, ZONE).first()
     assert (delta.total_tokens, delta.total_tokens_rate, delta.users) == (2000, 2.0, 1)
-    days = team_reports.team_compare_daily(spark, events, pair).collect()
+    days = team_reports.team_compare_daily(spark, events, pair, ZONE).collect()
     assert [(d.label, d.delta_total_tokens) for d in days] == [
         ("Mon", 0), ("Tue", 600), ("Wed", 1400), ("Thu", 0),
     ]
-    nothing = team_reports.team_compare_summary(spark, events.filter("false"), pair).collect()
+    nothing = team_reports.team_compare_summary(spark, events.filter("false"), pair, ZONE).collect()
     assert [r.total_tokens for r in nothing] == [0, 0]
 
 
@@ -417,3 +418,88 @@ def test_documents(spark):
     assert [t["tool"] for t in parsed["tools"]] == ["codex", "claude-code"]
     rows = documents.report_rows({"sessions": local_reports.local_sessions(events)}, ZONE).collect()
     assert json.loads(rows[0]["item"])["non_cached_input_tokens"] == 6
+
+
+def test_comparisons_push_their_bounds_to_the_scan(spark, tmp_path):
+    pair = periods.resolve_period("week", date(2024, 1, 17))
+    spark.createDataFrame([], TEAM_SCHEMA).write.parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    registry = spark.createDataFrame([], "token_hash string, team_id string, user_id string, device_id string, display_name string")
+    plans = [
+        local_reports.local_compare_summary(spark, fact, pair, ZONE),
+        local_reports.local_compare_delta(fact, pair, ZONE),
+        local_reports.local_compare_daily(spark, fact, pair, ZONE),
+        local_reports.local_compare_models(fact, pair, ZONE),
+        local_reports.local_compare_tools(fact, pair, ZONE),
+        team_reports.team_compare_summary(spark, fact, pair, ZONE),
+        team_reports.team_compare_delta(fact, pair, ZONE),
+        team_reports.team_compare_daily(spark, fact, pair, ZONE),
+        team_reports.team_compare_users(fact, registry, pair, ZONE),
+        team_reports.team_compare_models(fact, pair, ZONE),
+        team_reports.team_compare_tools(fact, pair, ZONE),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in text.splitlines() if "FileScan parquet" in line]
+        assert scans and all("GreaterThanOrEqual(event_ts" in x and "LessThan(event_ts" in x for x in scans)
+
+
+def test_a_retry_in_one_batch_is_counted_once(spark, registry):
+    body = {"client_user_id": "u", "events": [event("a", "2026-05-01T08:00:00Z", 5)]}
+    twice = envelopes(spark, ("e1", "token-one", body), ("e1", "token-one", body))
+    run = ingest_team_batch(twice, registry, empty_store(spark), ZONE)
+    rows = sorted((r.event_count, r.accepted, r.duplicate) for r in run.results.collect())
+    assert rows == [(1, 0, 1), (1, 1, 0)]
+
+
+def test_a_failed_run_leaves_a_ledger_row_and_can_be_repeated(spark, registry, tmp_path, monkeypatch):
+    body = {"client_user_id": "u", "events": [event("a", "2026-05-01T08:00:00Z", 5)]}
+    tables = Tables(str(tmp_path / "store"))
+    sent = envelopes(spark, ("e1", "token-one", body))
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs.Attempt, "write_events", lambda self, events: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_team_ingest(spark, sent, registry, tables, ZONE, 7)
+    failed = spark.read.parquet(tables.uploads).collect()
+    assert [(r.status, r.event_count, r.accepted) for r in failed] == [("error", 1, 0)]
+    assert read_runs(spark, tables.events, TEAM_SCHEMA).count() == 0
+    assert run_team_ingest(spark, sent, registry, tables, ZONE, 7).first().accepted == 1
+    assert read_runs(spark, tables.events, TEAM_SCHEMA).count() == 1
+
+
+def test_a_stream_on_a_new_checkpoint_keeps_earlier_batches(spark, registry, tmp_path):
+    tables, drop = Tables(str(tmp_path / "store")), str(tmp_path / "drop")
+    registry.write.parquet(str(tmp_path / "registry"))
+    for n in (1, 2):
+        body = {"client_user_id": "u", "events": [event(f"k{n}", "2026-05-01T08:00:00Z", 5)]}
+        envelopes(spark, (f"e{n}", "token-one", body)).write.mode("append").parquet(drop)
+        stream_ingest_envelopes(
+            spark, drop, str(tmp_path / "registry"), tables, ZONE, str(tmp_path / f"checkpoint{n}")
+        ).awaitTermination()
+        assert read_runs(spark, tables.events, TEAM_SCHEMA).count() == n
+
+
+def test_half_hours_before_1970_are_aligned(spark):
+    rows = spark.sql(
+        """SELECT 't' AS team_id, 'u' AS user_id, 'd' AS device_id, 'codex' AS tool, 's' AS session_id, 'm' AS model,
+        CAST(ts AS timestamp) AS event_ts, 1L AS input_tokens, 0L AS cached_input_tokens, 0L AS output_tokens,
+        0L AS reasoning_output_tokens, 1L AS total_tokens, 'a' AS source_kind, 'b' AS source_quality
+        FROM VALUES ('1969-12-31 23:31:00'), ('1970-01-01 00:20:00') AS v(ts)"""
+    )
+    assert usage_rollup(rows, [], TEAM).first().active_seconds == 0
+
+
+def test_last_seen_never_goes_back(spark):
+    registry = spark.sql("SELECT 'h' AS token_hash, timestamp'2026-05-02 00:00:00' AS last_seen_at")
+    seen = spark.sql("SELECT 'h' AS token_hash, timestamp'2026-05-01 00:00:00' AS uploaded_at")
+    assert touch_last_seen(registry, seen).first().last_seen_at.day == 2
+
+
+def test_equal_upload_times_have_a_defined_order(spark):
+    rows = spark.sql(
+        """SELECT 't' AS team_id, 'u' AS user_id, 'd' AS device_id, timestamp'2026-05-01 00:00:00' AS upload_time, *
+        FROM VALUES ('ok', 2L, 0L, 0L), ('error', 0L, 0L, 0L), ('ok', 1L, 0L, 0L) AS v(status, accepted, duplicate, rejected)"""
+    )
+    for order in (rows, rows.orderBy("accepted"), rows.orderBy(F.col("accepted").desc())):
+        assert team_reports.latest_uploads(order.coalesce(1)).first()._u.accepted == 2
+        assert [r.accepted for r in team_reports.recent_uploads(order).orderBy("position").collect()] == [2, 1, 0]

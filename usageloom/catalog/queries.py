@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -990,15 +990,14 @@ FROM (VALUES {_period_rows({
 })}) v(kind,period,a,b) LEFT JOIN moved m ON m.local_date BETWEEN v.a AND v.b GROUP BY ALL"""
 )
 def resolve_period(spark, sf_dir):
-    moved = d.usage_dec(d.usage_base(spark, sf_dir)).select("local_date", "total_tokens")
-    days = moved.groupBy("local_date").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("t"))
+    moved = d.usage_dec(d.usage_base(spark, sf_dir)).select("event_ts", "total_tokens")
     out = None
     for kind in periods.PERIOD_LABELS:
         pair = periods.resolve_period(kind, d.AS_OF)
         part = (
-            periods.split_periods(days, pair)
+            periods.split_periods(moved, pair, d.ZONE)
             .groupBy(F.lit(kind).alias("kind"), "period")
-            .agg(F.sum("n").alias("events"), F.sum("t").alias("total_tokens"))
+            .agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens"))
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -1006,7 +1005,7 @@ def resolve_period(spark, sf_dir):
 
 @query(o.with_(o.BASE, o.periods(o.WEEK)) + "SELECT event_key, local_date, period FROM p")
 def split_periods(spark, sf_dir):
-    return periods.split_periods(d.usage(spark, sf_dir), WEEK).select(
+    return periods.split_periods(d.usage(spark, sf_dir), WEEK, d.ZONE).select(
         "event_key", "local_date", "period"
     )
 
@@ -1205,27 +1204,36 @@ def local_sessions_page_info(spark, sf_dir):
 
 @query(o.compare_summary(_L))
 def local_compare_summary(spark, sf_dir):
-    return local_reports.local_compare_summary(spark, d.usage(spark, sf_dir), WEEK)
+    return local_reports.local_compare_summary(spark, d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_delta(_L))
 def local_compare_delta(spark, sf_dir):
-    return local_reports.local_compare_delta(d.usage(spark, sf_dir), WEEK)
+    return local_reports.local_compare_delta(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_daily())
 def local_compare_daily(spark, sf_dir):
-    return local_reports.local_compare_daily(spark, d.usage(spark, sf_dir), WEEK)
+    return local_reports.local_compare_daily(spark, d.usage(spark, sf_dir), WEEK, d.ZONE)
+
+
+_UTC_DAYS = "moved AS (SELECT * REPLACE (CAST(event_ts AS DATE) AS local_date) FROM base)"
+
+
+@query(o.compare_daily(_UTC_DAYS))
+def local_compare_daily_utc(spark, sf_dir):
+    """Days of another zone than the one the facts were written in."""
+    return local_reports.local_compare_daily(spark, d.usage(spark, sf_dir), WEEK, "UTC")
 
 
 @query(o.compare_by(("model",)))
 def local_compare_models(spark, sf_dir):
-    return local_reports.local_compare_models(d.usage(spark, sf_dir), WEEK)
+    return local_reports.local_compare_models(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_by(("tool",)))
 def local_compare_tools(spark, sf_dir):
-    return local_reports.local_compare_tools(d.usage(spark, sf_dir), WEEK)
+    return local_reports.local_compare_tools(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 # --- team reports ------------------------------------------------------------
@@ -1257,16 +1265,18 @@ def team_summary(spark, sf_dir):
 
 @query(
     o.with_(
-        o.BASE, "u AS (SELECT * FROM base WHERE tool<>'other' AND team_id<>'team-2')", o.rollup(("team_id",), _T), o.UPLOADS,
-        "latest AS (SELECT team_id, max(upload_time) AS last_upload_at FROM uploads GROUP BY 1)",
+        o.BASE, "u AS (SELECT * FROM base WHERE tool<>'other')", o.rollup(("team_id",), _T), o.UPLOADS,
+        """latest AS (SELECT team_id, max(upload_time) AS last_upload_at FROM (SELECT team_id, upload_time FROM uploads
+    UNION ALL SELECT team_id||'-silent', upload_time FROM uploads WHERE team_id='team-2') GROUP BY 1)""",
     )
     + f"""SELECT team_id, {o.filled('r', ('users', 'devices'))}, r.started_at, r.ended_at, last_upload_at
 FROM r FULL JOIN latest USING (team_id)"""
 )
 def team_rollup(spark, sf_dir):
-    """Teams, one of which has uploads but no events."""
-    events = d.usage(spark, sf_dir).filter(F.col("team_id") != "team-2")
-    return team_reports.team_rollup(events, _uploads(spark, sf_dir))
+    """All teams, and one that has uploads but no events."""
+    uploads = _uploads(spark, sf_dir)
+    silent = uploads.filter(F.col("team_id") == "team-2").withColumn("team_id", F.lit("team-2-silent"))
+    return team_reports.team_rollup(d.usage(spark, sf_dir), uploads.unionByName(silent))
 
 
 _USER = ("team_id", "user_id")
@@ -1338,15 +1348,15 @@ def team_user_daily(spark, sf_dir):
     + """SELECT team_id, user_id, device_id, upload_time AS last_upload_at, gap AS upload_gap_seconds,
   CASE WHEN status<>'ok' THEN 'error' WHEN gap>7200 THEN 'stale' WHEN gap>1800 THEN 'warning' ELSE 'ok' END AS health_status,
   status AS latest_status, accepted AS latest_accepted, duplicate AS latest_duplicate, rejected AS latest_rejected
-FROM (SELECT *, greatest(0, 1705464000 - floor(epoch(upload_time))::BIGINT) AS gap,
-  row_number() OVER (PARTITION BY team_id, user_id, device_id ORDER BY upload_time DESC) AS nth
-  FROM uploads WHERE upload_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-17' AND upload_time <= TIMESTAMP '2024-01-17 04:00:00')
+FROM (SELECT *, greatest(0, floor(epoch(max(upload_time) OVER ()))::BIGINT + 60 - floor(epoch(upload_time))::BIGINT) AS gap,
+  row_number() OVER (PARTITION BY team_id, user_id, device_id ORDER BY upload_time DESC) AS nth FROM uploads)
 WHERE nth=1"""
 )
 def upload_health(spark, sf_dir):
-    known = F.col("upload_time") <= F.lit("2024-01-17 04:00:00").cast("timestamp")
-    uploads = facts.read_uploads(_uploads(spark, sf_dir), SPAN.start, d.AS_OF).filter(known)
-    return team_reports.upload_health(uploads, d.AS_OF_INSTANT)
+    """The whole ledger, seen a minute after its last upload."""
+    uploads = _uploads(spark, sf_dir)
+    last = uploads.agg(F.max(F.unix_seconds("upload_time"))).first()[0]
+    return team_reports.upload_health(uploads, datetime.fromtimestamp(last + 60, timezone.utc))
 
 
 @query(
@@ -1369,17 +1379,17 @@ def upload_list(spark, sf_dir):
 @query(o.compare_summary(_T, o.DEC, o.MONTH_PAIR, ("This Month", "Previous Month")))
 def team_compare_summary(spark, sf_dir):
     """Month to date against the same days of December."""
-    return team_reports.team_compare_summary(spark, d.usage_dec(d.usage(spark, sf_dir)), MONTH)
+    return team_reports.team_compare_summary(spark, d.usage_dec(d.usage(spark, sf_dir)), MONTH, d.ZONE)
 
 
 @query(o.compare_delta(_T))
 def team_compare_delta(spark, sf_dir):
-    return team_reports.team_compare_delta(d.usage(spark, sf_dir), WEEK)
+    return team_reports.team_compare_delta(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_daily(o.DEC, o.MONTH_PAIR, 17))
 def team_compare_daily(spark, sf_dir):
-    return team_reports.team_compare_daily(spark, d.usage_dec(d.usage(spark, sf_dir)), MONTH)
+    return team_reports.team_compare_daily(spark, d.usage_dec(d.usage(spark, sf_dir)), MONTH, d.ZONE)
 
 
 @query(
@@ -1396,17 +1406,17 @@ def team_compare_daily(spark, sf_dir):
     )
 )
 def team_compare_users(spark, sf_dir):
-    return team_reports.team_compare_users(d.usage(spark, sf_dir), _registry(spark, sf_dir), WEEK)
+    return team_reports.team_compare_users(d.usage(spark, sf_dir), _registry(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_by(("model",)))
 def team_compare_models(spark, sf_dir):
-    return team_reports.team_compare_models(d.usage(spark, sf_dir), WEEK)
+    return team_reports.team_compare_models(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 @query(o.compare_by(("tool",)))
 def team_compare_tools(spark, sf_dir):
-    return team_reports.team_compare_tools(d.usage(spark, sf_dir), WEEK)
+    return team_reports.team_compare_tools(d.usage(spark, sf_dir), WEEK, d.ZONE)
 
 
 # --- dashboard ---------------------------------------------------------------

@@ -19,7 +19,7 @@ def _counted(scope: Scope) -> list[str]:
 
 
 def compare_summary(
-    spark: SparkSession, events: DataFrame, pair: PeriodPair, scope: Scope
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, scope: Scope, zone: str
 ) -> DataFrame:
     """One row per period with its label and dates; a period without events is zero."""
     labels = spark.createDataFrame(
@@ -30,17 +30,17 @@ def compare_summary(
         "period string, label string, start_date date, end_date date",
     )
     metrics = _counted(scope)
-    totals = usage_rollup(split_periods(events, pair), ["period"], scope).select("period", *metrics)
+    totals = usage_rollup(split_periods(events, pair, zone), ["period"], scope).select("period", *metrics)
     zero = F.lit(0).cast("bigint")
     return labels.join(totals, "period", "left").select(
         *labels.columns, *[F.coalesce(m, zero).alias(m) for m in metrics]
     )
 
 
-def compare_delta(events: DataFrame, pair: PeriodPair, scope: Scope) -> DataFrame:
+def compare_delta(events: DataFrame, pair: PeriodPair, scope: Scope, zone: str) -> DataFrame:
     """Current less previous for each metric, with the rate of the token change."""
     metrics = _counted(scope)
-    totals = usage_rollup(split_periods(events, pair), ["period"], scope)
+    totals = usage_rollup(split_periods(events, pair, zone), ["period"], scope)
     zero = F.lit(0).cast("bigint")
 
     def of(period: str, metric: str):
@@ -78,14 +78,16 @@ def _with_delta(sums: DataFrame) -> DataFrame:
 
 
 def compare_by(
-    events: DataFrame, pair: PeriodPair, keys: Sequence[str], rows: int = COMPARE_ROWS
+    events: DataFrame, pair: PeriodPair, keys: Sequence[str], zone: str, rows: int = COMPARE_ROWS
 ) -> DataFrame:
     """The largest token changes per key, up or down; ties go by key."""
-    deltas = _with_delta(_token_sums(split_periods(events, pair), keys))
+    deltas = _with_delta(_token_sums(split_periods(events, pair, zone), keys))
     return deltas.orderBy(F.abs("delta_total_tokens").desc(), *keys).limit(rows)
 
 
-def compare_daily(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
+def compare_daily(
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
     """Day i of the current period beside day i of the previous one.
 
     Days the previous period lacks count zero, but keep their date.
@@ -93,7 +95,7 @@ def compare_daily(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> D
     start = F.when(F.col("period") == CURRENT, F.lit(pair.current.start)).otherwise(
         F.lit(pair.previous.start)
     )
-    indexed = split_periods(events, pair).withColumn(
+    indexed = split_periods(events, pair, zone).withColumn(
         "day_index", F.datediff("local_date", start).cast("bigint")
     )
     spine = spark.range(pair.current.days).withColumnRenamed("id", "day_index")

@@ -129,21 +129,31 @@ def deep_page(sessions: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
-def local_compare_summary(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_summary(spark, events, pair, LOCAL)
+def local_compare_summary(
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_summary(spark, events, pair, LOCAL, zone)
 
 
-def local_compare_delta(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_delta(events, pair, LOCAL)
+def local_compare_delta(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_delta(events, pair, LOCAL, zone)
 
 
-def local_compare_daily(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_daily(spark, events, pair)
+def local_compare_daily(
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_daily(spark, events, pair, zone)
 
 
-def local_compare_models(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_by(events, pair, ["model"])
+def local_compare_models(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_by(events, pair, ["model"], zone)
 
 
-def local_compare_tools(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_by(events, pair, ["tool"])
+def local_compare_tools(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_by(events, pair, ["tool"], zone)

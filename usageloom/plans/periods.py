@@ -9,6 +9,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usageloom.sources.facts import in_range
+
 # Allowed day counts and period names with their labels.
 DAY_COUNTS = (1, 7, 30)
 PERIOD_LABELS = {
@@ -92,10 +94,18 @@ def period_of(day: Column, pair: PeriodPair) -> Column:
     )
 
 
-def split_periods(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    """One scan for both periods: keep their events and say which one each is in."""
-    return events.withColumn("period", period_of(F.col("local_date"), pair)).filter(
-        F.col("period").isNotNull()
+def split_periods(events: DataFrame, pair: PeriodPair, zone: str) -> DataFrame:
+    """One scan for both periods: keep their events and say which one each is in.
+
+    Dates are those of the query's zone. The bounds on ``event_ts`` from the
+    start of the previous to the end of the current period reach the scan.
+    """
+    start = min(pair.previous.start, pair.current.start)
+    end = max(pair.previous.end, pair.current.end)
+    return (
+        in_range(events, start, end, zone)
+        .withColumn("period", period_of(F.col("local_date"), pair))
+        .filter(F.col("period").isNotNull())
     )
 
 

@@ -178,26 +178,34 @@ def upload_list(uploads: DataFrame, rows: int = UPLOAD_LIST_ROWS) -> DataFrame:
     return uploads.orderBy(F.col("upload_time").desc(), *DEVICE, *[F.col(c).desc() for c in _OUTCOME]).limit(rows)
 
 
-def team_compare_summary(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_summary(spark, events, pair, TEAM)
+def team_compare_summary(
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_summary(spark, events, pair, TEAM, zone)
 
 
-def team_compare_delta(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_delta(events, pair, TEAM)
+def team_compare_delta(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_delta(events, pair, TEAM, zone)
 
 
-def team_compare_daily(spark: SparkSession, events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_daily(spark, events, pair)
+def team_compare_daily(
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_daily(spark, events, pair, zone)
 
 
-def team_compare_users(events: DataFrame, registry: DataFrame, pair: PeriodPair) -> DataFrame:
+def team_compare_users(
+    events: DataFrame, registry: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
     """Largest changes per user, named by the current period where it has the user."""
-    top = compare_by(events, pair, ["team_id", "user_id"])
+    top = compare_by(events, pair, ["team_id", "user_id"], zone)
     order = F.struct(
         F.when(F.col("period") == CURRENT, 0).otherwise(1).alias("p"), "event_ts", "device_id"
     )
     first = (
-        split_periods(events, pair)
+        split_periods(events, pair, zone)
         .join(top.select("team_id", "user_id"), ["team_id", "user_id"], "left_semi")
         .groupBy("team_id", "user_id")
         .agg(F.min_by("device_id", order).alias("_first_device"))
@@ -206,12 +214,16 @@ def team_compare_users(events: DataFrame, registry: DataFrame, pair: PeriodPair)
     return named.orderBy(F.abs("delta_total_tokens").desc(), "team_id", "user_id")
 
 
-def team_compare_models(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_by(events, pair, ["model"])
+def team_compare_models(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_by(events, pair, ["model"], zone)
 
 
-def team_compare_tools(events: DataFrame, pair: PeriodPair) -> DataFrame:
-    return compare_by(events, pair, ["tool"])
+def team_compare_tools(
+    events: DataFrame, pair: PeriodPair, zone: str
+) -> DataFrame:
+    return compare_by(events, pair, ["tool"], zone)
 
 
 _TEXT_FIELDS = ("team_id", "user_id", "display_name", "tool", "model")
