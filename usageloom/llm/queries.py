@@ -24,11 +24,18 @@ SHARDS = 40
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Rows and bytes that a Python worker is handed at once.
+BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Set a session up for Python workers: small batches, and this package on their path.
 
-    On a cluster without that folder the package is sent with --py-files.
+    On a cluster without the driver's folder the package is sent with --py-files.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:

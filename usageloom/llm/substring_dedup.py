@@ -54,7 +54,7 @@ LENGTH = 100
 KEY = 50
 #: Bytes of text in a part.
 PART_BYTES = 24 << 20
-BUCKETS = 64
+BUCKETS = 256
 #: Parts that report an anchor, from which on it is dealt by single strings.
 HOT_PARTS = 4096
 HOT_IN_PART = 4096
@@ -251,7 +251,7 @@ def _snippets(buckets: int, length: int = LENGTH) -> Callable:
         out = [(part, -1, _marks(rows["d"][again], rows["h"][again], rows["start"][again], rows["starts"][again]))]
         for b, own in _by_bucket(_bucket(rows["key"][kept], buckets), buckets):
             own = kept[own]
-            blob = pack_table({k: rows[k][own] for k in ("key", "d", "h", "start", "starts", "anchor", "size")})
+            blob = pack_table({k: rows[k][own] for k in ("key", "content", "d", "h", "start", "starts", "anchor", "size")})
             text = data[gathered(begin[own], rows["size"][own])]
             out.append((part, b, len(blob).to_bytes(8, "little") + blob + pack_numbers(text)))
         return _batch(out, _SENT)
@@ -360,14 +360,12 @@ class _Pool:
         data = np.concatenate([x for _, x in self.waiting] + ([] if self.rows is None else [self.data]))
         self.waiting, self.size = [], 0
         begin = np.cumsum(rows["size"]) - rows["size"]
-        content = range_hashes(data, begin, begin + rows["size"])
-        order = np.lexsort((rows["start"], rows["h"], rows["d"], content, rows["size"], rows["key"]))
-        same = np.zeros(len(order), bool)
-        for name in ("key", "size"):
+        order = np.lexsort((rows["start"], rows["h"], rows["d"], rows["content"], rows["size"], rows["key"]))
+        same = np.ones(len(order), bool)
+        for name in ("key", "size", "content"):
             value = rows[name][order]
-            same[1:] = (value[1:] == value[:-1]) & (same[1:] if name == "size" else True)
-        hashed = content[order]
-        same[1:] &= hashed[1:] == hashed[:-1]
+            same[1:] &= value[1:] == value[:-1]
+        same[:1] = False
         gone = order[same]
         kept = order[~same]
         self.data = data[gathered(begin[kept], rows["size"][kept])]
