@@ -242,13 +242,14 @@ def upload_envelopes(spark, sf_dir):
 
 
 @query(
-    o.with_(o.BASE)
+    o.with_(o.BASE, o.DEC)
     + f"""SELECT event_key, tool, session_id, event_ts, local_date, year(local_date)*100+month(local_date) AS year_month,
-  {", ".join(TOKENS)} FROM base WHERE {o.MONTH}"""
+  {", ".join(TOKENS)} FROM moved WHERE {o.MONTH}"""
 )
 def read_usage(spark, sf_dir):
+    """One month of a fact that holds several."""
     path = scratch_dir(spark, "fact")
-    facts.write_usage_by_month(d.team_events(d.usage_base(spark, sf_dir)), path)
+    facts.write_usage_by_month(d.team_events(d.usage_dec(d.usage_base(spark, sf_dir))), path)
     read = facts.read_usage(spark, path, SPAN.start, SPAN.end, d.ZONE)
     return read.select(
         "event_key", "tool", "session_id", "event_ts", "local_date",
@@ -601,13 +602,18 @@ def identity_conflict(spark, sf_dir):
     return _checked(spark, sf_dir).groupBy("code").agg(F.count("*").alias("envelopes"))
 
 
+_BODY = "CASE WHEN doc_id%100=0 THEN repeat(text, 1 + CAST(floor(1048576/length(text)) AS INT)) ELSE text END"
+
+
 @query(
-    """SELECT doc_id, length(text) > 1048576 AS too_long,
-  CASE WHEN length(text) > 1048576 THEN 'payload_too_large' ELSE 'unauthorized' END AS code FROM documents"""
+    f"""SELECT doc_id, length(body) > 1048576 AS too_long,
+  CASE WHEN length(body) > 1048576 THEN 'payload_too_large' ELSE 'unauthorized' END AS code
+FROM (SELECT doc_id, {_BODY} AS body FROM documents)"""
 )
 def envelope_limits(spark, sf_dir):
-    """The size guard comes before the token guard, on every document text."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    """The size guard comes before the token guard, on every document text, some over-long."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select("doc_id", F.expr(_BODY).alias("body"))
     opened = env.open_envelopes(
         texts.select(
             "doc_id",
@@ -778,14 +784,19 @@ def registry_listing(spark, sf_dir):
     return registry.registry_listing(_registry(spark, sf_dir))
 
 
+_TOKEN = "CASE WHEN doc_id%7=0 THEN ' ' WHEN doc_id%3=0 THEN source ELSE source||'-token-'||doc_id END"
+
+
 @query(
-    """SELECT doc_id, CASE WHEN trim(source)='' THEN 'unrecoverable'
-  WHEN length(source)<=12 THEN left(source,1)||'****'||right(source,1)
-  ELSE left(source,6)||'****'||right(source,4) END AS token_preview, sha256(source) AS token_hash FROM documents"""
+    f"""SELECT doc_id, CASE WHEN trim(token)='' THEN 'unrecoverable'
+  WHEN length(token)<=12 THEN left(token,1)||'****'||right(token,1)
+  ELSE left(token,6)||'****'||right(token,4) END AS token_preview, sha256(token) AS token_hash
+FROM (SELECT doc_id, {_TOKEN} AS token FROM documents)"""
 )
 def register_tokens(spark, sf_dir):
-    tokens = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("token"))
-    return registry.register_tokens(tokens)
+    """Blank, short and long tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return registry.register_tokens(docs.select("doc_id", F.expr(_TOKEN).alias("token")))
 
 
 @query(
@@ -1188,9 +1199,8 @@ def local_sessions_page(spark, sf_dir):
     + " ORDER BY started_at DESC, session_id LIMIT 10 OFFSET 150"
 )
 def local_sessions_deep_page(spark, sf_dir):
-    """Page 16 by counted positions, as pages far down the list are found."""
-    sessions = local_reports.session_buckets(_month(spark, sf_dir))
-    return local_reports.deep_page(sessions, 151, 160)
+    """A page far down the list."""
+    return local_reports.local_sessions_page(_month(spark, sf_dir), page=16, page_size=10)[0]
 
 
 @query(
@@ -1307,6 +1317,18 @@ def team_models(spark, sf_dir):
     return team_reports.team_models(_month(spark, sf_dir))
 
 
+@query(
+    o.with_(
+        o.BASE, f"u AS (SELECT * FROM base WHERE tool='codex' AND team_id='team-1' AND {o.MONTH})", o.rollup(("model",), _T)
+    )
+    + f"SELECT model, {_columns(_TEAM_METRICS)} FROM r"
+)
+def team_models_filtered(spark, sf_dir):
+    """A report of one team and one tool."""
+    chosen = facts.match(_month(spark, sf_dir), team_id="team-1", tool="codex", user_id=" ")
+    return team_reports.team_models(chosen)
+
+
 @query(
     o.with_(
         o.BASE, o.USAGE, o.rollup(("tool",), _T),
@@ -1471,7 +1493,7 @@ def ordered_events(spark, sf_dir):
     """Events in order; places by counting, so that the order itself is checked."""
     events = d.usage_base(spark, sf_dir).select("event_ts", "event_key")
     order = (F.col("event_ts").asc(), F.col("event_key").asc())
-    placed = rank.ranked(events, order, rank.minute("event_ts"), name="place")
+    placed = rank.ranked(events, order, name="place")
     return facts.ordered_events(placed)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from usageloom.functions.instants import canonical_instant
 from usageloom.functions.texts import is_blank
 from usageloom.model import COLLECTOR_VERSION, LOOKBACK_DAYS, MAX_ENVELOPE_EVENTS, TOKENS
-from usageloom.operators.rank import minute, ranked
+from usageloom.operators.rank import ranked
 
 
 def upload_batches(events: DataFrame, batch: int = MAX_ENVELOPE_EVENTS) -> DataFrame:
@@ -19,7 +19,6 @@ def upload_batches(events: DataFrame, batch: int = MAX_ENVELOPE_EVENTS) -> DataF
     placed = ranked(
         events,
         order=(F.col("event_ts").asc(), F.col("event_key").asc()),
-        bucket=minute("event_ts"),
         within=("user_id", "device_id"),
         name="place",
     )

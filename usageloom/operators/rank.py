@@ -6,40 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from usageloom.session import scratch_dir
 
 
 def ranked(
-    rows: DataFrame,
-    order: Sequence[Column],
-    bucket: Column,
-    within: Sequence[str] = (),
-    descending: bool = False,
-    name: str = "rank",
+    rows: DataFrame, order: Sequence[Column], within: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
     """Add the one-based position of each row in ``order`` inside ``within``.
 
-    ``bucket`` must follow the leading order column, such as its minute. Rows
-    are numbered inside their bucket and shifted by the count of the buckets
-    before it. Only the counts, one row per bucket, are ever in one task.
+    Rows are dealt by ranges of the whole order, so many rows of one instant or
+    one group spread over many tasks. The dealt rows are written once; a row's
+    position is its place in its range plus the rows of its group in earlier
+    ranges. Only those counts, one per range and group, are ever in one task.
     """
     within = list(within)
-    cut = rows.withColumn("_bucket", bucket)
-    along = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    earlier = Window.partitionBy(*within).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    along = [*[F.col(c).asc() for c in within], *order]
+    path = scratch_dir(rows.sparkSession, "ranked")
+    (
+        rows.repartitionByRange(*along)
+        .sortWithinPartitions(*along)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
+        .write.parquet(path)
+    )
+    more = [T.StructField("_range", T.IntegerType()), T.StructField("_place", T.LongType())]
+    dealt = rows.sparkSession.read.schema(T.StructType(rows.schema.fields + more)).parquet(path)
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        cut.groupBy(*within, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+        dealt.groupBy(*within, "_range")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1 - F.col("_first"))
+        .drop("_rows", "_first")
     )
-    inside = Window.partitionBy(*within, "_bucket").orderBy(*order)
     return (
-        cut.withColumn("_place", F.row_number().over(inside))
-        .join(shifts, [*within, "_bucket"])
+        dealt.join(shifts, [*within, "_range"])
         .withColumn(name, F.col("_shift") + F.col("_place"))
-        .drop("_bucket", "_place", "_shift")
+        .drop("_range", "_place", "_shift")
     )
-
-
-def minute(ts: str) -> Column:
-    return F.floor(F.unix_seconds(ts) / 60)

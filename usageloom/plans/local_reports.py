@@ -6,14 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.model import LOCAL, MAX_SESSION_PAGE, TOKENS
-from usageloom.operators.rank import minute, ranked
 from usageloom.operators.rollup import METRICS, distinct_values, histograms, usage_rollup
 from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary
 from usageloom.plans.periods import PeriodPair, Range, day_spine
 
-# Pages up to this row are cut with a top-k; deeper ones with counted positions.
-TOP_K_ROWS = 10_000
-
 _ZERO_LONGS = (
     *TOKENS,
     "net_input_tokens",
@@ -97,7 +93,10 @@ def local_sessions(events: DataFrame) -> DataFrame:
 def local_sessions_page(
     events: DataFrame, page: int = 1, page_size: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of sessions, newest first, and the one-row page information."""
+    """One page of sessions, newest first, and the one-row page information.
+
+    The page is found from session starts alone; only its sessions are rolled up.
+    """
     if page < 1:
         raise ValueError("page must be >= 1")
     if not 1 <= page_size <= MAX_SESSION_PAGE:
@@ -109,24 +108,10 @@ def local_sessions_page(
         "total",
         F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("bigint").alias("total_pages"),
     )
-    first, last = (page - 1) * page_size + 1, page * page_size
-    if last <= TOP_K_ROWS:
-        rows = session_buckets(events).orderBy(*_newest_first()).offset(first - 1).limit(page_size)
-    else:
-        rows = deep_page(session_buckets(events), first, last)
-    return rows, info
-
-
-def deep_page(sessions: DataFrame, first: int, last: int) -> DataFrame:
-    """Rows ``first`` to ``last`` of the newest-first order, found by counting."""
-    return (
-        ranked(
-            sessions, _newest_first(), minute("started_at"), descending=True, name="_rank"
-        )
-        .filter(F.col("_rank").between(first, last))
-        .orderBy("_rank")
-        .drop("_rank")
-    )
+    starts = events.groupBy("session_id").agg(F.min("event_ts").alias("started_at"))
+    chosen = starts.orderBy(*_newest_first()).offset((page - 1) * page_size).limit(page_size)
+    own = events.join(chosen.select("session_id"), "session_id", "left_semi")
+    return session_buckets(own).orderBy(*_newest_first()), info
 
 
 def local_compare_summary(

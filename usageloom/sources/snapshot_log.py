@@ -52,7 +52,7 @@ def snapshot_log_records(lines: DataFrame) -> DataFrame:
         & usage.isNotNull()
     )
     kind = F.when(top.isin("session_meta", "turn_context"), top).when(is_token, "token_count")
-    typed = parsed.select(
+    row = F.struct(
         "path",
         "line_no",
         kind.alias("kind"),
@@ -60,7 +60,10 @@ def snapshot_log_records(lines: DataFrame) -> DataFrame:
         F.coalesce("r.payload.model", "r.model").alias("_model"),
         F.when(is_token, parse_instant(F.col("r.timestamp"))).alias("_ts"),
         F.when(is_token, usage).alias("_usage"),
-    ).filter(F.col("kind").isNotNull())
+    )
+    # One row in, one row out: the generator keeps the filter on the kind above
+    # it; below, the line would be parsed again for every term of the filter.
+    typed = parsed.select(F.inline(F.array(row))).filter(F.col("kind").isNotNull())
     token = F.col("kind") == "token_count"
     digits = {t: leading_digits(F.col(f"_usage.{t}")) for t in TOKENS}
     broken = reduce(or_, [F.coalesce(unreadable(x), F.lit(False)) for x in digits.values()])
