@@ -21,6 +21,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,8 @@ from usageloom.llm.staging import Stage
 from usageloom.llm.textstats import Words
 
 #: Bytes of text in a part.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
+#: Least number of buckets; it grows with the square root of the parts, so that blobs stay worth sending.
 BUCKETS = 64
 CODES, WORDS, TEXTS = 1, 2, 3
 _END = b"\n"
@@ -296,6 +298,7 @@ def score_texts(docs: DataFrame, part_bytes: int = PART_BYTES, buckets: int = BU
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
+    buckets = max(buckets, 4 * math.isqrt(parts))
     texts = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"),
