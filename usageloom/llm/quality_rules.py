@@ -35,7 +35,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: Allowed share of good documents that all rules together reject, and the chance of missing it.
-RISK = 0.05
+RISK = 0.02
 DELTA = 0.05
 
 #: Measures of the rules as SQL, each growing with doubt about a text.
@@ -43,8 +43,6 @@ RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "duplicate_lines": "n_dup_lines / greatest(n_words, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "long_words": "word_chars / greatest(n_words, 1) / 100",
-    "short_words": "1 / (1 + word_chars / greatest(n_words, 1))",
 }
 #: Cutoffs tried, loosest first: the same for every rule, fixed before any label is seen.
 CUTOFFS = tuple(round(0.95 ** k, 6) for k in range(120))
