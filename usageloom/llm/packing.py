@@ -33,8 +33,8 @@ CAPACITY = 4096
 END = 1
 #: Pieces packed together by one task.
 GROUP_PIECES = 1 << 15
-#: Token ids of so many distinct words are kept by a worker.
-CACHE_WORDS = 600_000
+#: A worker keeps the token ids of about so many distinct words, and of those used before them.
+CACHE_WORDS = 500_000
 
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -68,10 +68,12 @@ class WordEncoder:
         split = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"]).findall
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Printable ASCII stands for itself.
         self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def encode(self, text: str) -> bytes:
         return _as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
@@ -87,7 +89,10 @@ class WordEncoder:
         for part in split:
             ids = self.parts.get(part)
             if ids is None:
-                ids = _as_bytes([t.id for t in self.merge(part.translate(self.letters))])
+                ids = self.older[1].get(part)
+                if ids is None:
+                    plain = part.isascii() and part.isprintable()
+                    ids = _as_bytes([t.id for t in self.merge(part if plain else part.translate(self.letters))])
                 self.parts[part] = ids
             out.append(ids)
         return b"".join(out)
@@ -99,13 +104,14 @@ class WordEncoder:
         for own in words:
             if own:
                 fresh.update(own)
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        known = self.words
+        if len(self.words) > CACHE_WORDS:
+            self.older = (self.words, self.parts)
+            self.words, self.parts = {}, {}
+        known, older = self.words, self.older[0]
         for word in fresh:
             if word not in known:
-                known[word] = self._word(word)
+                ids = older.get(word)
+                known[word] = self._word(word) if ids is None else ids
         get = known.__getitem__
         return [self.encode(text) if own is None else b"".join(map(get, own)) for text, own in zip(texts, words)]
 
