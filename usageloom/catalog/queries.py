@@ -73,6 +73,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_SPINE_DAYS = "spine AS (SELECT CAST(range AS DATE) AS local_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY))"
+
+
 def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.in_range(d.usage(spark, sf_dir), SPAN.start, SPAN.end, d.ZONE)
 
@@ -895,29 +898,169 @@ def merge_ingest_results(spark, sf_dir):
     return idempotent.merge_ingest_results(runs)
 
 
-@query()
+def _printed(report: DataFrame, key: str) -> DataFrame:
+    """Report rows taken apart again: numbers as values, ratios exactly as printed."""
+
+    def number(*names: str):
+        return F.coalesce(*[F.get_json_object("item", f"$.{n}").cast("bigint") for n in names])
+
+    def text(name: str):
+        found = F.regexp_extract("item", f'"{name}":(-?[0-9.]+)', 1)
+        return F.when(found != "", found)
+
+    return report.select(
+        "section",
+        F.expr(key).alias("key"),
+        number("total_tokens", "current_total_tokens").alias("tokens"),
+        number("session_count", "sessions").alias("sessions"),
+        number("call_count").alias("calls"),
+        text("cache_hit_rate").alias("cache_hit_rate"),
+        text("avg_tokens_per_call").alias("avg_tokens_per_call"),
+        F.coalesce(text("total_tokens_rate"), text("delta_total_tokens_rate")).alias("rate"),
+    )
+
+
+def _printed_sql(section: str, key: str, source: str, kind: str) -> str:
+    """The same columns of one section, ``kind`` saying which of them it has."""
+    six = lambda c: f"CAST(CAST(round({c}, 6) AS DECIMAL(38,6)) AS VARCHAR)"
+    has = {
+        "rollup": f"total_tokens, sessions, call_count, {six('cache_hit_rate')}, CAST(CAST(round(avg_tokens_per_call, 2) AS DECIMAL(38,2)) AS VARCHAR), NULL",
+        "period": "total_tokens, sessions, call_count, NULL, NULL, NULL",
+        "delta": f"total_tokens, sessions, call_count, NULL, NULL, {six('total_tokens_rate')}",
+        "change": f"current_total_tokens, NULL, NULL, NULL, NULL, {six('delta_total_tokens_rate')}",
+        "none": "NULL, NULL, NULL, NULL, NULL, NULL",
+    }[kind]
+    return f"SELECT '{section}' AS section, {key} AS key, {has} FROM {source}"
+
+
+def _report_sql(ctes: tuple[str, ...], parts: list[str]) -> str:
+    columns = "(section, key, tokens, sessions, calls, cache_hit_rate, avg_tokens_per_call, rate)"
+    return o.with_(*ctes) + f"SELECT * FROM ({' UNION ALL '.join(parts)}) p{columns}"
+
+
+_LOCAL_KEY = """coalesce(get_json_object(item, '$.date'), get_json_object(item, '$.session_id'), get_json_object(item, '$.model'),
+  get_json_object(item, '$.tool'), get_json_object(item, '$.period'), get_json_object(item, '$.day_index'), '')"""
+
+
+@query(
+    _report_sql(
+        (
+            o.BASE, o.USAGE, _SPINE_DAYS, *[
+                o.rollup(keys, o.LOCAL_SESSION, name=name)
+                for name, keys in (("rs", ()), ("rd", ("local_date",)), ("rm", ("model",)), ("rt", ("tool",)), ("re", ("session_id",)))
+            ],
+        ),
+        [
+            _printed_sql("summary", "''", "rs", "rollup"),
+            _printed_sql("daily", "CAST(local_date AS VARCHAR)", f"(SELECT s.local_date, {o.filled('rd')} FROM spine s LEFT JOIN rd USING (local_date))", "rollup"),
+            _printed_sql("models", "model", "rm", "rollup"),
+            _printed_sql("tools", "tool", "rt", "rollup"),
+            "SELECT 'sessions', session_id, total_tokens, NULL, call_count, NULL, CAST(CAST(round(avg_tokens_per_call, 2) AS DECIMAL(38,2)) AS VARCHAR), NULL FROM re",
+            _printed_sql("comparison_summary", "period", f"({o.compare_summary(o.LOCAL_SESSION)})", "period"),
+            _printed_sql("comparison_delta", "''", f"({o.compare_delta(o.LOCAL_SESSION)})", "delta"),
+            _printed_sql("comparison_daily", "CAST(day_index AS VARCHAR)", f"({o.compare_daily()})", "change"),
+            _printed_sql("comparison_models", "model", f"({o.compare_by(('model',))})", "change"),
+            _printed_sql("comparison_tools", "tool", f"({o.compare_by(('tool',))})", "change"),
+        ],
+    )
+)
 def report_rows(spark, sf_dir):
-    """Local report as (section, item) JSON rows."""
-    events = _month(spark, sf_dir)
-    sections = {
-        "summary": local_reports.local_summary(events),
-        "daily": local_reports.local_daily(spark, events, SPAN),
-        "models": local_reports.local_models(events),
-        "tools": local_reports.local_tools(events),
-        "sessions": local_reports.local_sessions(events),
-    }
-    return documents.report_rows(sections, d.ZONE)
+    """The whole local report as JSON rows, each read back."""
+    report = documents.local_report(spark, _month(spark, sf_dir), d.usage(spark, sf_dir), SPAN, WEEK, d.ZONE)
+    printed = _printed(report, _LOCAL_KEY)
+    session = F.col("section") == "sessions"
+    return printed.withColumns(
+        {c: F.when(~session, F.col(c)) for c in ("sessions", "cache_hit_rate")}
+    )
+
+
+_TEAM_KEY = """CASE section
+  WHEN 'summary' THEN '' WHEN 'comparison_delta' THEN ''
+  WHEN 'teams' THEN get_json_object(item, '$.team_id')
+  WHEN 'users' THEN concat_ws('/', get_json_object(item, '$.team_id'), get_json_object(item, '$.user_id'))
+  WHEN 'comparison_users' THEN concat_ws('/', get_json_object(item, '$.team_id'), get_json_object(item, '$.user_id'))
+  WHEN 'devices' THEN concat_ws('/', get_json_object(item, '$.team_id'), get_json_object(item, '$.device_id'))
+  WHEN 'team_models' THEN concat_ws('/', get_json_object(item, '$.date'), get_json_object(item, '$.user_id'), get_json_object(item, '$.tool'), get_json_object(item, '$.model'))
+  WHEN 'user_daily' THEN concat_ws('/', get_json_object(item, '$.date'), get_json_object(item, '$.user_id'))
+  WHEN 'upload_health' THEN concat_ws('/', get_json_object(item, '$.device_id'), get_json_object(item, '$.health_status'))
+  WHEN 'uploads' THEN concat_ws('/', get_json_object(item, '$.device_id'), get_json_object(item, '$.upload_date'))
+  ELSE coalesce(get_json_object(item, '$.date'), get_json_object(item, '$.model'), get_json_object(item, '$.tool'),
+    get_json_object(item, '$.period'), get_json_object(item, '$.day_index')) END"""
+_HEALTH = """(SELECT device_id, CASE WHEN status<>'ok' THEN 'error' WHEN gap>7200 THEN 'stale' WHEN gap>1800 THEN 'warning' ELSE 'ok' END AS health_status
+  FROM (SELECT *, greatest(0, floor(epoch(max(upload_time) OVER ()))::BIGINT + 60 - floor(epoch(upload_time))::BIGINT) AS gap,
+    row_number() OVER (PARTITION BY team_id, user_id, device_id ORDER BY upload_time DESC) AS nth FROM uploads) WHERE nth=1)"""
+
+
+@query(
+    _report_sql(
+        (
+            o.BASE, o.USAGE, _SPINE_DAYS, o.UPLOADS, *[
+                o.rollup(keys, o.TEAM_SESSION, name=name)
+                for name, keys in (
+                    ("rs", ()), ("ra", ("team_id",)), ("ru", ("team_id", "user_id")), ("rv", ("team_id", "device_id")),
+                    ("rm", ("model",)), ("rt", ("tool",)), ("rd", ("local_date",)), ("ry", ("local_date", "team_id", "user_id")),
+                    ("rx", ("local_date", "team_id", "user_id", "tool", "model")),
+                )
+            ],
+        ),
+        [
+            _printed_sql("summary", "''", "rs", "rollup"),
+            _printed_sql("teams", "team_id", f"(SELECT team_id, {o.filled('ra')} FROM ra FULL JOIN (SELECT DISTINCT team_id FROM uploads) USING (team_id))", "rollup"),
+            _printed_sql("users", "team_id||'/'||user_id", "ru", "rollup"),
+            _printed_sql("devices", "team_id||'/'||device_id", "rv", "rollup"),
+            _printed_sql("models", "model", "rm", "rollup"),
+            _printed_sql("tools", "tool", "rt", "rollup"),
+            _printed_sql("team_models", "local_date||'/'||user_id||'/'||tool||'/'||model", "rx", "rollup"),
+            _printed_sql("daily", "CAST(local_date AS VARCHAR)", f"(SELECT s.local_date, {o.filled('rd')} FROM spine s LEFT JOIN rd USING (local_date))", "rollup"),
+            _printed_sql("user_daily", "local_date||'/'||user_id", "ry", "rollup"),
+            _printed_sql("upload_health", "device_id||'/'||health_status", _HEALTH, "none"),
+            _printed_sql("uploads", "device_id||'/'||upload_date", "(SELECT * FROM uploads ORDER BY upload_time DESC, team_id, user_id, device_id LIMIT 50)", "none"),
+            _printed_sql("comparison_summary", "period", f"({o.compare_summary(o.TEAM_SESSION)})", "period"),
+            _printed_sql("comparison_delta", "''", f"({o.compare_delta(o.TEAM_SESSION)})", "delta"),
+            _printed_sql("comparison_daily", "CAST(day_index AS VARCHAR)", f"({o.compare_daily()})", "change"),
+            _printed_sql("comparison_users", "team_id||'/'||user_id", f"({o.compare_by(('team_id', 'user_id'))})", "change"),
+            _printed_sql("comparison_models", "model", f"({o.compare_by(('model',))})", "change"),
+            _printed_sql("comparison_tools", "tool", f"({o.compare_by(('tool',))})", "change"),
+        ],
+    )
+)
+def team_report_rows(spark, sf_dir):
+    """The whole team report as JSON rows, each read back."""
+    uploads = _uploads(spark, sf_dir)
+    last = uploads.agg(F.max(F.unix_seconds("upload_time"))).first()[0]
+    report = documents.team_report(
+        spark, _month(spark, sf_dir), d.usage(spark, sf_dir), _registry(spark, sf_dir), uploads, SPAN, WEEK,
+        datetime.fromtimestamp(last + 60, timezone.utc), d.ZONE,
+    )
+    return _printed(report, _TEAM_KEY)
 
 
-@query()
+@query(
+    o.with_(o.BASE, o.USAGE, _SPINE_DAYS, *[o.rollup(k, o.TEAM_SESSION, name=n) for n, k in (("rs", ()), ("rt", ("tool",)), ("rd", ("local_date",)))])
+    + f"""SELECT 'summary' AS section, 0::BIGINT AS place, '' AS key, total_tokens, round(cache_hit_rate,6) AS cache_hit_rate FROM rs
+UNION ALL SELECT 'tools', row_number() OVER (ORDER BY total_tokens DESC, tool), tool, total_tokens, round(cache_hit_rate,6) FROM rt
+UNION ALL SELECT 'daily', row_number() OVER (ORDER BY local_date), CAST(local_date AS VARCHAR), total_tokens, round(cache_hit_rate,6)
+  FROM (SELECT s.local_date, {o.filled('rd')} FROM spine s LEFT JOIN rd USING (local_date))"""
+)
 def report_document(spark, sf_dir):
-    """Team report head: range, summary, days and tools in one document."""
+    """Team report head: range, summary, days and tools in one document, read back in its order."""
     events = _month(spark, sf_dir)
     lists = {
         "tools": (team_reports.team_tools(events), ("-total_tokens", "tool")),
         "daily": (team_reports.team_daily(spark, events, SPAN), ("local_date",)),
     }
-    return documents.report_document(team_reports.team_summary(events), SPAN, d.ZONE, lists)
+    text = documents.report_document(team_reports.team_summary(events), SPAN, d.ZONE, lists)
+    item = "struct<tool:string,date:string,total_tokens:bigint,cache_hit_rate:double>"
+    read = text.select(
+        F.from_json("document", f"summary {item}, tools array<{item}>, daily array<{item}>").alias("r")
+    ).selectExpr(
+        "explode(array(named_struct('section', 'summary', 'items', array(r.summary)),"
+        " named_struct('section', 'tools', 'items', r.tools), named_struct('section', 'daily', 'items', r.daily))) AS s"
+    ).selectExpr("s.section", "posexplode(s.items) AS (place, i)")
+    return read.selectExpr(
+        "section", "CAST(place + int(section <> 'summary') AS bigint) AS place", "coalesce(i.tool, i.date, '') AS key",
+        "i.total_tokens", "i.cache_hit_rate",
+    )
 
 
 # --- filters and periods -----------------------------------------------------
@@ -1140,7 +1283,7 @@ def local_summary(spark, sf_dir):
     return local_reports.local_summary(_month(spark, sf_dir))
 
 
-_SPINE = "spine AS (SELECT CAST(range AS DATE) AS local_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY))"
+_SPINE = _SPINE_DAYS
 
 
 @query(

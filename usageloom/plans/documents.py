@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.functions.instants import offset_text
 from usageloom.functions.measures import fixed
-from usageloom.plans.periods import Range
+from usageloom.plans import local_reports, team_reports
+from usageloom.plans.periods import PeriodPair, Range
 
 # Decimal places of printed ratios and averages.
 SIX_PLACES = ("cache_hit_rate", "reasoning_ratio", "total_tokens_rate", "delta_total_tokens_rate")
@@ -17,12 +19,15 @@ TWO_PLACES = ("avg_tokens_per_session", "avg_tokens_per_call")
 _RENAMED = {"local_date": "date"}
 
 
-def document_fields(report: DataFrame, zone: str) -> list[Column]:
+def document_fields(
+    report: DataFrame, zone: str, renamed: Mapping[str, str] | None = None
+) -> list[Column]:
     """Columns as they are printed: fixed decimals, local times, former names kept."""
+    names = {**_RENAMED, **(renamed or {})}
     fields: list[Column] = []
     for field in report.schema:
         column = F.col(field.name)
-        name = _RENAMED.get(field.name, field.name)
+        name = names.get(field.name, field.name)
         kind = field.dataType.typeName()
         if field.name in SIX_PLACES:
             # A decimal keeps its six printed places in JSON.
@@ -41,7 +46,13 @@ def document_fields(report: DataFrame, zone: str) -> list[Column]:
     return fields
 
 
-def report_rows(sections: Mapping[str, DataFrame], zone: str) -> DataFrame:
+#: Sections of a local report that print their sessions under another name.
+LOCAL_NAMES = {"daily": {"sessions": "session_count"}, "models": {"sessions": "session_count"}}
+
+
+def report_rows(
+    sections: Mapping[str, DataFrame], zone: str, renamed: Mapping[str, Mapping[str, str]] | None = None
+) -> DataFrame:
     """(section, item) rows of any number of reports, whatever their length.
 
     This is the whole report: a list without a size bound, such as sessions, is
@@ -50,7 +61,7 @@ def report_rows(sections: Mapping[str, DataFrame], zone: str) -> DataFrame:
     parts = [
         report.select(
             F.lit(name).alias("section"),
-            F.to_json(F.struct(*document_fields(report, zone))).alias("item"),
+            F.to_json(F.struct(*document_fields(report, zone, (renamed or {}).get(name)))).alias("item"),
         )
         for name, report in sections.items()
     ]
@@ -96,3 +107,56 @@ def report_document(
     )
     head = F.struct(*document_fields(summary, zone)).alias("summary")
     return summary.select(F.to_json(F.struct(bounds.alias("range"), head, *gathered)).alias("document"))
+
+
+def local_report(
+    spark: SparkSession, events: DataFrame, every: DataFrame, span: Range, pair: PeriodPair, zone: str
+) -> DataFrame:
+    """The whole local report as rows; ``events`` is the range, ``every`` also covers both periods."""
+    sections = {
+        "summary": local_reports.local_summary(events),
+        "daily": local_reports.local_daily(spark, events, span),
+        "models": local_reports.local_models(events),
+        "tools": local_reports.local_tools(events),
+        "sessions": local_reports.local_sessions(events),
+        "comparison_summary": local_reports.local_compare_summary(spark, every, pair, zone),
+        "comparison_delta": local_reports.local_compare_delta(every, pair, zone),
+        "comparison_daily": local_reports.local_compare_daily(spark, every, pair, zone),
+        "comparison_models": local_reports.local_compare_models(every, pair, zone),
+        "comparison_tools": local_reports.local_compare_tools(every, pair, zone),
+    }
+    return report_rows(sections, zone, LOCAL_NAMES)
+
+
+def team_report(
+    spark: SparkSession,
+    events: DataFrame,
+    every: DataFrame,
+    registry: DataFrame,
+    uploads: DataFrame,
+    span: Range,
+    pair: PeriodPair,
+    as_of: datetime,
+    zone: str,
+) -> DataFrame:
+    """The whole team report as rows: all twelve sections, the comparison in its parts."""
+    sections = {
+        "summary": team_reports.team_summary(events),
+        "teams": team_reports.team_rollup(events, uploads),
+        "users": team_reports.team_users(events, registry),
+        "devices": team_reports.team_devices(events, registry),
+        "models": team_reports.team_models(events),
+        "tools": team_reports.team_tools(events),
+        "team_models": team_reports.team_model_detail(events, registry),
+        "daily": team_reports.team_daily(spark, events, span),
+        "user_daily": team_reports.team_user_daily(events, registry),
+        "upload_health": team_reports.upload_health(uploads, as_of),
+        "uploads": team_reports.upload_list(uploads),
+        "comparison_summary": team_reports.team_compare_summary(spark, every, pair, zone),
+        "comparison_delta": team_reports.team_compare_delta(every, pair, zone),
+        "comparison_daily": team_reports.team_compare_daily(spark, every, pair, zone),
+        "comparison_users": team_reports.team_compare_users(every, registry, pair, zone),
+        "comparison_models": team_reports.team_compare_models(every, pair, zone),
+        "comparison_tools": team_reports.team_compare_tools(every, pair, zone),
+    }
+    return report_rows(sections, zone)
