@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import prose
+from cases import prose
 from usageloom.llm import context_tree as ct
 from usageloom.llm import language_id, lm_scoring, quality_model, quality_rules, queries
 from usageloom.llm.arrays import bytes_of

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from conftest import CLASHING, prose
+from cases import CLASHING, prose
 from usageloom.llm import simhash
 
 

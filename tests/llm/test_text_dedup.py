@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import CLASHING, prose
+from cases import CLASHING, prose
 from usageloom.llm import bwt, decontamination, line_dedup, substring_dedup
 
 

@@ -150,6 +150,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = stage.keep(
         rows.join(covered, ["d", "h", "seq"]).groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
     )
+    stage.leave(removed)
     joined = packed(docs, *_keys(), F.col("text")).join(removed, ["d", "h"], "left")
     rows = joined.select("row", "text", F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
     return unpacked(_cut(rows), "text", "removed_lines").select(

@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) ->
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stage.keep(rooted.join(least, "root").select("fp", "root", "component_id"))
-    stage.drop(nodes)
+    stage.leave(prints, classes)
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 

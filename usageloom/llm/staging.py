@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,18 @@ class Stage:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove staged tables through the cluster's file system."""
-        jvm = self.spark.sparkContext._jvm
-        for table, path in self.kept:
-            if any(table is gone for gone in tables):
-                folder = jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self._remove(lambda table: any(table is gone for gone in tables))
+
+    def leave(self, *tables: DataFrame) -> None:
+        """Remove all staged tables but those that the result still reads."""
+        self._remove(lambda table: not any(table is read for read in tables))
+
+    def _remove(self, chosen: Callable[[DataFrame], bool]) -> None:
+        context = self.spark.sparkContext
+        for table, path in [x for x in self.kept if x[1] and chosen(x[0])]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        self.kept = [(t, "" if chosen(t) else path) for t, path in self.kept]
 
 
 def packed(docs: DataFrame, *columns: Column) -> DataFrame:
