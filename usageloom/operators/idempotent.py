@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +42,18 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFr
 
 
 def insert_new_events(
-    batch: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequence[str]
+    batch: DataFrame,
+    stored: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    keep: Callable[[DataFrame], DataFrame] = lambda first: first,
 ) -> DataFrame:
-    """The batch rows to append: first of each new key."""
-    return not_stored(first_per_key(batch, key, order), stored, key)
+    """The batch rows to append: first of each new key.
+
+    The first rows are read twice, for the stored keys and for the rest; a job
+    passes a ``keep`` that stages them, so that they are found once.
+    """
+    return not_stored(keep(first_per_key(batch, key, order)), stored, key)
 
 
 def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -120,12 +121,16 @@ def screened_batch(checked: DataFrame) -> DataFrame:
 
 
 def ingest_checked(
-    checked: DataFrame, screened: DataFrame, stored: DataFrame, zone: str
+    checked: DataFrame,
+    screened: DataFrame,
+    stored: DataFrame,
+    zone: str,
+    keep: Callable[[DataFrame], DataFrame] = lambda first: first,
 ) -> IngestRun:
     """Find a screened batch's new events; the first arrival of a new key is accepted."""
     valid = screened.filter(F.col("event_text_present") & F.col("reject_reason").isNull())
     accepted = insert_new_events(
-        attribute_events(valid, zone), stored, key=EVENT_IDENTITY, order=ARRIVAL
+        attribute_events(valid, zone), stored, key=EVENT_IDENTITY, order=ARRIVAL, keep=keep
     )
     return IngestRun(checked, screened, accepted)
 

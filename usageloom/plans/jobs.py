@@ -197,7 +197,9 @@ def run_team_ingest(
     attempt = Attempt.begin(spark, tables, run_id)
     try:
         stored = read_runs(spark, tables.events, TEAM_SCHEMA)
-        run = ingest_checked(guarded, screened, stored, zone)
+        run = ingest_checked(
+            guarded, screened, stored, zone, keep=lambda first: stage(spark, first, "first")
+        )
         appended = attempt.write_events(run.accepted)
         written = attempt.write(run.results_given(appended), tables.results)
         attempt.write(ledger_rows(written, zone), tables.uploads)
@@ -261,7 +263,10 @@ def incremental_refresh(
         totals["files_changed"] += changed.count()
         totals["events_skipped"] += batch.count()
         totals["errors"] += errors.count()
-        new = insert_new_events(batch, stored, ("event_key",), ("source_path", "line_number"))
+        new = insert_new_events(
+            batch, stored, ("event_key",), ("source_path", "line_number"),
+            keep=lambda first: stage(spark, first, "first"),
+        )
         rows = manifest_rows(changed, batch, errors, last_lines, scanned_at)
         fresh = new if fresh is None else fresh.unionByName(new)
         entries = rows if entries is None else entries.unionByName(rows)
