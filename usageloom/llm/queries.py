@@ -32,10 +32,14 @@ BATCH_BYTES = 8 << 20
 def reachable(spark: SparkSession) -> None:
     """Set a session up for Python workers: small batches, and this package on their path.
 
+    Shuffle files go when the query that wrote them ends: staged tables carry the
+    rows from one query of a job to the next.
+
     On a cluster without the driver's folder the package is sent with --py-files.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:

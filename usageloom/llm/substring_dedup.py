@@ -26,6 +26,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,7 +54,8 @@ from usageloom.llm.staging import Stage
 LENGTH = 100
 KEY = 50
 #: Bytes of text in a part.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
+#: Least number of buckets; it grows with the square root of the parts.
 BUCKETS = 256
 #: Parts that report an anchor, from which on it is dealt by single strings.
 HOT_PARTS = 4096
@@ -469,6 +471,7 @@ def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES, buckets: int =
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
+    buckets = max(buckets, 8 * math.isqrt(parts))
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     texts = docs.select(
         F.lit(_TEXT).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"),
