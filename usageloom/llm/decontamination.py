@@ -201,8 +201,8 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(row) for row in rows]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Add an array `leaks` of the benchmark items each document contains; other columns pass through."""
+def _marked(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """Documents as one column, beside the leaks of each."""
     context = docs.sparkSession.sparkContext
     lower = F.lower(F.coalesce("text", F.lit(""))).alias("lower")
     out = packed(docs, lower, F.lit([]).cast(f"array<{LEAK}>").alias("leaks"))
@@ -224,11 +224,14 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                     yield part.set_column(index, "leaks", pa.array(found, kind))
 
         out = out.mapInArrow(run, schema)
-    return unpacked(out, "leaks")
+    return out.select("row", "leaks")
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Add an array `leaks` of the benchmark items each document contains; other columns pass through."""
+    return unpacked(_marked(docs, benchmark, coverage), "leaks")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that contain no benchmark item, with their own columns."""
-    marked = with_leaks(docs.withColumnsRenamed({"leaks": "leaks_"}) if "leaks" in docs.columns else docs, benchmark, coverage)
-    kept = marked.where(F.size("leaks") == 0).drop("leaks")
-    return kept.withColumnsRenamed({"leaks_": "leaks"}) if "leaks" in docs.columns else kept
+    return unpacked(_marked(docs, benchmark, coverage).where(F.size("leaks") == 0))
