@@ -29,7 +29,7 @@ from usageloom.llm.staging import packed, unpacked
 UNKNOWN = "und"
 BUCKETS = 4096
 #: Documents learned from, over all languages.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Texts whose histograms are held at once.
 ROWS = 256
 
@@ -65,20 +65,23 @@ def histograms(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _GAP = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """Weights and a bias of a squared-hinge machine by dual coordinate descent; y is 1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    norms = (x * x).sum(axis=1) + 1 / (2 * cost)
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a squared-hinge machine by dual coordinate descent on some rows; y is 1 or -1.
+
+    The last column of ``x`` is 1, its weight the bias. Rows are never copied.
+    """
+    norms = np.einsum("ij,ij->i", x, x)[rows] + 1 / (2 * cost)
     weight = np.zeros(x.shape[1], np.float32)
-    alpha = np.zeros(len(x))
+    alpha = np.zeros(len(rows))
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            step = (1 - y[i] * float(x[i] @ weight) - alpha[i] / (2 * cost)) / norms[i]
+        for i in order.permutation(len(rows)):
+            own = x[rows[i]]
+            step = (1 - y[i] * float(own @ weight) - alpha[i] / (2 * cost)) / norms[i]
             change = max(-alpha[i], step)
             if change:
                 alpha[i] += change
-                weight += (change * y[i]) * x[i]
+                weight += (change * y[i]) * own
     return weight
 
 
@@ -120,21 +123,21 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     model = Model(sorted(set(languages)))
     if not model.languages:
         return model
-    x = np.concatenate(
-        [
-            histograms(*bytes_of(column(part, "text")))
-            for part in slices(pa.RecordBatch.from_pydict({"text": [f" {t.lower()} " for t in texts]}), rows=ROWS)
-        ]
-    )
+    x = np.ones((len(texts), BUCKETS + 1), np.float32)
+    at = 0
+    for part in slices(pa.RecordBatch.from_pydict({"text": [f" {t.lower()} " for t in texts]}), rows=ROWS):
+        x[at : at + part.num_rows, :BUCKETS] = histograms(*bytes_of(column(part, "text")))
+        at += part.num_rows
     y = np.array([model.languages.index(code) for code in languages])
     names = [_FAMILY.get(code, code) for code in model.languages]
     model.families = [[i for i, name in enumerate(names) if name == family] for family in sorted(set(names))]
-    columns = [linear_svm(x, np.where(np.isin(y, own), 1.0, -1.0)) for own in model.families]
+    every = np.arange(len(y))
+    columns = [linear_svm(x, every, np.where(np.isin(y, own), 1.0, -1.0)) for own in model.families]
     for own in model.families:
         for a, b in combinations(own, 2):
             rows = np.flatnonzero((y == a) | (y == b))
             model.pairs.append((a, b))
-            columns.append(linear_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
+            columns.append(linear_svm(x, rows, np.where(y[rows] == a, 1.0, -1.0)))
     model.weights = np.stack(columns, axis=1)
     return model
 
