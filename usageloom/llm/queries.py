@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm import decontamination, language_id, line_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, substring_dedup
+from usageloom.llm import centroid_search, decontamination, filter_audit, html_text, language_id, line_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, substring_dedup
 from usageloom.llm.staging import Stage
 from usageloom.session import scratch_dir
 
@@ -164,3 +164,113 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that start earlier."""
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in every order over all documents of each source, with exact Shapley values."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filter_audit.audit(docs, labels, F.col("source"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters, after five exact rounds."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroid_search.cluster(vectors)
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    texts = html_text.with_main_text(pages)
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH words AS (
+  SELECT COALESCE(doc_id, -9223372036854775808) AS d, doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS body,
+         list_filter(string_split_regex(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents
+),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+docs AS (
+  SELECT part, COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f
+           WHEN 'A' THEN len(ws) < 200
+           WHEN 'B' THEN 100 * len(list_distinct(ws)) < 50 * len(ws)
+           WHEN 'C' THEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body)
+           WHEN 'D' THEN regexp_matches(body, '[#$%&*|]')
+           ELSE d > first_d END) AS fails
+  FROM (SELECT *, min(d) OVER (PARTITION BY body) AS first_d FROM words) AS w LEFT JOIN marks USING (doc_id)
+),
+cells AS (SELECT part, fails, good, toxic, count(*) AS n FROM docs GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+),
+counted AS (
+  SELECT part, filter_order, step, f AS filter,
+         CAST(sum(n) FILTER (NOT list_has_any(fails, list_append(earlier, f))) AS BIGINT) AS kept,
+         CAST(sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, earlier)) AS BIGINT) AS removed,
+         CAST(sum(n) FILTER (list_contains(fails, f) AND list_has_any(fails, earlier)) AS BIGINT) AS redundant,
+         CAST(sum(n) FILTER (fails = [f]) AS BIGINT) AS unique_fails,
+         CAST(sum(n * good) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, earlier)) AS BIGINT) AS good_lost,
+         CAST(sum(n * toxic) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, earlier)) AS BIGINT) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, filter, COALESCE(kept, 0) AS kept, COALESCE(removed, 0) AS removed,
+       COALESCE(redundant, 0) AS redundant, COALESCE(unique_fails, 0) AS unique_fails,
+       COALESCE(good_lost, 0) AS good_lost, COALESCE(toxic_lost, 0) AS toxic_lost,
+       CAST(sum(COALESCE(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """Assign and move, as often as asked, then assign once more."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS (
+  SELECT id, vec_id, v, best.c AS c, best.d AS d FROM (
+    SELECT id, vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c}}) AS best
+    FROM kept, centroids{r} GROUP BY id, vec_id, v)
+)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM near{r}) GROUP BY c, i
+),
+means{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM sums{r} GROUP BY c),
+centroids{r + 1} AS (SELECT c, COALESCE(n.m, o.m) AS m FROM centroids{r} o LEFT JOIN means{r} n USING (c))""")
+    return ",".join(steps)
+
+
+ORACLES["op12_centroid_clustering"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT sha256('2:' || COALESCE(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+),{_rounds(centroid_search.ROUNDS)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM near{centroid_search.ROUNDS} JOIN centroids{centroid_search.ROUNDS} USING (c)
+"""
