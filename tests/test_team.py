@@ -1,5 +1,6 @@
 """Golden cases of team ingest, metrics, periods, comparisons and the outbox."""
 
+import os
 import json
 import random
 from datetime import date, datetime, timedelta, timezone
@@ -512,3 +513,46 @@ def test_equal_upload_times_have_a_defined_order(spark):
     for order in (rows, rows.orderBy("accepted"), rows.orderBy(F.col("accepted").desc())):
         assert team_reports.latest_uploads(order.coalesce(1)).first()._u.accepted == 2
         assert [r.accepted for r in team_reports.recent_uploads(order).orderBy("position").collect()] == [2, 1, 0]
+
+
+def test_ranks_keep_rows_of_null_groups(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "n int, g string")
+    got = sorted(map(tuple, ranked(rows, [F.col("n").asc()], within=["g"]).select("n", "rank").collect()))
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_outbox_keeps_events_of_null_devices(spark):
+    events = team_rows(spark, *[row(f"2026-05-01T08:00:{i:02d}", f"k{i}") for i in range(5)]).withColumns(
+        {
+            "device_id": F.when(F.col("event_key") < "k3", F.lit("dev")),
+            "source_kind": F.lit(""), "source_quality": F.lit(""),
+        }
+    )
+    devices = spark.createDataFrame([("u", "dev"), ("u", None), ("v", None)], "user_id string, device_id string")
+    sent = outbox.upload_outbox(events, devices, batch=2)
+    counts = sorted((r.user_id, r.device_id or "", r.batch_no, r.event_count) for r in sent.collect())
+    assert counts == [("u", "", 0, 2), ("u", "dev", 0, 2), ("u", "dev", 1, 1), ("v", "", 0, 0)]
+    cursors = spark.createDataFrame(
+        [("u", None, datetime(2026, 5, 1, 8, 0, 3), "k3")], "user_id string, device_id string, cursor_ts timestamp, cursor_key string"
+    )
+    pending = outbox.pending_after_cursor(events, cursors, "2026-06-01 00:00:00", date(2026, 5, 2))
+    assert sorted(r.event_key for r in pending.collect()) == ["k0", "k1", "k2", "k4"]
+    done = spark.createDataFrame([("u", None, True, 0)], "user_id string, device_id string, ok boolean, rejected int")
+    moved = outbox.advance_cursor(cursors, pending.where("device_id IS NULL"), done).collect()
+    assert [(r.user_id, r.device_id, r.cursor_key) for r in moved] == [("u", None, "k4")]
+
+
+def test_entry_works_without_a_library_of_the_text_operators(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.modules["xxhash"] = None
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+names = entry.queries()
+assert "local_tools" in names and "op4_simhash" not in names and "pipeline" not in names
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0

@@ -689,18 +689,10 @@ _RESULTS = """results AS (SELECT c.envelope_id, c.team_id, c.user_id, c.device_i
 
 
 def _run(spark, sf_dir) -> team_ingest.IngestRun:
-    """All envelopes against a store that already holds the events before 10 January.
-
-    Guarded envelopes and screened events are staged, as in the batch job, so
-    that bodies are parsed once.
-    """
+    """All envelopes against a store that already holds the events before 10 January."""
     base = d.usage_base(spark, sf_dir)
     before = F.col("event_ts") < F.lit("2024-01-10").cast("timestamp")
-    checked = team_ingest.check_envelopes(d.envelopes(base), d.registry(base))
-    screened = jobs.stage(spark, team_ingest.screened_batch(checked), "screened")
-    guarded = jobs.stage(spark, checked.drop("body", "events"), "guarded")
-    stored = d.team_events(base).filter(before)
-    return team_ingest.ingest_checked(guarded, screened, stored, d.ZONE)
+    return team_ingest.ingest_team_batch(d.envelopes(base), d.registry(base), d.team_events(base).filter(before), d.ZONE)
 
 
 @query(
@@ -966,7 +958,7 @@ _LOCAL_KEY = """coalesce(get_json_object(item, '$.date'), get_json_object(item,
 )
 def report_rows(spark, sf_dir):
     """The whole local report as JSON rows, each read back."""
-    report = documents.local_report(spark, _month(spark, sf_dir), d.usage(spark, sf_dir), SPAN, WEEK, d.ZONE)
+    report = documents.local_report(spark, d.usage(spark, sf_dir), SPAN, WEEK, d.ZONE)
     printed = _printed(report, _LOCAL_KEY)
     session = F.col("section") == "sessions"
     return printed.withColumns(
@@ -1029,7 +1021,7 @@ def team_report_rows(spark, sf_dir):
     uploads = _uploads(spark, sf_dir)
     last = uploads.agg(F.max(F.unix_seconds("upload_time"))).first()[0]
     report = documents.team_report(
-        spark, _month(spark, sf_dir), d.usage(spark, sf_dir), _registry(spark, sf_dir), uploads, SPAN, WEEK,
+        spark, d.usage(spark, sf_dir), _registry(spark, sf_dir), uploads, SPAN, WEEK,
         datetime.fromtimestamp(last + 60, timezone.utc), d.ZONE,
     )
     return _printed(report, _TEAM_KEY)
@@ -1733,7 +1725,7 @@ def stream_ingest_envelopes(spark, sf_dir):
         spark, drop, bindings, tables, d.ZONE, scratch_dir(spark, "stream-checkpoint")
     )
     started.awaitTermination()
-    return spark.read.parquet(tables.uploads).groupBy(*DEVICE).agg(
+    return jobs.read_runs(spark, tables.uploads, jobs.UPLOAD_SCHEMA, monthly=False).groupBy(*DEVICE).agg(
         F.count("*").alias("envelopes"),
         *[F.sum(c).alias(c) for c in ("event_count", "accepted", "duplicate", "rejected")],
     )

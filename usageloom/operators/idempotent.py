@@ -41,19 +41,24 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFr
     return rows.join(seen, key, "left_anti")
 
 
+Stored = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def insert_new_events(
     batch: DataFrame,
-    stored: DataFrame,
+    stored: Stored,
     key: Sequence[str],
     order: Sequence[str],
     keep: Callable[[DataFrame], DataFrame] = lambda first: first,
 ) -> DataFrame:
     """The batch rows to append: first of each new key.
 
-    The first rows are read twice, for the stored keys and for the rest; a job
-    passes a ``keep`` that stages them, so that they are found once.
+    ``stored`` is a table, or a function that leaves the rows whose key is not
+    stored. The first rows are read more than once, for the stored keys and for
+    the rest; a job passes a ``keep`` that stages them, so that they are found once.
     """
-    return not_stored(keep(first_per_key(batch, key, order)), stored, key)
+    first = keep(first_per_key(batch, key, order))
+    return stored(first) if callable(stored) else not_stored(first, stored, key)
 
 
 def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageloom.functions.instants import canonical_instant
@@ -13,6 +13,12 @@ from usageloom.model import COLLECTOR_VERSION, LOOKBACK_DAYS, MAX_ENVELOPE_EVENT
 from usageloom.operators.rank import ranked
 
 
+def same_device(other: DataFrame) -> tuple[DataFrame, Column]:
+    """The other side with its device columns renamed, and the null-safe condition to join it on."""
+    own = other.withColumnsRenamed({"user_id": "_user", "device_id": "_device"})
+    return own, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("device_id").eqNullSafe(F.col("_device"))
+
+
 def upload_batches(events: DataFrame, batch: int = MAX_ENVELOPE_EVENTS) -> DataFrame:
     """Add ``batch_no``: a device's events by time and key, ``batch`` to an envelope."""
     size = max(1, min(MAX_ENVELOPE_EVENTS, batch))
@@ -53,7 +59,7 @@ def upload_outbox(
     )
     empty = F.from_json(F.lit("[]"), filled.schema["events"].dataType)
     every = devices.select("user_id", "device_id").distinct()
-    return every.join(filled, ["user_id", "device_id"], "left").select(
+    return every.join(*same_device(filled), "left").select(
         "user_id",
         "device_id",
         F.coalesce("batch_no", F.lit(0)).alias("batch_no"),
@@ -85,7 +91,7 @@ def pending_after_cursor(
     start = F.col("cursor_ts").isNull() & (F.col("local_date") >= F.lit(since))
     return (
         events.filter(F.col("event_ts") <= F.lit(cutoff).cast("timestamp"))
-        .join(cursors, ["user_id", "device_id"], "left")
+        .join(*same_device(cursors), "left")
         .filter(start | (F.col("cursor_ts").isNotNull() & after))
         .select(*events.columns)
     )
@@ -102,10 +108,11 @@ def advance_cursor(cursors: DataFrame, selected: DataFrame, outcomes: DataFrame)
     reached = (
         selected.groupBy(*device)
         .agg(F.max(F.struct("event_ts", "event_key")).alias("_reached"))
-        .join(done, device, "left_semi")
     )
-    return cursors.join(reached, device, "full").select(
-        *device,
+    moved = reached.join(*same_device(done), "left_semi")
+    return cursors.join(*same_device(moved), "full").select(
+        F.coalesce("user_id", "_user").alias("user_id"),
+        F.coalesce("device_id", "_device").alias("device_id"),
         F.coalesce("_reached.event_ts", "cursor_ts").alias("cursor_ts"),
         F.coalesce("_reached.event_key", "cursor_key").alias("cursor_key"),
     )

@@ -40,8 +40,9 @@ def ranked(
         .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1 - F.col("_first"))
         .drop("_rows", "_first")
     )
-    return (
-        dealt.join(shifts, [*within, "_range"])
-        .withColumn(name, F.col("_shift") + F.col("_place"))
-        .drop("_range", "_place", "_shift")
-    )
+    # A null group is a group as well, so its columns are compared null-safe.
+    moved = shifts.select(F.col("_range").alias("_of"), "_shift", *[F.col(c).alias(f"_of_{c}") for c in within])
+    same = F.col("_range") == F.col("_of")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return dealt.join(moved, same).select(*rows.columns, (F.col("_shift") + F.col("_place")).alias(name))

@@ -40,7 +40,8 @@ METRICS = (
     "ended_at",
 )
 
-_ADDED = (*TOKENS, "net_input_tokens", "usage_event_count", "call_count")
+#: Metrics that add up over sessions.
+ADDED = (*TOKENS, "net_input_tokens", "usage_event_count", "call_count")
 
 
 def _names(*groups: Sequence[str]) -> list[str]:
@@ -84,7 +85,7 @@ def session_grain(slots: DataFrame, keys: Sequence[str], scope: Scope) -> DataFr
         slots.select("*", before)
         .groupBy(*group)
         .agg(
-            *[F.expr(f"sum(_{c}) AS _{c}") for c in _ADDED],
+            *[F.expr(f"sum(_{c}) AS _{c}") for c in ADDED],
             F.expr(
                 "sum(unix_seconds(ended_at) - unix_seconds(started_at)"
                 f" + CASE WHEN {gap} <= {ACTIVE_GAP_SECONDS} THEN {gap} ELSE 0 END) AS _active"
@@ -100,19 +101,17 @@ def usage_rollup(
     keys: Sequence[str],
     scope: Scope,
     also: Mapping[str, Column] | None = None,
-    calls: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics per ``keys``.
 
     ``also`` adds aggregates over session rows, which carry the keys, the
-    session columns, started_at and ended_at. ``calls`` reuses a call table.
+    session columns, started_at and ended_at.
     """
     keys = list(keys)
     also = also or {}
-    grain = call_grain(events, keys, scope) if calls is None else calls
-    sessions = session_grain(half_hours(grain, keys, scope), keys, scope)
+    sessions = session_grain(half_hours(call_grain(events, keys, scope), keys, scope), keys, scope)
     sums = sessions.groupBy(*keys).agg(
-        *[F.expr(f"coalesce(sum(_{c}), 0L) AS {c}") for c in _ADDED],
+        *[F.expr(f"coalesce(sum(_{c}), 0L) AS {c}") for c in ADDED],
         F.expr("count(*) AS sessions"),
         F.expr("coalesce(sum(_active), 0L) AS active_seconds"),
         F.expr("min(started_at) AS started_at"),
@@ -148,39 +147,3 @@ def value_counts(events: DataFrame, keys: Sequence[str], dimension: str) -> Data
     return events.groupBy(*keys, or_unknown(F.col(dimension)).alias("value")).agg(
         F.count(F.lit(1)).alias("count")
     )
-
-
-def histograms(
-    events: DataFrame, keys: Sequence[str], dimensions: Sequence[str]
-) -> DataFrame:
-    """One sorted map per bucket and dimension, all from one scan.
-
-    Events shrink to their distinct combinations first; a map has as many
-    entries as its dimension has values.
-    """
-    combined = events.groupBy(*keys, *dimensions).agg(F.expr("count(*) AS n"))
-    pairs = ", ".join(f"'{c}', {c}" for c in dimensions)
-    counts = (
-        combined.selectExpr(*keys, "n", f"stack({len(dimensions)}, {pairs}) AS (dimension, value)")
-        .groupBy(*keys, "dimension", or_unknown(F.col("value")).alias("value"))
-        .agg(F.expr("sum(n) AS n"))
-    )
-    return counts.groupBy(*keys).agg(
-        *[
-            F.expr(
-                "map_from_entries(sort_array(collect_list("
-                f"CASE WHEN dimension = '{c}' THEN struct(value, n) END))) AS {c}"
-            )
-            for c in dimensions
-        ]
-    )
-
-
-def distinct_values(events: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Sorted array of a bucket's distinct values; copies vanish before the collect."""
-    return (
-        events.select(*_names(keys, (column,)))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(column)).alias(name))
-    )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from usageloom.functions.instants import local_date
 from usageloom.model import DEVICE, EVENT_COLUMNS, TEAM_EVENT_COLUMNS
 from usageloom.operators.gate import envelope_code, screen_events, too_many_chars
-from usageloom.operators.idempotent import insert_new_events
+from usageloom.operators.idempotent import Stored, insert_new_events
 from usageloom.operators.registry import resolve_device
+from usageloom.session import stage
 from usageloom.sources.envelopes import envelope_events, open_envelopes
 
 EVENT_IDENTITY = (*DEVICE, "event_key")
@@ -123,7 +124,7 @@ def screened_batch(checked: DataFrame) -> DataFrame:
 def ingest_checked(
     checked: DataFrame,
     screened: DataFrame,
-    stored: DataFrame,
+    stored: Stored,
     zone: str,
     keep: Callable[[DataFrame], DataFrame] = lambda first: first,
 ) -> IngestRun:
@@ -136,11 +137,17 @@ def ingest_checked(
 
 
 def ingest_team_batch(
-    envelopes: DataFrame, registry: DataFrame, stored: DataFrame, zone: str
+    envelopes: DataFrame, registry: DataFrame, stored: Stored, zone: str
 ) -> IngestRun:
-    """Guard, screen and attribute a batch in one plan, without writing anything."""
-    checked = check_envelopes(envelopes, registry)
-    return ingest_checked(checked, screened_batch(checked), stored, zone)
+    """Guard, screen and attribute a batch, without writing to the store.
+
+    ``arrival`` is numbered by partition and row, which a second computation may
+    deal differently; so opened envelopes are staged before they are used twice.
+    """
+    spark = envelopes.sparkSession
+    checked = stage(spark, check_envelopes(envelopes, registry).drop("body"), "opened")
+    screened = stage(spark, screened_batch(checked), "screened")
+    return ingest_checked(checked.drop("events"), screened, stored, zone)
 
 
 def ledger_rows(results: DataFrame, zone: str, storage_error: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.functions.measures import change_rate
@@ -18,8 +18,14 @@ def _counted(scope: Scope) -> list[str]:
     return ["total_tokens", "usage_event_count", "call_count", "sessions", *names]
 
 
+def _period_totals(
+    events: DataFrame, pair: PeriodPair, scope: Scope, zone: str, totals: DataFrame | None
+) -> DataFrame:
+    return usage_rollup(split_periods(events, pair, zone), ["period"], scope) if totals is None else totals
+
+
 def compare_summary(
-    spark: SparkSession, events: DataFrame, pair: PeriodPair, scope: Scope, zone: str
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, scope: Scope, zone: str, totals: DataFrame | None = None
 ) -> DataFrame:
     """One row per period with its label and dates; a period without events is zero."""
     labels = spark.createDataFrame(
@@ -30,17 +36,19 @@ def compare_summary(
         "period string, label string, start_date date, end_date date",
     )
     metrics = _counted(scope)
-    totals = usage_rollup(split_periods(events, pair, zone), ["period"], scope).select("period", *metrics)
+    totals = _period_totals(events, pair, scope, zone, totals).select("period", *metrics)
     zero = F.lit(0).cast("bigint")
     return labels.join(totals, "period", "left").select(
         *labels.columns, *[F.coalesce(m, zero).alias(m) for m in metrics]
     )
 
 
-def compare_delta(events: DataFrame, pair: PeriodPair, scope: Scope, zone: str) -> DataFrame:
+def compare_delta(
+    events: DataFrame, pair: PeriodPair, scope: Scope, zone: str, totals: DataFrame | None = None
+) -> DataFrame:
     """Current less previous for each metric, with the rate of the token change."""
     metrics = _counted(scope)
-    totals = usage_rollup(split_periods(events, pair, zone), ["period"], scope)
+    totals = _period_totals(events, pair, scope, zone, totals)
     zero = F.lit(0).cast("bigint")
 
     def of(period: str, metric: str):
@@ -57,7 +65,7 @@ def compare_delta(events: DataFrame, pair: PeriodPair, scope: Scope, zone: str)
     )
 
 
-def _token_sums(period_events: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _token_sums(period_events: DataFrame, keys: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return period_events.groupBy(*keys).agg(
         *[
@@ -65,7 +73,8 @@ def _token_sums(period_events: DataFrame, keys: Sequence[str]) -> DataFrame:
                 f"{p}_total_tokens"
             )
             for p in (CURRENT, PREVIOUS)
-        ]
+        ],
+        *also,
     )
 
 
@@ -81,23 +90,35 @@ def compare_by(
     events: DataFrame, pair: PeriodPair, keys: Sequence[str], zone: str, rows: int = COMPARE_ROWS
 ) -> DataFrame:
     """The largest token changes per key, up or down; ties go by key."""
-    deltas = _with_delta(_token_sums(split_periods(events, pair, zone), keys))
+    return largest_changes(split_periods(events, pair, zone), keys, rows)
+
+
+def largest_changes(
+    period_rows: DataFrame, keys: Sequence[str], rows: int = COMPARE_ROWS, also: Sequence[Column] = ()
+) -> DataFrame:
+    """As ``compare_by``, from events or buckets that carry their period."""
+    deltas = _with_delta(_token_sums(period_rows, keys, also))
     return deltas.orderBy(F.abs("delta_total_tokens").desc(), *keys).limit(rows)
 
 
+def day_index(pair: PeriodPair) -> Column:
+    """Place of a row's date in its period, from 0."""
+    start = F.when(F.col("period") == CURRENT, F.lit(pair.current.start)).otherwise(
+        F.lit(pair.previous.start)
+    )
+    return F.datediff("local_date", start).cast("bigint")
+
+
 def compare_daily(
-    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str
+    spark: SparkSession, events: DataFrame, pair: PeriodPair, zone: str, indexed: DataFrame | None = None
 ) -> DataFrame:
     """Day i of the current period beside day i of the previous one.
 
-    Days the previous period lacks count zero, but keep their date.
+    Days the previous period lacks count zero, but keep their date. ``indexed``
+    gives rows or buckets that carry period and day_index already.
     """
-    start = F.when(F.col("period") == CURRENT, F.lit(pair.current.start)).otherwise(
-        F.lit(pair.previous.start)
-    )
-    indexed = split_periods(events, pair, zone).withColumn(
-        "day_index", F.datediff("local_date", start).cast("bigint")
-    )
+    if indexed is None:
+        indexed = split_periods(events, pair, zone).withColumn("day_index", day_index(pair))
     spine = spark.range(pair.current.days).withColumnRenamed("id", "day_index")
     step = F.col("day_index").cast("int")
     zero = F.lit(0).cast("bigint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 
 from usageloom.functions.instants import offset_text
 from usageloom.functions.measures import fixed
+from usageloom.model import LOCAL, TEAM, Scope
+from usageloom.operators.grains import Grains, Keep, Section
 from usageloom.plans import local_reports, team_reports
-from usageloom.plans.periods import PeriodPair, Range
+from usageloom.plans.compare import compare_daily, compare_delta, compare_summary, day_index, largest_changes
+from usageloom.plans.periods import PeriodPair, Range, period_of
+from usageloom.session import scratch_dir, stage
+from usageloom.sources.facts import in_range, match
 
 # Decimal places of printed ratios and averages.
 SIX_PLACES = ("cache_hit_rate", "reasoning_ratio", "total_tokens_rate", "delta_total_tokens_rate")
@@ -109,28 +115,86 @@ def report_document(
     return summary.select(F.to_json(F.struct(bounds.alias("range"), head, *gathered)).alias("document"))
 
 
-def local_report(
-    spark: SparkSession, events: DataFrame, every: DataFrame, span: Range, pair: PeriodPair, zone: str
-) -> DataFrame:
-    """The whole local report as rows; ``events`` is the range, ``every`` also covers both periods."""
+def _kept(spark: SparkSession) -> Keep:
+    """Stage the tables of one report run; results by section, in a folder each."""
+
+    def keep(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+        if by is None:
+            return stage(spark, df, purpose)
+        path = scratch_dir(spark, purpose)
+        df.write.partitionBy(by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+#: Rows of the report's range, and rows of its comparison.
+_IN_SPAN, _COMPARED = "in_span", "period IS NOT NULL"
+
+
+def report_base(every: DataFrame, span: Range, pair: PeriodPair, zone: str) -> DataFrame:
+    """Events of the range and of both periods, each with what it takes part in; one scan with bounds."""
+    days = (span.start, span.end, *[d for p in (pair.previous, pair.current) for d in (p.start, p.end)])
+    return (
+        in_range(every, min(days), max(days), zone)
+        .withColumn("in_span", F.col("local_date").between(F.lit(span.start), F.lit(span.end)))
+        .withColumn("period", period_of(F.col("local_date"), pair))
+        .where("in_span OR period IS NOT NULL")
+        .withColumn("day_index", F.when(F.col("period").isNotNull(), day_index(pair)))
+    )
+
+
+def _report_grains(
+    spark: SparkSession,
+    every: DataFrame,
+    span: Range,
+    pair: PeriodPair,
+    zone: str,
+    scope: Scope,
+    sections: Sequence[Section],
+    compared: Mapping[str, tuple[str, ...]],
+    also: Mapping[str, str] | None = None,
+) -> Grains:
+    """Sections over the range and comparisons over the periods, from one scan of the events."""
+    whole = [replace(s, where=_IN_SPAN) for s in sections]
+    whole += [Section(name, ("period", *keys), _COMPARED) for name, keys in compared.items()]
+    base = report_base(every, span, pair, zone)
+    return Grains(base, scope, tuple(whole), ("in_span", "period"), also or {}, _kept(spark))
+
+
+#: Comparisons of a report, and their keys besides the period.
+_COMPARISONS = {"compare": (), "compare_daily": ("day_index",), "compare_models": ("model",), "compare_tools": ("tool",)}
+
+
+def _compared(spark: SparkSession, grains: Grains, pair: PeriodPair, scope: Scope, zone: str) -> dict[str, DataFrame]:
+    totals = grains.rollup("compare")
+    return {
+        "comparison_summary": compare_summary(spark, grains.events, pair, scope, zone, totals),
+        "comparison_delta": compare_delta(grains.events, pair, scope, zone, totals),
+        "comparison_daily": compare_daily(spark, grains.events, pair, zone, grains.rollup("compare_daily")),
+        "comparison_models": largest_changes(grains.rollup("compare_models"), ["model"]),
+        "comparison_tools": largest_changes(grains.rollup("compare_tools"), ["tool"]),
+    }
+
+
+def local_report(spark: SparkSession, every: DataFrame, span: Range, pair: PeriodPair, zone: str) -> DataFrame:
+    """The whole local report as rows, from one scan of ``every``: the range and both periods."""
+    own = (local_reports.SUMMARY, local_reports.DAILY, local_reports.MODELS, local_reports.TOOLS, local_reports.SESSIONS)
+    grains = _report_grains(spark, every, span, pair, zone, LOCAL, own, _COMPARISONS)
+    events = grains.events
     sections = {
-        "summary": local_reports.local_summary(events),
-        "daily": local_reports.local_daily(spark, events, span),
-        "models": local_reports.local_models(events),
-        "tools": local_reports.local_tools(events),
-        "sessions": local_reports.local_sessions(events),
-        "comparison_summary": local_reports.local_compare_summary(spark, every, pair, zone),
-        "comparison_delta": local_reports.local_compare_delta(every, pair, zone),
-        "comparison_daily": local_reports.local_compare_daily(spark, every, pair, zone),
-        "comparison_models": local_reports.local_compare_models(every, pair, zone),
-        "comparison_tools": local_reports.local_compare_tools(every, pair, zone),
+        "summary": local_reports.local_summary(events, grains),
+        "daily": local_reports.local_daily(spark, events, span, grains),
+        "models": local_reports.local_models(events, grains),
+        "tools": local_reports.local_tools(events, grains),
+        "sessions": local_reports.local_sessions(events, grains),
+        **_compared(spark, grains, pair, LOCAL, zone),
     }
     return report_rows(sections, zone, LOCAL_NAMES)
 
 
 def team_report(
     spark: SparkSession,
-    events: DataFrame,
     every: DataFrame,
     registry: DataFrame,
     uploads: DataFrame,
@@ -138,25 +202,36 @@ def team_report(
     pair: PeriodPair,
     as_of: datetime,
     zone: str,
+    team: str | None = None,
+    user: str | None = None,
+    tool: str | None = None,
 ) -> DataFrame:
-    """The whole team report as rows: all twelve sections, the comparison in its parts."""
+    """The whole team report as rows: all twelve sections, the comparison in its parts.
+
+    ``team``, ``user`` and ``tool`` keep what they name, in every section; a
+    blank one keeps everything. Uploads have no tool.
+    """
+    t = team_reports
+    own = (t.SUMMARY, t.TEAMS, t.USERS, t.DEVICES, t.MODELS, t.TOOLS, t.TEAM_MODELS, t.DAILY, t.USER_DAILY)
+    every = match(every, team_id=team, user_id=user, tool=tool)
+    uploads = match(uploads, team_id=team, user_id=user)
+    also = {**t.FIRST_DEVICE, **t.FIRST_USER, **t.LAST_TEAM}
+    compared = {**_COMPARISONS, "compare_users": ("team_id", "user_id")}
+    grains = _report_grains(spark, every, span, pair, zone, TEAM, own, compared, also)
+    events = grains.events
     sections = {
-        "summary": team_reports.team_summary(events),
-        "teams": team_reports.team_rollup(events, uploads),
-        "users": team_reports.team_users(events, registry),
-        "devices": team_reports.team_devices(events, registry),
-        "models": team_reports.team_models(events),
-        "tools": team_reports.team_tools(events),
-        "team_models": team_reports.team_model_detail(events, registry),
-        "daily": team_reports.team_daily(spark, events, span),
-        "user_daily": team_reports.team_user_daily(events, registry),
-        "upload_health": team_reports.upload_health(uploads, as_of),
-        "uploads": team_reports.upload_list(uploads),
-        "comparison_summary": team_reports.team_compare_summary(spark, every, pair, zone),
-        "comparison_delta": team_reports.team_compare_delta(every, pair, zone),
-        "comparison_daily": team_reports.team_compare_daily(spark, every, pair, zone),
-        "comparison_users": team_reports.team_compare_users(every, registry, pair, zone),
-        "comparison_models": team_reports.team_compare_models(every, pair, zone),
-        "comparison_tools": team_reports.team_compare_tools(every, pair, zone),
+        "summary": t.team_summary(events, grains),
+        "teams": t.team_rollup(events, uploads, grains),
+        "users": t.team_users(events, registry, grains),
+        "devices": t.team_devices(events, registry, grains),
+        "models": t.team_models(events, grains),
+        "tools": t.team_tools(events, grains),
+        "team_models": t.team_model_detail(events, registry, grains),
+        "daily": t.team_daily(spark, events, span, grains),
+        "user_daily": t.team_user_daily(events, registry, grains),
+        "upload_health": t.upload_health(uploads, as_of),
+        "uploads": t.upload_list(uploads),
+        **_compared(spark, grains, pair, TEAM, zone),
+        "comparison_users": t.team_compare_users(events, registry, pair, zone, grains),
     }
     return report_rows(sections, zone)

@@ -15,17 +15,19 @@ from datetime import datetime
 from itertools import islice
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usageloom.model import LOCAL_EVENT_COLUMNS, TEAM_EVENT_COLUMNS, TOKENS
+from usageloom.model import DEVICE, LOCAL_EVENT_COLUMNS, TEAM_EVENT_COLUMNS, TOKENS
 from usageloom.operators.decode import decode_errors, message_events, snapshot_events
 from usageloom.operators.idempotent import (
+    Stored,
     changed_files,
     insert_new_events,
     latest_per_key,
     manifest_rows,
+    not_stored,
 )
 from usageloom.operators.team_ingest import (
     IngestRun,
@@ -34,8 +36,9 @@ from usageloom.operators.team_ingest import (
     ledger_rows,
     screened_batch,
 )
-from usageloom.session import scratch_dir
+from usageloom.session import scratch_dir, stage
 from usageloom.sources.facts import year_month
+from usageloom.sources.key_table import KeyLayout, not_in_table, read_keys, write_keys
 from usageloom.sources.lines import file_line_counts, file_listing
 from usageloom.sources.message_log import message_log_lines, message_log_records
 from usageloom.sources.snapshot_log import snapshot_log_lines, snapshot_log_records
@@ -66,6 +69,10 @@ class Tables:
     def manifest(self) -> str:
         return f"{self.root}/manifest"
 
+    @property
+    def keys(self) -> str:
+        return f"{self.root}/keys"
+
     @property
     def commits(self) -> str:
         return f"{self.root}/commits"
@@ -99,6 +106,16 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("scanned_at", T.TimestampType()),
     ]
 )
+UPLOAD_SCHEMA = T.StructType(
+    [
+        *[T.StructField(c, T.StringType()) for c in DEVICE],
+        T.StructField("upload_date", T.DateType()),
+        T.StructField("upload_time", T.TimestampType()),
+        *[T.StructField(c, T.LongType()) for c in ("event_count", "accepted", "duplicate", "rejected")],
+        T.StructField("status", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
 COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -110,9 +127,9 @@ _ATTEMPT = [T.StructField("attempt", T.StringType())]
 _MONTH = [T.StructField("year_month", T.IntegerType())]
 
 
-def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _existing(spark: SparkSession, path: str, schema: T.StructType, below: str = "") -> DataFrame:
     try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(path + below)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -131,6 +148,62 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType, monthly: boo
     return table.join(done, "attempt").drop("attempt")
 
 
+#: How the keys of a team store and of a local store are laid out.
+TEAM_KEYS = KeyLayout((*DEVICE, "event_key"), by=DEVICE, slots=16, buckets=64)
+LOCAL_KEYS = KeyLayout(("event_key",))
+#: Commits after which the key table takes in the events stored since.
+COMMITS_PER_KEY_TABLE = 20
+_KEY_RUN = "key table"
+
+
+def _key_table(spark: SparkSession, tables: Tables) -> Row | None:
+    """The commit of the newest key table: it holds the keys of all commits before it."""
+    return read_commits(spark, tables).filter(F.col("run_id") == _KEY_RUN).orderBy(F.desc("seq")).first()
+
+
+def committed_since(spark: SparkSession, path: str, schema: T.StructType, seq: int) -> DataFrame:
+    """A table's rows from attempts committed after ``seq``; no other folder is listed."""
+    later = read_commits(spark, Tables(path.rsplit("/", 1)[0])).filter(F.col("seq") > seq)
+    names = [r.attempt for r in later.select("attempt").collect()]
+    full = T.StructType(schema.fields + _ATTEMPT + _MONTH)
+    if not names:
+        return spark.createDataFrame([], full)
+    return _existing(spark, path, full, "/attempt={" + ",".join(sorted(names)) + "}")
+
+
+def build_key_table(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> None:
+    """Write the key table anew, from the one before it and the events committed since."""
+    base = _key_table(spark, tables)
+    keys = committed_since(spark, tables.events, schema, base.seq if base else 0).select(*layout.key)
+    attempt = Attempt.begin(spark, tables, _KEY_RUN)
+    if base:
+        keys = keys.unionByName(read_keys(spark, f"{tables.keys}/attempt={base.attempt}", layout).select(*layout.key))
+    write_keys(keys, attempt.folder(tables.keys), layout)
+    attempt.commit()
+
+
+def stored_events(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> Stored:
+    """The store as a lookup: the key table bucket by bucket, then the few commits after it."""
+    base = _key_table(spark, tables)
+    recent = committed_since(spark, tables.events, schema, base.seq if base else 0)
+
+    def absent(rows: DataFrame) -> DataFrame:
+        if base:
+            rows = not_in_table(rows, read_keys(spark, f"{tables.keys}/attempt={base.attempt}", layout), layout)
+        return not_stored(rows, recent, layout.key)
+
+    return absent
+
+
+def keep_key_table(
+    spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout, every: int = COMMITS_PER_KEY_TABLE
+) -> None:
+    """Build the key table where ``every`` commits or more came after the last one."""
+    base = _key_table(spark, tables)
+    if read_commits(spark, tables).filter(F.col("seq") > (base.seq if base else 0)).count() >= every:
+        build_key_table(spark, tables, schema, layout)
+
+
 @dataclass(frozen=True)
 class Attempt:
     """The folders of one try of a run; nothing is visible before ``commit``."""
@@ -168,13 +241,6 @@ class Attempt:
         row.coalesce(1).write.parquet(self.folder(self.tables.commits))
 
 
-def stage(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
-    """Write an intermediate table once to shared storage and read it back."""
-    path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def run_team_ingest(
     spark: SparkSession,
     envelopes: DataFrame,
@@ -196,7 +262,7 @@ def run_team_ingest(
     guarded = checked.drop("events")
     attempt = Attempt.begin(spark, tables, run_id)
     try:
-        stored = read_runs(spark, tables.events, TEAM_SCHEMA)
+        stored = stored_events(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
         run = ingest_checked(
             guarded, screened, stored, zone, keep=lambda first: stage(spark, first, "first")
         )
@@ -207,6 +273,7 @@ def run_team_ingest(
     except Exception as failure:
         record_failure(spark, guarded, screened, tables, zone, run_id, f"{type(failure).__name__}: {failure}"[:500])
         raise
+    keep_key_table(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
     return written
 
 
@@ -250,7 +317,7 @@ def incremental_refresh(
     names = ("files_scanned", "files_changed", "events_inserted", "events_skipped", "errors")
     totals = dict.fromkeys(names, 0)
     attempt = Attempt.begin(spark, tables, run_id)
-    stored = read_runs(spark, tables.events, LOCAL_SCHEMA)
+    stored = stored_events(spark, tables, LOCAL_SCHEMA, LOCAL_KEYS)
     manifest = current_manifest(spark, tables)
     fresh = entries = None
     for tool, paths in (("codex", snapshot_paths), ("claude-code", message_paths)):
@@ -277,6 +344,7 @@ def incremental_refresh(
         totals["events_skipped"] -= totals["events_inserted"]
         attempt.write(entries, tables.manifest)
         attempt.commit()
+        keep_key_table(spark, tables, LOCAL_SCHEMA, LOCAL_KEYS)
     return totals
 
 

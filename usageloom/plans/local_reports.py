@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.model import LOCAL, MAX_SESSION_PAGE, TOKENS
-from usageloom.operators.rollup import METRICS, distinct_values, histograms, usage_rollup
+from usageloom.operators.grains import Grains, Section
+from usageloom.operators.rollup import METRICS, usage_rollup
 from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary
 from usageloom.plans.periods import PeriodPair, Range, day_spine
 
@@ -44,50 +45,63 @@ def by_total(rollup: DataFrame, *keys: str) -> DataFrame:
     return rollup.orderBy(F.col("total_tokens").desc(), *keys)
 
 
-def with_histograms(rollup: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
-    """Add source_kind and source_quality maps to buckets."""
-    dimensions = ("source_kind", "source_quality")
-    counts = histograms(events, keys, dimensions)
+HISTOGRAMS = ("source_kind", "source_quality")
+#: Sections of a local report over its range, and their conditions.
+SUMMARY = Section("summary", facets=HISTOGRAMS)
+DAILY = Section("daily", ("local_date",))
+MODELS = Section("models", ("model",), facets=("tool",))
+TOOLS = Section("tools", ("tool",), facets=HISTOGRAMS)
+SESSIONS = Section("sessions", ("session_id",), facets=("tool", "model"))
+
+
+def _alone(events: DataFrame, section: Section) -> Grains:
+    return Grains(events, LOCAL, (section,))
+
+
+def with_maps(grains: Grains, name: str) -> DataFrame:
+    """A section's rollup with source_kind and source_quality maps."""
+    keys = list(grains.section(name).keys)
+    counts = grains.value_maps(name, HISTOGRAMS)
     if keys:
-        return rollup.join(counts, keys, "left")
+        return grains.with_values(name, counts)
     none = F.expr("map('unknown', 0L)")
-    whole = [F.when(F.size(c) > 0, F.col(c)).otherwise(none) for c in dimensions]
-    return rollup.select(
-        "*", *[counts.select(w).scalar().alias(c) for w, c in zip(whole, dimensions)]
+    whole = [F.when(F.size(c) > 0, F.col(c)).otherwise(none) for c in HISTOGRAMS]
+    return grains.rollup(name).select(
+        "*", *[counts.select(w).scalar().alias(c) for w, c in zip(whole, HISTOGRAMS)]
     )
 
 
-def local_summary(events: DataFrame) -> DataFrame:
-    return with_histograms(usage_rollup(events, [], LOCAL), events, [])
+def local_summary(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return with_maps(grains or _alone(events, SUMMARY), "summary")
 
 
-def local_daily(spark: SparkSession, events: DataFrame, span: Range) -> DataFrame:
-    return zero_filled(day_spine(spark, span), usage_rollup(events, ["local_date"], LOCAL))
+def local_daily(spark: SparkSession, events: DataFrame, span: Range, grains: Grains | None = None) -> DataFrame:
+    rollup = grains.rollup("daily") if grains else usage_rollup(events, ["local_date"], LOCAL)
+    return zero_filled(day_spine(spark, span), rollup)
 
 
-def local_models(events: DataFrame) -> DataFrame:
-    tools = distinct_values(events, ["model"], "tool", "tools")
-    return by_total(usage_rollup(events, ["model"], LOCAL).join(tools, "model"), "model")
+def local_models(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    grains = grains or _alone(events, MODELS)
+    tools = grains.value_lists("models", {"tool": "tools"})
+    return by_total(grains.with_values("models", tools), "model")
 
 
-def local_tools(events: DataFrame) -> DataFrame:
-    rollup = usage_rollup(events, ["tool"], LOCAL)
-    return by_total(with_histograms(rollup, events, ["tool"]), "tool")
+def local_tools(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return by_total(with_maps(grains or _alone(events, TOOLS), "tools"), "tool")
 
 
-def session_buckets(events: DataFrame) -> DataFrame:
-    rollup = usage_rollup(events, ["session_id"], LOCAL)
-    for column, name in (("tool", "tools"), ("model", "models")):
-        rollup = rollup.join(distinct_values(events, ["session_id"], column, name), "session_id")
-    return rollup
+def session_buckets(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    grains = grains or _alone(events, SESSIONS)
+    lists = grains.value_lists("sessions", {"tool": "tools", "model": "models"})
+    return grains.with_values("sessions", lists)
 
 
 def _newest_first() -> list[Column]:
     return [F.col("started_at").desc(), F.col("session_id").asc()]
 
 
-def local_sessions(events: DataFrame) -> DataFrame:
-    return session_buckets(events).orderBy(*_newest_first())
+def local_sessions(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return session_buckets(events, grains).orderBy(*_newest_first())
 
 
 def local_sessions_page(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,17 +21,12 @@ from usageloom.model import (
     WARNING_GAP_SECONDS,
 )
 from usageloom.operators.registry import device_names
-from usageloom.operators.rollup import usage_rollup
-from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary
-from usageloom.plans.local_reports import by_total, with_histograms, zero_filled
+from usageloom.operators.grains import Grains, Section
+from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary, largest_changes
+from usageloom.plans.local_reports import HISTOGRAMS, by_total, with_maps, zero_filled
 from usageloom.plans.periods import CURRENT, PeriodPair, Range, day_spine, split_periods
 
 
-def _earliest(column: str) -> Column:
-    """Value of the session that started first; ties go by value."""
-    return F.min_by(column, F.struct("started_at", column))
-
-
 def _name_users(rollup: DataFrame, registry: DataFrame) -> DataFrame:
     """Display name of a user: the name of the first device they used in the bucket.
 
@@ -43,16 +39,41 @@ def _name_users(rollup: DataFrame, registry: DataFrame) -> DataFrame:
     return named.withColumn("display_name", shown).drop("_first_device", "device_name")
 
 
-def team_summary(events: DataFrame) -> DataFrame:
-    latest = F.max_by("team_id", F.struct("ended_at", "team_id"))
-    rollup = usage_rollup(events, [], TEAM, also={"team_id": F.coalesce(latest, F.lit(""))})
-    return with_histograms(rollup, events, [])
+SUMMARY = Section("summary", facets=HISTOGRAMS)
+TEAMS = Section("teams", ("team_id",))
+USERS = Section("users", ("team_id", "user_id"))
+DEVICES = Section("devices", ("team_id", "device_id"))
+MODELS = Section("models", ("model",))
+TOOLS = Section("tools", ("tool",), facets=HISTOGRAMS)
+DAILY = Section("daily", ("local_date",))
+USER_DAILY = Section("user_daily", ("local_date", "team_id", "user_id"))
+TEAM_MODELS = Section("team_models", ("local_date", "team_id", "user_id", "tool", "model"))
+COMPARE_USERS = Section("compare_users", ("period", "team_id", "user_id"))
+
+#: What buckets are named by: device and user of the session that started first, team of the one that ended last.
+FIRST_DEVICE = {"_first_device": "min_by(device_id, struct(started_at, device_id))"}
+FIRST_USER = {"_first_user": "min_by(user_id, struct(started_at, user_id))"}
+LAST_TEAM = {"_last_team": "max_by(team_id, struct(ended_at, team_id))"}
+
+
+def _alone(events: DataFrame, section: Section, also: Mapping[str, str] | None = None) -> Grains:
+    return Grains(events, TEAM, (section,), also=also or {})
+
+
+def _plain(rollup: DataFrame) -> DataFrame:
+    """A rollup without the columns that only names are found by."""
+    return rollup.drop(*FIRST_DEVICE, *FIRST_USER, *LAST_TEAM)
 
 
-def team_rollup(events: DataFrame, uploads: DataFrame) -> DataFrame:
+def team_summary(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    rows = with_maps(grains or _alone(events, SUMMARY, LAST_TEAM), "summary")
+    return _plain(rows.withColumn("team_id", F.coalesce("_last_team", F.lit(""))))
+
+
+def team_rollup(events: DataFrame, uploads: DataFrame, grains: Grains | None = None) -> DataFrame:
     """Teams with tokens, uploads, or both; a team with uploads only is zero."""
     latest = uploads.groupBy("team_id").agg(F.max("upload_time").alias("last_upload_at"))
-    joined = usage_rollup(events, ["team_id"], TEAM).join(latest, "team_id", "full")
+    joined = _plain((grains or _alone(events, TEAMS)).rollup("teams")).join(latest, "team_id", "full")
     longs = (
         *TOKENS,
         "net_input_tokens",
@@ -74,59 +95,54 @@ def team_rollup(events: DataFrame, uploads: DataFrame) -> DataFrame:
     return by_total(filled, "team_id")
 
 
-def team_users(events: DataFrame, registry: DataFrame) -> DataFrame:
-    keys = ["team_id", "user_id"]
-    rollup = usage_rollup(events, keys, TEAM, also={"_first_device": _earliest("device_id")})
-    named = _name_users(rollup, registry).withColumn("last_seen_at", F.col("ended_at"))
-    return by_total(named, *keys)
+def team_users(events: DataFrame, registry: DataFrame, grains: Grains | None = None) -> DataFrame:
+    rollup = (grains or _alone(events, USERS, FIRST_DEVICE)).rollup("users")
+    named = _plain(_name_users(rollup, registry)).withColumn("last_seen_at", F.col("ended_at"))
+    return by_total(named, *USERS.keys)
 
 
-def team_devices(events: DataFrame, registry: DataFrame) -> DataFrame:
+def team_devices(events: DataFrame, registry: DataFrame, grains: Grains | None = None) -> DataFrame:
     """Devices with their owner, the first user seen on them."""
-    keys = ["team_id", "device_id"]
-    rollup = usage_rollup(events, keys, TEAM, also={"user_id": _earliest("user_id")})
-    named = rollup.join(device_names(registry), list(DEVICE), "left")
+    rollup = (grains or _alone(events, DEVICES, FIRST_USER)).rollup("devices")
+    named = rollup.withColumn("user_id", F.col("_first_user")).join(device_names(registry), list(DEVICE), "left")
     shown = F.when(is_blank(F.col("device_name")), F.col("device_id")).otherwise(
         F.col("device_name")
     )
     return by_total(
-        named.withColumn("display_name", shown)
+        _plain(named.withColumn("display_name", shown))
         .withColumn("last_seen_at", F.col("ended_at"))
         .drop("device_name"),
-        *keys,
+        *DEVICES.keys,
     )
 
 
-def team_models(events: DataFrame) -> DataFrame:
-    return by_total(usage_rollup(events, ["model"], TEAM), "model")
+def team_models(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return by_total(_plain((grains or _alone(events, MODELS)).rollup("models")), "model")
 
 
-def team_tools(events: DataFrame) -> DataFrame:
-    rollup = usage_rollup(events, ["tool"], TEAM)
-    return by_total(with_histograms(rollup, events, ["tool"]), "tool")
+def team_tools(events: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return by_total(_plain(with_maps(grains or _alone(events, TOOLS), "tools")), "tool")
 
 
-def _model_detail(events: DataFrame, registry: DataFrame) -> DataFrame:
-    keys = ["local_date", "team_id", "user_id", "tool", "model"]
-    rollup = usage_rollup(events, keys, TEAM, also={"_first_device": _earliest("device_id")})
-    return _name_users(rollup, registry)
+def _model_detail(events: DataFrame, registry: DataFrame, grains: Grains | None = None) -> DataFrame:
+    grains = grains or _alone(events, TEAM_MODELS, FIRST_DEVICE)
+    return _plain(_name_users(grains.rollup("team_models"), registry))
 
 
-def team_model_detail(events: DataFrame, registry: DataFrame) -> DataFrame:
-    return _model_detail(events, registry).orderBy(
+def team_model_detail(events: DataFrame, registry: DataFrame, grains: Grains | None = None) -> DataFrame:
+    return _model_detail(events, registry, grains).orderBy(
         F.col("local_date").desc(), "team_id", "user_id", "tool", "model"
     )
 
 
-def team_daily(spark: SparkSession, events: DataFrame, span: Range) -> DataFrame:
-    rollup = usage_rollup(events, ["local_date"], TEAM)
+def team_daily(spark: SparkSession, events: DataFrame, span: Range, grains: Grains | None = None) -> DataFrame:
+    rollup = (grains or _alone(events, DAILY)).rollup("daily")
     return zero_filled(day_spine(spark, span), rollup, more=("users", "devices"))
 
 
-def team_user_daily(events: DataFrame, registry: DataFrame) -> DataFrame:
-    keys = ["local_date", "team_id", "user_id"]
-    rollup = usage_rollup(events, keys, TEAM, also={"_first_device": _earliest("device_id")})
-    return _name_users(rollup, registry).orderBy("local_date", "user_id", "team_id")
+def team_user_daily(events: DataFrame, registry: DataFrame, grains: Grains | None = None) -> DataFrame:
+    rollup = (grains or _alone(events, USER_DAILY, FIRST_DEVICE)).rollup("user_daily")
+    return _plain(_name_users(rollup, registry)).orderBy("local_date", "user_id", "team_id")
 
 
 _OUTCOME = ("status", "accepted", "duplicate", "rejected")
@@ -197,21 +213,14 @@ def team_compare_daily(
 
 
 def team_compare_users(
-    events: DataFrame, registry: DataFrame, pair: PeriodPair, zone: str
+    events: DataFrame, registry: DataFrame, pair: PeriodPair, zone: str, grains: Grains | None = None
 ) -> DataFrame:
     """Largest changes per user, named by the current period where it has the user."""
-    top = compare_by(events, pair, ["team_id", "user_id"], zone)
-    order = F.struct(
-        F.when(F.col("period") == CURRENT, 0).otherwise(1).alias("p"), "event_ts", "device_id"
-    )
-    first = (
-        split_periods(events, pair, zone)
-        .join(top.select("team_id", "user_id"), ["team_id", "user_id"], "left_semi")
-        .groupBy("team_id", "user_id")
-        .agg(F.min_by("device_id", order).alias("_first_device"))
-    )
-    named = _name_users(top.join(first, ["team_id", "user_id"]), registry)
-    return named.orderBy(F.abs("delta_total_tokens").desc(), "team_id", "user_id")
+    rows = (grains or _alone(split_periods(events, pair, zone), COMPARE_USERS, FIRST_DEVICE)).rollup("compare_users")
+    keys = ["team_id", "user_id"]
+    first = F.min_by("_first_device", F.when(F.col("period") == CURRENT, 0).otherwise(1))
+    named = _name_users(largest_changes(rows, keys, also=[first.alias("_first_device")]), registry)
+    return named.orderBy(F.abs("delta_total_tokens").desc(), *keys)
 
 
 def team_compare_models(
