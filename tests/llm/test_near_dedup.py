@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from cases import CLASHING, prose
 from usageloom.llm import near_dedup
@@ -69,3 +71,72 @@ def test_stage_finds_copies_that_fingerprints_miss(spark, make_docs):
 
     assert (simhash.fingerprint(base.encode()) ^ simhash.fingerprint(copy.encode())).bit_count() > simhash.RADIUS
     assert kept_ids(make_docs([base, copy, prose(12, 400)]), spark) == [0, 2]
+
+
+def template_texts(n, changed, seed=5):
+    """Texts of one template with some words changed in each."""
+    pick = random.Random(seed)
+    base = prose(seed, 120).split()
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in pick.sample(range(120), changed):
+            words[at] = f"w{i}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_template_families_make_no_pair_rows(spark, make_docs, monkeypatch):
+    """Rows of a family grow in proportion to it, though all its members share buckets and none links."""
+    seen = {}
+    within = near_dedup.within_hubs
+
+    def counted(stars, comps):
+        links = within(stars, comps)
+        seen["stars"], seen["links"] = stars.count(), links.count()
+        return links
+
+    monkeypatch.setattr(near_dedup, "within_hubs", counted)
+    sizes = {}
+    for n in (200, 400, 800):
+        roots = near_dedup.near_duplicates(make_docs(template_texts(n, 4))).select("root").distinct().count()
+        assert roots == n
+        sizes[n] = seen["stars"]
+        assert seen["links"] == 0
+    assert sizes[800] < 5 * sizes[200] and sizes[800] <= 800 * near_dedup.BANDS
+
+
+def test_template_family_that_links_in_part(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    texts = template_texts(90, 4) + template_texts(60, 1) + template_texts(30, 2)
+    texts += [edited(t, 0.05, 900 + i) for i, t in enumerate(template_texts(30, 4))]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    assert kept_ids(make_docs(docs), spark) == plain_groups(docs)
+
+
+def test_intersections_and_forest_equal_plain_sets():
+    pick = random.Random(8)
+    hub = sorted(pick.sample(range(10**9), 37))
+    sets = [sorted({*pick.sample(hub, pick.randint(0, 37)), *pick.choices(range(60), k=pick.randint(0, 25))}) for _ in range(70)]
+    sets.append([])
+    arrays = [np.array(s, np.uint64) for s in sets]
+    base = np.array(hub, np.uint64)
+    has = [np.packbits(np.isin(base, a)).tobytes() for a in arrays]
+    besides = [a[~np.isin(a, base)].tobytes() for a in arrays]
+    common = near_dedup.intersections(has, besides)
+    want = np.array([[len(set(a) & set(b)) for b in sets] for a in sets])
+    assert (common == want).all()
+    part = near_dedup.intersections(has, besides, 30)
+    assert (part == want[:30, 30:]).all()
+    nodes = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    links = near_dedup.forest(nodes, sizes, nodes.copy(), common, 0.5)
+    assert len(links) < len(nodes) and all(near_dedup.near_enough(want[a][b], sizes[a] + sizes[b] - want[a][b], 0.5) for a, b in links)
+    root = list(range(len(sets)))
+    for a, b in links:
+        old, new = root[b], root[a]
+        root = [new if r == old else r for r in root]
+    for a in range(len(sets)):
+        for b in range(a):
+            if near_dedup.near_enough(want[a][b], sizes[a] + sizes[b] - want[a][b], 0.5):
+                assert root[a] == root[b]
