@@ -23,7 +23,7 @@ from usageloom.functions.texts import (
 from usageloom.model import DEVICE, TEAM, TOKENS
 from usageloom.operators import decode, gate, idempotent, outbox, rank, registry, rollup, team_ingest
 from usageloom.operators.series import carry_along
-from usageloom.plans import documents, jobs, local_reports, periods, team_reports
+from usageloom.plans import collector, documents, jobs, local_reports, periods, registry_store, sessions, team_reports
 from usageloom.session import scratch_dir
 from usageloom.sources import envelopes as env
 from usageloom.sources import facts, lines, message_log, snapshot_log
@@ -195,15 +195,20 @@ def message_log_records(spark, sf_dir):
 
 @query(
     o.with_(o.BASE, o.REPLAYED, _MESSAGE_ROWS)
-    + f"""SELECT path, line_no, session_id, {_MESSAGE_TOKENS},
-  'hook_metadata' AS source_kind, 'estimated' AS source_quality FROM used"""
+    + f"""SELECT session_id, {_MESSAGE_TOKENS}, source_kind, source_quality FROM used,
+  (VALUES ('local_jsonl','reported'),('otel_metric','reported'),('hook_metadata','estimated'),('fixture','reported')) m(source_kind, source_quality)"""
+    .replace("t AS total_tokens, source_kind, source_quality", "t AS total_tokens, m.source_kind, m.source_quality")
 )
 def usage_telemetry(spark, sf_dir):
-    records = message_log.message_log_records(d.message_lines(spark, sf_dir))
-    tagged = message_log.tag_source(records, "hook")
-    return tagged.filter(F.col("shape") != "failed").select(
-        "path", "line_no", "session_id", *TOKENS, "source_kind", "source_quality"
-    )
+    """Message logs written as files and read in each of the four modes."""
+    logs = scratch_dir(spark, "telemetry")
+    d.message_lines(spark, sf_dir).select(F.col("line").alias("value")).write.text(f"{logs}/raw")
+    _as_logs(spark, f"{logs}/raw")
+    read = [message_log.usage_telemetry(spark, logs, mode) for mode in message_log.SOURCE_MODES]
+    whole = read[0]
+    for part in read[1:]:
+        whole = whole.unionByName(part)
+    return whole.filter(F.col("shape") != "failed").select("session_id", *TOKENS, "source_kind", "source_quality")
 
 
 @query(
@@ -244,6 +249,26 @@ def upload_envelopes(spark, sf_dir):
     )
 
 
+@query(
+    o.with_(*_SENT)
+    + """SELECT count(DISTINCT envelope_id) OVER () AS envelopes, token, client_user_id, uploaded_at, position, event_key FROM sent"""
+)
+def read_envelopes(spark, sf_dir):
+    """A drop of JSON lines, one envelope each, with an id by hash; a repeated file gives the same ids."""
+    d.configure(spark)
+    drop = scratch_dir(spark, "drop")
+    sent = d.envelopes(d.usage_base(spark, sf_dir)).select("token", canonical_instant(F.col("uploaded_at")).alias("uploaded_at"), "body")
+    sent.write.json(f"{drop}/first")
+    read = env.read_envelopes(spark, f"{drop}/first")
+    again = env.read_envelopes(spark, [f"{drop}/first", f"{drop}/first"]).select("envelope_id").distinct()
+    ids = again.agg(F.count("*").alias("envelopes"))
+    events = env.envelope_events(env.open_envelopes(read)).select(
+        "token", "client_user_id", "uploaded_at", F.col("position").cast("bigint").alias("position"),
+        F.get_json_object("event_text", "$.event_key").alias("event_key"),
+    )
+    return events.select(ids.scalar().alias("envelopes"), "*")
+
+
 @query(
     o.with_(o.BASE, o.DEC)
     + f"""SELECT event_key, tool, session_id, event_ts, local_date, year(local_date)*100+month(local_date) AS year_month,
@@ -738,6 +763,132 @@ def touch_last_seen(spark, sf_dir):
     return touched.select("token_hash", *DEVICE, "last_seen_at")
 
 
+_TURN = "TIMESTAMP '2024-01-15'"
+_UID = "CAST(replace(r.user_id,'user-','') AS BIGINT)"
+_LATE_CODE = f"""CASE WHEN r.token_hash IS NULL OR (s.uploaded_at>={_TURN} AND {_UID}%5=3) THEN 'unauthorized'
+  WHEN r.status<>'active' OR (s.uploaded_at>={_TURN} AND {_UID}%5=4) THEN 'forbidden'
+  WHEN s.client_user_id<>r.user_id THEN 'identity_conflict' ELSE 'ok' END"""
+_LATE_CHECKED = _CHECKED.replace(_CODE, _LATE_CODE)
+
+
+def _revoked_between(spark, sf_dir) -> tuple[jobs.Tables, int]:
+    """A team store that ingests, loses some bindings, and ingests again; with the commit before the change."""
+    d.configure(spark)
+    base = d.usage_base(spark, sf_dir)
+    tables = jobs.Tables(scratch_dir(spark, "store"))
+    first = registry_store.change_registry(spark, tables, "register", upserts=d.registry(base))
+    sent = d.envelopes(base)
+    late = F.col("uploaded_at") >= F.lit("2024-01-15").cast("timestamp")
+    jobs.run_team_ingest(spark, sent.filter(~late), None, tables, d.ZONE, "early")
+    group = F.regexp_replace("user_id", "user-", "").cast("bigint") % 5
+    current = registry_store.registry_as_of(spark, tables)
+    registry_store.change_registry(
+        spark, tables, "revoke", removed=current.filter(group == 3),
+        upserts=current.filter(group == 4).withColumn("status", F.lit("disabled")),
+    )
+    jobs.run_team_ingest(spark, sent.filter(late), None, tables, d.ZONE, "late")
+    return tables, first
+
+
+@query(
+    o.with_(*_SENT, o.REGISTRY, _LATE_CHECKED)
+    + f"""SELECT 'first' AS as_of, token_hash, status, created_at, last_seen_at FROM registry
+UNION ALL SELECT 'now', r.token_hash, CASE WHEN {_UID}%5=4 THEN 'disabled' ELSE r.status END, r.created_at, m.latest
+FROM registry r LEFT JOIN (SELECT token_hash, max(uploaded_at) AS latest FROM checked WHERE code='ok' GROUP BY 1) m USING (token_hash)
+WHERE {_UID}%5<>3"""
+)
+def registry_versions(spark, sf_dir):
+    """The stored registry as of its first commit and now, after uploads, removals and a change."""
+    tables, first = _revoked_between(spark, sf_dir)
+    columns = ("token_hash", "status", "created_at", "last_seen_at")
+    then = registry_store.registry_as_of(spark, tables, first).select(F.lit("first").alias("as_of"), *columns)
+    return then.unionByName(registry_store.registry_as_of(spark, tables).select(F.lit("now").alias("as_of"), *columns))
+
+
+@query(
+    o.with_(*_SENT, o.REGISTRY, _LATE_CHECKED)
+    + "SELECT envelope_id, token_hash, team_id, user_id, device_id, code FROM checked".replace(
+        "team_id, user_id, device_id, code", f"CASE WHEN code<>'unauthorized' THEN user_id END AS user_id, code"
+    )
+)
+def ingest_with_stored_registry(spark, sf_dir):
+    """Codes of all envelopes where tokens were revoked between two runs."""
+    tables, _ = _revoked_between(spark, sf_dir)
+    results = spark.read.parquet(tables.results)
+    return results.select("envelope_id", "token_hash", "user_id", "code")
+
+
+_LAST_SENT = """mine AS (SELECT * FROM base WHERE tool<>'other' AND (input_tokens>0 OR cached_input_tokens>0 OR output_tokens>0 OR reasoning_output_tokens>0)),
+last_ AS (SELECT user_id, device_id, event_ts, event_key,
+  row_number() OVER (PARTITION BY user_id, device_id ORDER BY event_ts DESC, event_key DESC) AS n FROM mine)"""
+
+
+@query(
+    o.with_(o.BASE, _LAST_SENT)
+    + """SELECT l.user_id, l.device_id, l.event_key AS cursor_key, e.stored, e.copies FROM last_ l
+JOIN (SELECT user_id, device_id, count(*) AS stored, count(*) AS copies FROM mine GROUP BY 1,2) e USING (user_id, device_id)
+WHERE l.n=1"""
+)
+def collector_runs(spark, sf_dir):
+    """A collector whose devices fail, are partly rejected, lose a reply and have nothing new: all arrives once.
+
+    The receiver is the team ingest. Per device: where its cursor ends, events stored, and distinct keys of them.
+    """
+    d.configure(spark)
+    # Decoded logs hold no event without usage; the receiver would refuse one for ever.
+    base = d.usage(spark, sf_dir).filter(has_positive_usage())
+    home, far = jobs.Tables(scratch_dir(spark, "collector")), jobs.Tables(scratch_dir(spark, "store"))
+    devices = base.select(*DEVICE).distinct()
+    names = devices.withColumns(
+        {
+            "token_hash": F.sha2("device_id", 256), "display_name": F.col("device_id"), "status": F.lit("active"),
+            "created_at": F.lit("2024-01-01").cast("timestamp"), "last_seen_at": F.lit(None).cast("timestamp"), "token_preview": F.lit(""),
+        }
+    )
+    registry_store.change_registry(spark, far, "register", upserts=names)
+    number = F.pmod(F.xxhash64("device_id"), F.lit(5))
+
+    def receive(tag: str, reached=F.lit(True), rejects=F.lit(False)):
+        """Ingest what reaches the receiver; the others get no reply, some replies tell of a rejected event."""
+
+        def send(outbox):
+            name = F.concat_ws("/", F.lit(tag), "device_id", F.col("batch_no").cast("string"))
+            sent = outbox.filter(reached).select(
+                name.alias("envelope_id"), F.col("device_id").alias("token"), F.lit("2024-02-01").cast("timestamp").alias("uploaded_at"), "body",
+            )
+            results = jobs.run_team_ingest(spark, sent, None, far, d.ZONE, tag)
+            told = results.select("envelope_id", (F.col("code") == "ok").alias("ok"), "accepted", "duplicate", F.col("rejected").alias("_rejected"))
+            return (
+                outbox.withColumn("envelope_id", name)
+                .join(told, "envelope_id")
+                .withColumn("rejected", F.col("_rejected") + F.when(rejects, 1).otherwise(0))
+            )
+
+        return send
+
+    def lost(outbox):
+        receive("two")(outbox)
+        raise ConnectionError("the reply was lost")
+
+    run = lambda n, cutoff, send: collector.run_collector(
+        spark, base, devices, home, send, cutoff, d.AS_OF, n, batch=200
+    )
+    run(1, "2024-01-12 00:00:00", receive("one", reached=number != 1, rejects=number == 2))
+    try:
+        run(2, "2024-01-22 00:00:00", lost)
+    except ConnectionError:
+        pass
+    run(3, "2024-01-25 00:00:00", receive("three"))
+    run(4, "2024-03-01 00:00:00", receive("four"))
+    run(5, "2024-03-01 00:00:00", receive("five"))
+    run(5, "2024-03-01 00:00:00", lost)
+    stored = jobs.read_runs(spark, far.events, jobs.TEAM_SCHEMA).groupBy("user_id", "device_id").agg(
+        F.count("*").alias("stored"), F.count_distinct("event_key").alias("copies")
+    )
+    cursors = collector.current_cursors(spark, home)
+    return cursors.join(stored, ["user_id", "device_id"]).select("user_id", "device_id", "cursor_key", "stored", "copies")
+
+
 @query(
     o.with_(o.BASE, o.REGISTRY)
     + """SELECT token_hash, team_id, user_id, device_id,
@@ -1338,6 +1489,54 @@ def local_sessions_deep_page(spark, sf_dir):
     return local_reports.local_sessions_page(_month(spark, sf_dir), page=16, page_size=10)[0]
 
 
+def _local_store(spark, sf_dir) -> jobs.Tables:
+    """A local store of three commits, each batch replaying those before; keys and summary merged in between."""
+    tables = jobs.Tables(scratch_dir(spark, "store"))
+    every = d.usage(spark, sf_dir).withColumns({"source_path": F.lit("log"), "line_number": F.col("event_id")})
+    for run_id in range(3):
+        batch = every.filter(F.col("event_id") % 3 <= run_id).select(*jobs.LOCAL_SCHEMA.names)
+        new = idempotent.insert_new_events(
+            batch, jobs.stored_events(spark, tables, jobs.LOCAL_SCHEMA, jobs.LOCAL_KEYS), ("event_key",),
+            ("source_path", "line_number"), keep=lambda first: jobs.stage(spark, first, "first"),
+        )
+        attempt = jobs.Attempt.begin(spark, tables, run_id)
+        jobs.store_local_events(spark, tables, attempt, new)
+        attempt.commit()
+        if run_id == 1:
+            jobs.build_key_table(spark, tables, jobs.LOCAL_SCHEMA, jobs.LOCAL_KEYS)
+            jobs.merge_session_summary(spark, tables)
+    return tables
+
+
+@query(o.with_(o.BASE, o.USAGE) + "SELECT event_key, tool, session_id, event_ts, local_date, total_tokens FROM u")
+def insert_by_key_table(spark, sf_dir):
+    """A store fed by overlapping batches, whose keys are looked up in the key table: each event once."""
+    d.configure(spark)
+    tables = _local_store(spark, sf_dir)
+    stored = jobs.read_runs(spark, tables.events, jobs.LOCAL_SCHEMA)
+    return stored.select("event_key", "tool", "session_id", "event_ts", "local_date", "total_tokens")
+
+
+@query(o.with_(*_SESSION_CHAIN) + _SESSION_SELECT)
+def local_sessions_from_summary(spark, sf_dir):
+    """All sessions of the month from the stored summary, whose parts came in overlapping batches."""
+    d.configure(spark)
+    _, calls = jobs.session_summary(spark, _local_store(spark, sf_dir))
+    return sessions.summary_sessions(calls, SPAN)
+
+
+@query(
+    o.with_(*_SESSION_CHAIN)
+    + _SESSION_SELECT
+    + " ORDER BY started_at DESC, session_id LIMIT 10 OFFSET 20"
+)
+def local_sessions_page_from_summary(spark, sf_dir):
+    """The same page as from events, without reading one."""
+    d.configure(spark)
+    days, calls = jobs.session_summary(spark, _local_store(spark, sf_dir))
+    return sessions.summary_page(days, calls, SPAN, page=3, page_size=10)[0]
+
+
 @query(
     o.with_(o.BASE, o.USAGE)
     + """SELECT 3::BIGINT AS page, 10::BIGINT AS page_size, count(DISTINCT session_id) AS total,

@@ -62,6 +62,11 @@ class Grains:
     keep: Keep = _unstaged
     _made: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
+    @staticmethod
+    def of_calls(calls: DataFrame, scope: Scope, sections: tuple[Section, ...]) -> Grains:
+        """From a table that is at call grain already, with ``usage_event_count``."""
+        return Grains(calls, scope, sections, _made={"base": calls})
+
     def _once(self, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         if name not in self._made:
             self._made[name] = self.keep(make(), name, by)

@@ -43,25 +43,33 @@ def enrich_device(rows: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def upsert_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the binding of known tokens, keeping created_at and last_seen_at."""
+def replacements(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last change of each token as its binding; a known token keeps created_at and last_seen_at."""
     kept = registry.select(
         "token_hash", F.col("created_at").alias("_created"), F.col("last_seen_at").alias("_seen")
     )
     latest = latest_per_key(changes, ("token_hash",), ("created_at",))
-    replaced = latest.join(kept, "token_hash", "left").select(
+    return latest.join(kept, "token_hash", "left").select(
         *[c for c in registry.columns if c not in ("created_at", "last_seen_at")],
         F.coalesce("_created", "created_at").alias("created_at"),
         F.col("_seen").alias("last_seen_at"),
     )
-    untouched = registry.join(latest.select("token_hash"), "token_hash", "left_anti")
-    return untouched.unionByName(replaced)
+
+
+def upsert_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """Replace the binding of known tokens, keeping created_at and last_seen_at."""
+    return remove_registry(registry, changes).unionByName(replacements(registry, changes))
 
 
 def remove_registry(registry: DataFrame, removed: DataFrame) -> DataFrame:
     return registry.join(removed.select("token_hash"), "token_hash", "left_anti")
 
 
+def left_of(registry: DataFrame, removed: DataFrame) -> DataFrame:
+    """The stored bindings of tokens to remove."""
+    return registry.join(removed.select("token_hash"), "token_hash", "left_semi")
+
+
 def register_tokens(tokens: DataFrame) -> DataFrame:
     """Bindings to store for new tokens: hash and preview replace the token itself."""
     return tokens.select(

@@ -8,18 +8,15 @@ Repeating a committed ingest run changes nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from datetime import datetime
 from itertools import islice
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usageloom.model import DEVICE, LOCAL_EVENT_COLUMNS, TEAM_EVENT_COLUMNS, TOKENS
+from usageloom.model import DEVICE
 from usageloom.operators.decode import decode_errors, message_events, snapshot_events
 from usageloom.operators.idempotent import (
     Stored,
@@ -36,8 +33,21 @@ from usageloom.operators.team_ingest import (
     ledger_rows,
     screened_batch,
 )
+from usageloom.plans import registry_store, sessions
+from usageloom.plans.store import (
+    LOCAL_SCHEMA,
+    MANIFEST_SCHEMA,
+    TEAM_SCHEMA,
+    UPLOAD_SCHEMA,
+    Attempt,
+    Tables,
+    committed_since,
+    existing,
+    newest_commit,
+    read_commits,
+    read_runs,
+)
 from usageloom.session import scratch_dir, stage
-from usageloom.sources.facts import year_month
 from usageloom.sources.key_table import KeyLayout, not_in_table, read_keys, write_keys
 from usageloom.sources.lines import file_line_counts, file_listing
 from usageloom.sources.message_log import message_log_lines, message_log_records
@@ -47,107 +57,6 @@ from usageloom.sources.snapshot_log import snapshot_log_lines, snapshot_log_reco
 FILES_PER_READ = 20_000
 
 
-@dataclass(frozen=True)
-class Tables:
-    """Where a store keeps its tables."""
-
-    root: str
-
-    @property
-    def events(self) -> str:
-        return f"{self.root}/events"
-
-    @property
-    def uploads(self) -> str:
-        return f"{self.root}/uploads"
-
-    @property
-    def results(self) -> str:
-        return f"{self.root}/results"
-
-    @property
-    def manifest(self) -> str:
-        return f"{self.root}/manifest"
-
-    @property
-    def keys(self) -> str:
-        return f"{self.root}/keys"
-
-    @property
-    def commits(self) -> str:
-        return f"{self.root}/commits"
-
-
-_TYPES = {
-    "event_ts": T.TimestampType(),
-    "received_at": T.TimestampType(),
-    "local_date": T.DateType(),
-    "line_number": T.LongType(),
-    **{t: T.LongType() for t in TOKENS},
-}
-
-
-def _event_schema(columns: tuple[str, ...]) -> T.StructType:
-    return T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in columns])
-
-
-TEAM_SCHEMA = _event_schema(TEAM_EVENT_COLUMNS)
-LOCAL_SCHEMA = _event_schema(LOCAL_EVENT_COLUMNS)
-MANIFEST_SCHEMA = T.StructType(
-    [
-        T.StructField("tool", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-        T.StructField("modified_at", T.TimestampType()),
-        T.StructField("last_line", T.LongType()),
-        T.StructField("last_event_ts", T.TimestampType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("last_error", T.StringType()),
-        T.StructField("scanned_at", T.TimestampType()),
-    ]
-)
-UPLOAD_SCHEMA = T.StructType(
-    [
-        *[T.StructField(c, T.StringType()) for c in DEVICE],
-        T.StructField("upload_date", T.DateType()),
-        T.StructField("upload_time", T.TimestampType()),
-        *[T.StructField(c, T.LongType()) for c in ("event_count", "accepted", "duplicate", "rejected")],
-        T.StructField("status", T.StringType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-COMMIT_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("attempt", T.StringType()),
-    ]
-)
-_ATTEMPT = [T.StructField("attempt", T.StringType())]
-_MONTH = [T.StructField("year_month", T.IntegerType())]
-
-
-def _existing(spark: SparkSession, path: str, schema: T.StructType, below: str = "") -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path + below)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def read_commits(spark: SparkSession, tables: Tables) -> DataFrame:
-    """(run_id, seq, attempt) of every finished attempt; seq is the order of commits."""
-    return _existing(spark, tables.commits, COMMIT_SCHEMA)
-
-
-def read_runs(spark: SparkSession, path: str, schema: T.StructType, monthly: bool = True) -> DataFrame:
-    """A table's rows from committed attempts, with the attempt's place ``seq``."""
-    table = _existing(spark, path, T.StructType(schema.fields + _ATTEMPT + (_MONTH if monthly else [])))
-    done = read_commits(spark, Tables(path.rsplit("/", 1)[0])).select("attempt", "seq")
-    return table.join(done, "attempt").drop("attempt")
-
-
 #: How the keys of a team store and of a local store are laid out.
 TEAM_KEYS = KeyLayout((*DEVICE, "event_key"), by=DEVICE, slots=16, buckets=64)
 LOCAL_KEYS = KeyLayout(("event_key",))
@@ -157,18 +66,7 @@ _KEY_RUN = "key table"
 
 
 def _key_table(spark: SparkSession, tables: Tables) -> Row | None:
-    """The commit of the newest key table: it holds the keys of all commits before it."""
-    return read_commits(spark, tables).filter(F.col("run_id") == _KEY_RUN).orderBy(F.desc("seq")).first()
-
-
-def committed_since(spark: SparkSession, path: str, schema: T.StructType, seq: int) -> DataFrame:
-    """A table's rows from attempts committed after ``seq``; no other folder is listed."""
-    later = read_commits(spark, Tables(path.rsplit("/", 1)[0])).filter(F.col("seq") > seq)
-    names = [r.attempt for r in later.select("attempt").collect()]
-    full = T.StructType(schema.fields + _ATTEMPT + _MONTH)
-    if not names:
-        return spark.createDataFrame([], full)
-    return _existing(spark, path, full, "/attempt={" + ",".join(sorted(names)) + "}")
+    return newest_commit(spark, tables, _KEY_RUN)
 
 
 def build_key_table(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> None:
@@ -204,60 +102,66 @@ def keep_key_table(
         build_key_table(spark, tables, schema, layout)
 
 
-@dataclass(frozen=True)
-class Attempt:
-    """The folders of one try of a run; nothing is visible before ``commit``."""
+_SESSION_RUN = "session summary"
 
-    spark: SparkSession
-    tables: Tables
-    run_id: str
-    name: str
 
-    @staticmethod
-    def begin(spark: SparkSession, tables: Tables, run_id: int | str) -> Attempt:
-        return Attempt(spark, tables, str(run_id), uuid.uuid4().hex)
+def session_summary(spark: SparkSession, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(days, calls) of all committed events, in parts that merge.
+
+    The newest merged generation and the commits after it; a generation's own
+    commit is one of those read.
+    """
+    base = newest_commit(spark, tables, _SESSION_RUN)
+    seq = base.seq - 1 if base else 0
+    days = committed_since(spark, tables.session_days, sessions.DAY_SCHEMA, seq, [])
+    return days, committed_since(spark, tables.session_calls, sessions.CALL_SCHEMA, seq, sessions.BUCKET)
+
+
+def merge_session_summary(spark: SparkSession, tables: Tables) -> None:
+    """Merge all parts of the summary into one generation, visible with its commit."""
+    days, calls = session_summary(spark, tables)
+    attempt = Attempt.begin(spark, tables, _SESSION_RUN)
+    attempt.write(sessions.merged_days(days), tables.session_days)
+    sessions.write_calls(sessions.merged_calls(calls), attempt.folder(tables.session_calls))
+    attempt.commit()
 
-    def folder(self, path: str) -> str:
-        return f"{path}/attempt={self.name}"
 
-    def write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(self.folder(path))
-        return self.spark.read.schema(df.schema).parquet(self.folder(path))
+def keep_session_summary(spark: SparkSession, tables: Tables, every: int = COMMITS_PER_KEY_TABLE) -> None:
+    """Merge the summary where ``every`` commits or more came after the last generation."""
+    base = newest_commit(spark, tables, _SESSION_RUN)
+    if read_commits(spark, tables).filter(F.col("seq") > (base.seq if base else 0)).count() >= every:
+        merge_session_summary(spark, tables)
 
-    def write_events(self, events: DataFrame) -> DataFrame:
-        folder = self.folder(self.tables.events)
-        (
-            events.withColumn("year_month", year_month(F.col("local_date")))
-            .sortWithinPartitions("year_month", "event_ts")
-            .write.partitionBy("year_month")
-            .parquet(folder)
-        )
-        schema = T.StructType(events.schema.fields + _MONTH)
-        return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
 
-    def commit(self) -> None:
-        last = read_commits(self.spark, self.tables).agg(F.max("seq")).first()[0]
-        row = self.spark.createDataFrame([(self.run_id, (last or 0) + 1)], "run_id string, seq bigint")
-        row.coalesce(1).write.parquet(self.folder(self.tables.commits))
+def store_local_events(spark: SparkSession, tables: Tables, attempt: Attempt, fresh: DataFrame) -> int:
+    """Write new events and what they add to the session summary; returns their number."""
+    appended = attempt.write_events(fresh)
+    attempt.write(sessions.day_rows(appended), tables.session_days)
+    sessions.write_calls(sessions.call_rows(appended), attempt.folder(tables.session_calls))
+    return appended.count()
 
 
 def run_team_ingest(
     spark: SparkSession,
     envelopes: DataFrame,
-    registry: DataFrame,
+    registry: DataFrame | None,
     tables: Tables,
     zone: str,
     run_id: int | str,
 ) -> DataFrame:
     """Ingest one batch of envelopes; returns the result per arrival.
 
+    Without a ``registry`` tokens are resolved by the stored one, as of the last
+    commit, and the run stores the last-seen times it moves.
+
     Bodies are parsed once: opened envelopes are staged, and everything else
     reads those. A run that was committed before returns its stored results.
     """
     done = read_commits(spark, tables).filter(F.col("run_id") == str(run_id)).first()
     if done is not None:
         return spark.read.parquet(f"{tables.results}/attempt={done.attempt}")
-    checked = stage(spark, check_envelopes(envelopes, registry).drop("body"), "opened")
+    bound = registry_store.registry_as_of(spark, tables) if registry is None else registry
+    checked = stage(spark, check_envelopes(envelopes, bound).drop("body"), "opened")
     screened = stage(spark, screened_batch(checked), "screened")
     guarded = checked.drop("events")
     attempt = Attempt.begin(spark, tables, run_id)
@@ -269,11 +173,15 @@ def run_team_ingest(
         appended = attempt.write_events(run.accepted)
         written = attempt.write(run.results_given(appended), tables.results)
         attempt.write(ledger_rows(written, zone), tables.uploads)
+        if registry is None:
+            registry_store.write_last_seen(attempt, bound, guarded.filter(F.col("code") == "ok"))
         attempt.commit()
     except Exception as failure:
         record_failure(spark, guarded, screened, tables, zone, run_id, f"{type(failure).__name__}: {failure}"[:500])
         raise
     keep_key_table(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
+    if registry is None:
+        registry_store.keep_generation(spark, tables)
     return written
 
 
@@ -340,11 +248,12 @@ def incremental_refresh(
     if totals["errors"] and on_error == "fail":
         raise RuntimeError(f"{totals['errors']} unreadable log lines")
     if totals["files_changed"]:
-        totals["events_inserted"] = attempt.write_events(fresh).count()
+        totals["events_inserted"] = store_local_events(spark, tables, attempt, fresh)
         totals["events_skipped"] -= totals["events_inserted"]
         attempt.write(entries, tables.manifest)
         attempt.commit()
         keep_key_table(spark, tables, LOCAL_SCHEMA, LOCAL_KEYS)
+        keep_session_summary(spark, tables)
     return totals
 
 
@@ -360,11 +269,11 @@ def _decoded(
             decoded = message_log_records(message_log_lines(spark, uris))
         decoded.write.parquet(f"{records}/part={part}")
         file_line_counts(spark, uris).write.parquet(f"{counts}/part={part}")
-    lines = _existing(spark, counts, _line_schema())
+    lines = existing(spark, counts, _line_schema())
     if tool == "codex":
-        rows = _existing(spark, records, _schema_of(spark, snapshot_log_records))
+        rows = existing(spark, records, _schema_of(spark, snapshot_log_records))
         return stage(spark, snapshot_events(rows, zone), "batch"), decode_errors(rows), lines
-    rows = _existing(spark, records, _schema_of(spark, message_log_records))
+    rows = existing(spark, records, _schema_of(spark, message_log_records))
     none = spark.createDataFrame([], "path string, line bigint, message string")
     return stage(spark, message_events(rows, zone), "batch"), none, lines
 

@@ -96,36 +96,44 @@ def session_buckets(events: DataFrame, grains: Grains | None = None) -> DataFram
     return grains.with_values("sessions", lists)
 
 
-def _newest_first() -> list[Column]:
+def newest_first() -> list[Column]:
     return [F.col("started_at").desc(), F.col("session_id").asc()]
 
 
 def local_sessions(events: DataFrame, grains: Grains | None = None) -> DataFrame:
-    return session_buckets(events, grains).orderBy(*_newest_first())
+    return session_buckets(events, grains).orderBy(*newest_first())
 
 
-def local_sessions_page(
-    events: DataFrame, page: int = 1, page_size: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """One page of sessions, newest first, and the one-row page information.
-
-    The page is found from session starts alone; only its sessions are rolled up.
-    """
+def page_info(sessions: DataFrame, page: int, page_size: int) -> DataFrame:
+    """One row: page, page size, sessions and pages; refuses pages that cannot be."""
     if page < 1:
         raise ValueError("page must be >= 1")
     if not 1 <= page_size <= MAX_SESSION_PAGE:
         raise ValueError("page_size must be between 1 and 10")
-    total = events.select("session_id").distinct().agg(F.count(F.lit(1)).alias("total"))
-    info = total.select(
+    total = sessions.agg(F.count(F.lit(1)).alias("total"))
+    return total.select(
         F.lit(page).cast("bigint").alias("page"),
         F.lit(page_size).cast("bigint").alias("page_size"),
         "total",
         F.greatest(F.lit(1), F.ceil(F.col("total") / page_size)).cast("bigint").alias("total_pages"),
     )
+
+
+def local_sessions_page(
+    events: DataFrame, page: int = 1, page_size: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """One page of sessions, newest first, and the one-row page information.
+
+    The page is found from session starts alone, and read first: its ids, ten at
+    most, then reach the scan. A stored session summary (``plans/sessions.py``)
+    reads no events at all.
+    """
+    info = page_info(events.select("session_id").distinct(), page, page_size)
     starts = events.groupBy("session_id").agg(F.min("event_ts").alias("started_at"))
-    chosen = starts.orderBy(*_newest_first()).offset((page - 1) * page_size).limit(page_size)
-    own = events.join(chosen.select("session_id"), "session_id", "left_semi")
-    return session_buckets(own).orderBy(*_newest_first()), info
+    chosen = starts.orderBy(*newest_first()).offset((page - 1) * page_size).limit(page_size)
+    ids = [r.session_id for r in chosen.select("session_id").collect()]
+    own = events.where(F.col("session_id").isin([i for i in ids if i is not None]) | (F.lit(None in ids) & F.col("session_id").isNull()))
+    return session_buckets(own).orderBy(*newest_first()), info
 
 
 def local_compare_summary(
