@@ -79,11 +79,24 @@ class Grains:
         columns = _names(self.scope.call, *[s.keys for s in self.sections], self.flags, dimensions)
         return self._once("base", lambda: self.events.groupBy(*columns).agg(F.expr("count(*) AS usage_event_count")))
 
+    @property
+    def _single(self) -> bool:
+        """One section that all rows take part in is grouped by its own columns; nothing is dealt."""
+        return len(self.sections) == 1 and self.sections[0].where == "true"
+
     def _key(self, name: str) -> str:
-        return f"_key_{name}"
+        return name if self._single else f"_key_{name}"
+
+    def _group(self, keys: Sequence[str]) -> list[str]:
+        return list(keys) if self._single else ["section", *map(self._key, keys)]
+
+    def _of(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows if self._single else rows.where(F.col("section") == name)
 
     def _dealt(self, rows: DataFrame, sections: Sequence[Section], values: bool) -> DataFrame:
         """One row per row and section it takes part in, with the keys of that section."""
+        if self._single:
+            return self._with_values(rows) if values else rows
         keys = _names(*[s.keys for s in sections])
         types = {f.name: f.dataType for f in rows.schema.fields}
         shares = []
@@ -96,10 +109,18 @@ class Grains:
                 shares.append(F.when(F.expr(s.where), F.struct(F.lit(s.name).alias("section"), *own, *facet)))
         return rows.select("*", F.inline(F.filter(F.array(*shares), lambda x: x.isNotNull())))
 
+    def _with_values(self, rows: DataFrame) -> DataFrame:
+        """One row per row and dimension of the only section."""
+        shares = [
+            F.struct(F.lit(c).alias("dimension"), or_unknown(F.col(c)).alias("value"), F.col(c).alias("raw"))
+            for c in self.sections[0].facets
+        ]
+        return rows.select("*", F.inline(F.array(*shares)))
+
     @property
     def rollups(self) -> DataFrame:
         """Sums of every bucket of every section."""
-        return self._once("rollups", self._rollups, "section")
+        return self._once("rollups", self._rollups, None if self._single else "section")
 
     def _rollups(self) -> DataFrame:
         keys = _names(*[s.keys for s in self.sections])
@@ -108,7 +129,7 @@ class Grains:
         if set(calls.columns) > {*columns, "usage_event_count"}:
             # Facets split calls further; here a call is one row again.
             calls = calls.groupBy(*columns).agg(F.expr("sum(usage_event_count) AS usage_event_count"))
-        group = ["section", *map(self._key, keys)]
+        group = self._group(keys)
         sessions = session_grain(half_hours(self._dealt(calls, self.sections, False), group, self.scope), group, self.scope)
         return sessions.groupBy(*group).agg(
             *[F.expr(f"coalesce(sum(_{c}), 0L) AS {c}") for c in ADDED],
@@ -123,12 +144,12 @@ class Grains:
     @property
     def facets(self) -> DataFrame:
         """(section, keys, dimension, value, raw, n) of every counted value."""
-        return self._once("facets", self._facets, "section")
+        return self._once("facets", self._facets, None if self._single else "section")
 
     def _facets(self) -> DataFrame:
         counted = [s for s in self.sections if s.facets]
         keys = _names(*[s.keys for s in counted])
-        group = ["section", *map(self._key, keys), "dimension", "value", "raw"]
+        group = [*self._group(keys), "dimension", "value", "raw"]
         return self._dealt(self.base, counted, True).groupBy(*group).agg(F.expr("sum(usage_event_count) AS n"))
 
     def section(self, name: str) -> Section:
@@ -138,7 +159,7 @@ class Grains:
         """All metrics per bucket of a section; a section without keys always has its one row."""
         section = self.section(name)
         counted = [n for _, n in self.scope.counted]
-        own = self.rollups.where(F.col("section") == name)
+        own = self._of(self.rollups, name)
         if section.keys:
             rows = own.withColumnsRenamed({self._key(k): k for k in section.keys})
         else:
@@ -160,7 +181,7 @@ class Grains:
 
     def _facet_rows(self, name: str) -> DataFrame:
         keys = self.section(name).keys
-        return self.facets.where(F.col("section") == name).withColumnsRenamed({self._key(k): k for k in keys})
+        return self._of(self.facets, name).withColumnsRenamed({self._key(k): k for k in keys})
 
     def value_maps(self, name: str, dimensions: Sequence[str]) -> DataFrame:
         """One sorted map of value to count per bucket and dimension; blank values are unknown."""
