@@ -155,3 +155,17 @@ def test_team_report_filters_reach_every_section(spark, facts, names, uploads):
     want = documents.team_report(spark, own, names, uploads.where("user_id = 'u1'"), SPAN, WEEK, datetime(2026, 5, 18), ZONE)
     assert kept == sorted(map(str, want.collect()))
     assert not [r for r in make(user="u2").where("section = 'uploads'").collect()]
+
+
+def test_a_store_by_months_lists_only_the_months_of_a_report(spark, facts, tmp_path):
+    from usageloom.sources.facts import write_usage_by_month
+
+    events = spark.read.parquet(facts)
+    older = events.withColumn("local_date", F.add_months("local_date", -3)).withColumn("event_ts", F.col("event_ts") - F.expr("INTERVAL 90 DAYS"))
+    write_usage_by_month(events.unionByName(older), f"{tmp_path}/months")
+    stored = spark.read.parquet(f"{tmp_path}/months")
+    assert len({r.year_month for r in stored.select("year_month").distinct().collect()}) > 1
+    ranged = in_range(stored, SPAN.start, SPAN.end, ZONE)
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "year_month" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert ranged.count() == in_range(events, SPAN.start, SPAN.end, ZONE).count()

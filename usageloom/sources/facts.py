@@ -15,7 +15,10 @@ def in_range(df: DataFrame, start: date, end: date, zone: str) -> DataFrame:
     """Events whose date in ``zone`` lies in the closed range; sets ``local_date``.
 
     The bounds on ``event_ts``, a day wide on both sides, reach the Parquet scan.
+    Of a table by months only the range's months are listed, with the same slack.
     """
+    if "year_month" in df.columns:
+        df = df.filter(F.col("year_month").between(_month_number(start - timedelta(days=1)), _month_number(end + timedelta(days=1))))
     low, high = start - timedelta(days=1), end + timedelta(days=2)
     return (
         df.filter(f"event_ts >= timestamp '{low}' AND event_ts < timestamp '{high}'")
@@ -48,10 +51,7 @@ def read_usage(
     spark: SparkSession, path: str, start: date, end: date, zone: str
 ) -> DataFrame:
     """Month-pruned read; a day of slack covers zones other than the writer's."""
-    first = _month_number(start - timedelta(days=1))
-    last = _month_number(end + timedelta(days=1))
-    months = spark.read.parquet(path).filter(F.col("year_month").between(first, last))
-    return in_range(months, start, end, zone)
+    return in_range(spark.read.parquet(path), start, end, zone)
 
 
 def read_uploads(uploads: DataFrame, start: date, end: date) -> DataFrame:
