@@ -1891,6 +1891,29 @@ def stream_active_time(spark, sf_dir):
     )
 
 
+@query(
+    o.with_(o.BASE, "u AS (SELECT * FROM base)", o.rollup(o.TEAM_SESSION, o.TEAM_SESSION))
+    + f"SELECT {_columns(o.TEAM_SESSION)}, active_seconds, usage_event_count, true AS some_closed, true AS some_open, 0::BIGINT AS late FROM r"
+)
+def stream_active_time_append(spark, sf_dir):
+    """Closed stretches of an append-mode stream and those it holds back: together the batch metric."""
+    columns = ("event_ts", *TEAM.session)
+    stream = _event_stream(spark, sf_dir, columns)
+    out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-checkpoint")
+    query = running.run_to_table(running.stream_active_time(stream, "2 hours"), out, checkpoint, "append")
+    query.awaitTermination()
+    closed = spark.read.parquet(out).drop("batch_id").withColumn("closed", F.lit(True))
+    held = running.open_stretches(d.usage_base(spark, sf_dir).select(*columns), running.watermark_of(query))
+    both = closed.unionByName(held.withColumn("closed", F.lit(False)))
+    kinds = both.agg(F.max("closed").alias("c"), F.min("closed").alias("o"))
+    return both.groupBy(*TEAM.session).agg(
+        F.sum("active_seconds").alias("active_seconds"), F.sum("usage_event_count").alias("usage_event_count")
+    ).select(
+        "*", kinds.select("c").scalar().alias("some_closed"), (~kinds.select("o").scalar()).alias("some_open"),
+        F.lit(running.late_rows(query)).cast("bigint").alias("late"),
+    )
+
+
 @query(o.with_(o.BASE, o.REPLAYED) + "SELECT team_id, event_key, total_tokens FROM base")
 def stream_dedupe(spark, sf_dir):
     d.configure(spark)

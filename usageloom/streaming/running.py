@@ -56,30 +56,61 @@ def stream_upload_health(uploads: DataFrame) -> DataFrame:
     )
 
 
-def stream_active_time(events: DataFrame, horizon: str) -> DataFrame:
-    """Stretches of activity per session, closed once ``horizon`` has passed.
-
-    A window takes in an event that falls exactly on its end, so on whole seconds
-    its gap is the limit itself; it is taken off the window's length again.
-    """
-    gap = ACTIVE_GAP_SECONDS
+def _stretches(events: DataFrame, horizon: str) -> DataFrame:
     seconds = events.withColumn("second", F.date_trunc("second", "event_ts"))
-    stretch = F.session_window("second", f"{gap} seconds")
+    stretch = F.session_window("second", f"{ACTIVE_GAP_SECONDS} seconds")
     return (
         seconds.withWatermark("second", horizon)
         .groupBy(*TEAM.session, stretch.alias("stretch"))
-        .agg(F.count(F.lit(1)).alias("usage_event_count"))
-        .select(
-            *TEAM.session,
-            F.col("stretch.start").alias("started_at"),
-            (F.unix_seconds("stretch.end") - F.unix_seconds("stretch.start") - gap).alias(
-                "active_seconds"
-            ),
-            "usage_event_count",
-        )
+        .agg(F.count(F.lit(1)).alias("usage_event_count"), F.max("second").alias("_last"))
     )
 
 
+def _measured(stretches: DataFrame) -> DataFrame:
+    """A window reaches one gap beyond its last event; the gap is taken off again."""
+    length = F.unix_seconds("stretch.end") - F.unix_seconds("stretch.start") - ACTIVE_GAP_SECONDS
+    return stretches.select(
+        *TEAM.session, F.col("stretch.start").alias("started_at"), length.alias("active_seconds"), "usage_event_count"
+    )
+
+
+def stream_active_time(events: DataFrame, horizon: str) -> DataFrame:
+    """Stretches of activity per session, closed once ``horizon`` has passed.
+
+    A window takes in an event that falls exactly on its end, so on whole seconds
+    its gap is the limit itself. In append mode a stretch comes out once, when the
+    watermark has passed its end, and its state goes then; ``open_stretches`` are
+    those still held back, and ``late_rows`` counts what came after its stretch
+    had closed.
+    """
+    return _measured(_stretches(events, horizon))
+
+
+def watermark_of(query: StreamingQuery) -> str | None:
+    """The last watermark of a query, as a timestamp text; none before any event."""
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {})]
+    return max(marks, default=None)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark dropped, over the query's recent batches."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def open_stretches(events: DataFrame, watermark: str | None) -> DataFrame:
+    """Stretches that end after the watermark: what append mode holds back, from the stored events.
+
+    The condition is on the last event, an aggregate. One on the window's end is a
+    condition on a grouping column: it is pushed below the merging of windows, and
+    a stretch loses its early events.
+    """
+    every = _stretches(events, "0 seconds")
+    if watermark is not None:
+        end = F.col("_last") + F.expr(f"INTERVAL {ACTIVE_GAP_SECONDS} SECONDS")
+        every = every.where(end > F.lit(watermark).cast("timestamp"))
+    return _measured(every)
+
+
 def run_to_table(
     stream: DataFrame, path: str, checkpoint: str, mode: str, every: str | None = None
 ) -> StreamingQuery:
