@@ -23,7 +23,7 @@ from usageloom.functions.texts import (
 from usageloom.model import DEVICE, TEAM, TOKENS
 from usageloom.operators import decode, gate, idempotent, outbox, rank, registry, rollup, team_ingest
 from usageloom.operators.series import carry_along
-from usageloom.plans import collector, documents, jobs, local_reports, periods, registry_store, sessions, team_reports
+from usageloom.plans import collector, documents, generations, jobs, local_reports, periods, registry_store, sessions, team_reports
 from usageloom.session import scratch_dir
 from usageloom.sources import envelopes as env
 from usageloom.sources import facts, lines, message_log, snapshot_log
@@ -1517,6 +1517,21 @@ def insert_by_key_table(spark, sf_dir):
     return stored.select("event_key", "tool", "session_id", "event_ts", "local_date", "total_tokens")
 
 
+@query(o.with_(o.BASE, o.USAGE) + "SELECT event_key, tool, session_id, event_ts, local_date, total_tokens, 1::BIGINT AS attempts_a_month FROM u")
+def store_generations(spark, sf_dir):
+    """The same store merged into one generation, old folders removed: equal events, one attempt per month."""
+    d.configure(spark)
+    tables = _local_store(spark, sf_dir)
+    jobs.compact(spark, tables, jobs.LOCAL_SCHEMA, jobs.LOCAL_KEYS)
+    generations.retire(spark, tables)
+    stored = jobs.read_runs(spark, tables.events, jobs.LOCAL_SCHEMA)
+    placed = stored.withColumn("_attempt", F.regexp_extract(F.input_file_name(), "attempt=([0-9a-f]+)/", 1))
+    months = placed.groupBy(F.col("year_month").alias("_month")).agg(F.count_distinct("_attempt").alias("attempts_a_month"))
+    return stored.join(months, F.col("year_month").eqNullSafe(F.col("_month"))).select(
+        "event_key", "tool", "session_id", "event_ts", "local_date", "total_tokens", "attempts_a_month"
+    )
+
+
 @query(o.with_(*_SESSION_CHAIN) + _SESSION_SELECT)
 def local_sessions_from_summary(spark, sf_dir):
     """All sessions of the month from the stored summary, whose parts came in overlapping batches."""

@@ -33,10 +33,13 @@ from usageloom.operators.team_ingest import (
     ledger_rows,
     screened_batch,
 )
-from usageloom.plans import registry_store, sessions
+from usageloom.plans import generations, registry_store, sessions
 from usageloom.plans.store import (
+    GENERATION_RUN,
+    KEY_RUN,
     LOCAL_SCHEMA,
     MANIFEST_SCHEMA,
+    SESSION_RUN,
     TEAM_SCHEMA,
     UPLOAD_SCHEMA,
     Attempt,
@@ -47,7 +50,7 @@ from usageloom.plans.store import (
     read_commits,
     read_runs,
 )
-from usageloom.session import scratch_dir, stage
+from usageloom.session import job_scratch, scratch_dir, stage
 from usageloom.sources.key_table import KeyLayout, not_in_table, read_keys, write_keys
 from usageloom.sources.lines import file_line_counts, file_listing
 from usageloom.sources.message_log import message_log_lines, message_log_records
@@ -62,18 +65,19 @@ TEAM_KEYS = KeyLayout((*DEVICE, "event_key"), by=DEVICE, slots=16, buckets=64)
 LOCAL_KEYS = KeyLayout(("event_key",))
 #: Commits after which the key table takes in the events stored since.
 COMMITS_PER_KEY_TABLE = 20
-_KEY_RUN = "key table"
+#: Commits after which events, ledger and manifest are merged into a generation.
+COMMITS_PER_GENERATION = 50
 
 
 def _key_table(spark: SparkSession, tables: Tables) -> Row | None:
-    return newest_commit(spark, tables, _KEY_RUN)
+    return newest_commit(spark, tables, KEY_RUN)
 
 
 def build_key_table(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> None:
     """Write the key table anew, from the one before it and the events committed since."""
     base = _key_table(spark, tables)
-    keys = committed_since(spark, tables.events, schema, base.seq if base else 0).select(*layout.key)
-    attempt = Attempt.begin(spark, tables, _KEY_RUN)
+    keys = committed_since(spark, tables.events, schema, base.seq if base else 0, without=GENERATION_RUN).select(*layout.key)
+    attempt = Attempt.begin(spark, tables, KEY_RUN)
     if base:
         keys = keys.unionByName(read_keys(spark, f"{tables.keys}/attempt={base.attempt}", layout).select(*layout.key))
     write_keys(keys, attempt.folder(tables.keys), layout)
@@ -83,7 +87,7 @@ def build_key_table(spark: SparkSession, tables: Tables, schema: T.StructType, l
 def stored_events(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> Stored:
     """The store as a lookup: the key table bucket by bucket, then the few commits after it."""
     base = _key_table(spark, tables)
-    recent = committed_since(spark, tables.events, schema, base.seq if base else 0)
+    recent = committed_since(spark, tables.events, schema, base.seq if base else 0, without=GENERATION_RUN)
 
     def absent(rows: DataFrame) -> DataFrame:
         if base:
@@ -102,7 +106,19 @@ def keep_key_table(
         build_key_table(spark, tables, schema, layout)
 
 
-_SESSION_RUN = "session summary"
+def compact(spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout) -> None:
+    """Merge the store into one generation; its keys first, so that no lookup needs an attempt before it."""
+    keep_key_table(spark, tables, schema, layout, every=1)
+    generations.write_generation(spark, tables, schema)
+
+
+def keep_generation(
+    spark: SparkSession, tables: Tables, schema: T.StructType, layout: KeyLayout, every: int = COMMITS_PER_GENERATION
+) -> None:
+    """Compact where ``every`` commits or more came after the last generation."""
+    base = newest_commit(spark, tables, GENERATION_RUN)
+    if read_commits(spark, tables).filter(F.col("seq") > (base.seq if base else 0)).count() >= every:
+        compact(spark, tables, schema, layout)
 
 
 def session_summary(spark: SparkSession, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +127,7 @@ def session_summary(spark: SparkSession, tables: Tables) -> tuple[DataFrame, Dat
     The newest merged generation and the commits after it; a generation's own
     commit is one of those read.
     """
-    base = newest_commit(spark, tables, _SESSION_RUN)
+    base = newest_commit(spark, tables, SESSION_RUN)
     seq = base.seq - 1 if base else 0
     days = committed_since(spark, tables.session_days, sessions.DAY_SCHEMA, seq, [])
     return days, committed_since(spark, tables.session_calls, sessions.CALL_SCHEMA, seq, sessions.BUCKET)
@@ -120,7 +136,7 @@ def session_summary(spark: SparkSession, tables: Tables) -> tuple[DataFrame, Dat
 def merge_session_summary(spark: SparkSession, tables: Tables) -> None:
     """Merge all parts of the summary into one generation, visible with its commit."""
     days, calls = session_summary(spark, tables)
-    attempt = Attempt.begin(spark, tables, _SESSION_RUN)
+    attempt = Attempt.begin(spark, tables, SESSION_RUN)
     attempt.write(sessions.merged_days(days), tables.session_days)
     sessions.write_calls(sessions.merged_calls(calls), attempt.folder(tables.session_calls))
     attempt.commit()
@@ -128,7 +144,7 @@ def merge_session_summary(spark: SparkSession, tables: Tables) -> None:
 
 def keep_session_summary(spark: SparkSession, tables: Tables, every: int = COMMITS_PER_KEY_TABLE) -> None:
     """Merge the summary where ``every`` commits or more came after the last generation."""
-    base = newest_commit(spark, tables, _SESSION_RUN)
+    base = newest_commit(spark, tables, SESSION_RUN)
     if read_commits(spark, tables).filter(F.col("seq") > (base.seq if base else 0)).count() >= every:
         merge_session_summary(spark, tables)
 
@@ -160,6 +176,23 @@ def run_team_ingest(
     done = read_commits(spark, tables).filter(F.col("run_id") == str(run_id)).first()
     if done is not None:
         return spark.read.parquet(f"{tables.results}/attempt={done.attempt}")
+    with job_scratch(spark, "ingest"):
+        written = _ingested(spark, envelopes, registry, tables, zone, run_id)
+        keep_key_table(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
+        keep_generation(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
+        if registry is None:
+            registry_store.keep_generation(spark, tables)
+    return written
+
+
+def _ingested(
+    spark: SparkSession,
+    envelopes: DataFrame,
+    registry: DataFrame | None,
+    tables: Tables,
+    zone: str,
+    run_id: int | str,
+) -> DataFrame:
     bound = registry_store.registry_as_of(spark, tables) if registry is None else registry
     checked = stage(spark, check_envelopes(envelopes, bound).drop("body"), "opened")
     screened = stage(spark, screened_batch(checked), "screened")
@@ -179,9 +212,6 @@ def run_team_ingest(
     except Exception as failure:
         record_failure(spark, guarded, screened, tables, zone, run_id, f"{type(failure).__name__}: {failure}"[:500])
         raise
-    keep_key_table(spark, tables, TEAM_SCHEMA, TEAM_KEYS)
-    if registry is None:
-        registry_store.keep_generation(spark, tables)
     return written
 
 
@@ -222,6 +252,21 @@ def incremental_refresh(
     """
     if on_error not in ("continue", "fail"):
         raise ValueError("on_error must be continue or fail")
+    with job_scratch(spark, "refresh"):
+        return _refreshed(spark, snapshot_paths, message_paths, tables, zone, run_id, scanned_at, on_error, files_per_read)
+
+
+def _refreshed(
+    spark: SparkSession,
+    snapshot_paths: str | list[str] | None,
+    message_paths: str | list[str] | None,
+    tables: Tables,
+    zone: str,
+    run_id: int | str,
+    scanned_at: datetime,
+    on_error: str,
+    files_per_read: int,
+) -> dict[str, int]:
     names = ("files_scanned", "files_changed", "events_inserted", "events_skipped", "errors")
     totals = dict.fromkeys(names, 0)
     attempt = Attempt.begin(spark, tables, run_id)
@@ -253,6 +298,7 @@ def incremental_refresh(
         attempt.write(entries, tables.manifest)
         attempt.commit()
         keep_key_table(spark, tables, LOCAL_SCHEMA, LOCAL_KEYS)
+        keep_generation(spark, tables, LOCAL_SCHEMA, LOCAL_KEYS)
         keep_session_summary(spark, tables)
     return totals
 
@@ -294,5 +340,4 @@ def _slices(changed: DataFrame, size: int) -> Iterator[list[str]]:
 
 
 def current_manifest(spark: SparkSession, tables: Tables) -> DataFrame:
-    rows = read_runs(spark, tables.manifest, MANIFEST_SCHEMA, monthly=False)
-    return latest_per_key(rows, ("tool", "path"), ("scanned_at", "seq")).drop("seq")
+    return generations.current_manifest(spark, tables)

@@ -72,6 +72,14 @@ class Tables:
     def keys(self) -> str:
         return f"{self.root}/keys"
 
+    @property
+    def generations(self) -> str:
+        return f"{self.root}/generations"
+
+    @property
+    def leases(self) -> str:
+        return f"{self.root}/leases"
+
     @property
     def commits(self) -> str:
         return f"{self.root}/commits"
@@ -124,6 +132,10 @@ COMMIT_SCHEMA = T.StructType(
 )
 ATTEMPT = [T.StructField("attempt", T.StringType())]
 MONTH = [T.StructField("year_month", T.IntegerType())]
+#: Where a generation finds each month of the events.
+GENERATION_SCHEMA = T.StructType([*MONTH, *ATTEMPT])
+#: Runs that write derived tables.
+GENERATION_RUN, KEY_RUN, SESSION_RUN = "generation", "key table", "session summary"
 
 
 def existing(spark: SparkSession, path: str, schema: T.StructType, below: str = "") -> DataFrame:
@@ -141,10 +153,40 @@ def read_commits(spark: SparkSession, tables: Tables) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str, schema: T.StructType, monthly: bool = True) -> DataFrame:
-    """A table's rows from committed attempts, with the attempt's place ``seq``."""
-    table = existing(spark, path, T.StructType(schema.fields + ATTEMPT + (MONTH if monthly else [])))
-    done = read_commits(spark, Tables(path.rsplit("/", 1)[0])).select("attempt", "seq")
-    return table.join(done, "attempt").drop("attempt")
+    """A table's rows, with the place ``seq`` of the commit that holds them.
+
+    They are those of the newest generation and of the attempts committed after
+    it; no other folder is listed.
+    """
+    tables = Tables(path.rsplit("/", 1)[0])
+    base = newest_commit(spark, tables, GENERATION_RUN)
+    rows = committed_since(spark, path, schema, base.seq if base else 0, None if monthly else [])
+    if base and path == tables.events:
+        rows = month_rows(spark, tables, schema, generation_months(spark, tables, base), base.seq).unionByName(rows)
+    elif base:
+        old = existing(spark, path, T.StructType(schema.fields + ATTEMPT), f"/attempt={base.attempt}")
+        rows = old.withColumn("seq", F.lit(base.seq).cast("bigint")).unionByName(rows)
+    return rows.drop("attempt")
+
+
+def generation_months(spark: SparkSession, tables: Tables, base: Row) -> dict[int | None, str]:
+    """The attempt that holds each month of the events in a generation."""
+    rows = spark.read.schema(GENERATION_SCHEMA).parquet(f"{tables.generations}/attempt={base.attempt}")
+    return {r.year_month: r.attempt for r in rows.collect()}
+
+
+def month_folder(month: int | None) -> str:
+    return f"year_month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}"
+
+
+def month_rows(
+    spark: SparkSession, tables: Tables, schema: T.StructType, months: dict[int | None, str], seq: int
+) -> DataFrame:
+    """Events of the named months, each from its attempt's folder alone."""
+    full = T.StructType(schema.fields + ATTEMPT + MONTH)
+    paths = [f"{tables.events}/attempt={attempt}/{month_folder(month)}" for month, attempt in months.items()]
+    rows = spark.read.schema(full).option("basePath", tables.events).parquet(*paths) if paths else spark.createDataFrame([], full)
+    return rows.withColumn("seq", F.lit(seq).cast("bigint"))
 
 
 def newest_commit(spark: SparkSession, tables: Tables, run_id: str, until: int | None = None) -> Row | None:
@@ -160,13 +202,17 @@ def committed_since(
     seq: int,
     folders: list[T.StructField] | None = None,
     until: int | None = None,
+    without: str | None = None,
 ) -> DataFrame:
     """A table's rows from attempts committed after ``seq``, up to ``until``, with their place ``seq``.
 
-    No other folder is listed. The commits are few: derived tables are merged
-    into generations, and reading starts at the newest.
+    No other folder is listed. The commits are few: tables are merged into
+    generations, and reading starts at the newest. Attempts of the run ``without``
+    are left out.
     """
     later = read_commits(spark, Tables(path.rsplit("/", 1)[0])).filter(F.col("seq") > seq)
+    if without is not None:
+        later = later.filter(F.col("run_id") != without)
     if until is not None:
         later = later.filter(F.col("seq") <= until)
     found = later.select("attempt", "seq").collect()
