@@ -2,10 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from usageloom.model import TEAM
-from usageloom.streaming import running
+from usageloom.model import TEAM, TOKENS
+from usageloom.streaming import closing_days, running
+from usageloom.streaming.closing_days import ClosingDays
 
 START = datetime(2026, 5, 1)
 
@@ -61,3 +63,63 @@ def test_an_open_stretch_keeps_its_early_events(spark):
 
 def test_nothing_held_back_without_a_watermark(spark):
     assert running.open_stretches(events(spark, ("a", 0)), None).count() == 1
+
+
+def usage(spark, *rows):
+    """(hours after the start or none, team, tokens)"""
+    data = [(None if h is None else START + timedelta(hours=h), t, "codex", *[n] * len(TOKENS)) for h, t, n in rows]
+    schema = "event_ts timestamp, team_id string, tool string, " + ", ".join(f"{t} bigint" for t in TOKENS)
+    return spark.createDataFrame(data, schema)
+
+
+def sums(days):
+    return {(str(r.local_date), r.team_id): (r.total_tokens, r.usage_event_count) for r in days.collect()}
+
+
+def test_days_close_and_late_rows_go_aside(spark, tmp_path):
+    days = ClosingDays(f"{tmp_path}/days", "Asia/Shanghai", "2 hours")
+    schema = usage(spark).schema
+
+    def run(number, *rows):
+        usage(spark, *rows).write.parquet(f"{tmp_path}/in/{number}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        days.start(stream, f"{tmp_path}/checkpoint").awaitTermination()
+
+    # The first local day ends after 16 hours; 17 hours is within the horizon.
+    run(1, (0, "t", 1), (15, "t", 2), (17, "t", 4))
+    assert sums(days.closed_days(spark)) == {}
+    assert sums(days.open_days(spark)) == {("2026-05-01", "t"): (3, 2), ("2026-05-02", "t"): (4, 1)}
+    # A row of the first day that comes with the row closing it still counts.
+    run(2, (3, "t", 8), (3, None, 5), (18, "t", 16))
+    closed = {("2026-05-01", "t"): (11, 3), ("2026-05-01", None): (5, 1)}
+    assert sums(days.closed_days(spark)) == closed
+    assert sums(days.open_days(spark)) == {("2026-05-02", "t"): (20, 2)}
+    run(3, (3, "t", 100), (None, "t", 7), (19, "t", 32))
+    assert sums(days.closed_days(spark)) == closed
+    assert sums(days.open_days(spark)) == {("2026-05-02", "t"): (52, 3)}
+    late = days.late_rows(spark, schema).collect()
+    assert sorted((r.batch_id, r.total_tokens) for r in late) == [(2, 7), (2, 100)]
+    # The closed day's partial sums are gone.
+    assert [r.local_date.day for r in days._partials(spark).select("local_date").distinct().collect()] == [2]
+    # A repeated batch changes nothing.
+    days.take(usage(spark, (3, "t", 100), (None, "t", 7), (19, "t", 32)), 2)
+    assert sums(days.closed_days(spark)) == closed and sums(days.open_days(spark)) == {("2026-05-02", "t"): (52, 3)}
+    assert days.late_rows(spark, schema).count() == 2
+
+
+def test_a_batch_that_failed_before_its_mark_is_repeated_whole(spark, tmp_path):
+    days = ClosingDays(f"{tmp_path}/days", "UTC", "1 hour")
+    days.take(usage(spark, (0, "t", 1), (20, "t", 2)), 0)
+    with pytest.MonkeyPatch.context() as broken:
+        broken.setattr(closing_days, "_merged", lambda rows: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            days.take(usage(spark, (1, "t", 4), (30, "u", 8)), 1)
+    days.take(usage(spark, (1, "t", 4), (30, "u", 8)), 1)
+    assert sums(days.closed_days(spark)) == {("2026-05-01", "t"): (7, 3)}
+    assert sums(days.open_days(spark)) == {("2026-05-02", "u"): (8, 1)}
+
+
+def test_no_rows_close_no_days(spark, tmp_path):
+    days = ClosingDays(f"{tmp_path}/days", "UTC", "1 hour")
+    days.take(usage(spark), 0)
+    assert days.closed_days(spark).count() == days.open_days(spark).count() == days.late_rows(spark, usage(spark).schema).count() == 0

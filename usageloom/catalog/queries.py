@@ -29,6 +29,7 @@ from usageloom.sources import envelopes as env
 from usageloom.sources import facts, lines, message_log, snapshot_log
 from usageloom.streaming import ingest as stream_ingest
 from usageloom.streaming import running
+from usageloom.streaming.closing_days import ClosingDays
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1714,6 +1715,38 @@ def team_user_daily(spark, sf_dir):
     return team_reports.team_user_daily(_month(spark, sf_dir), _registry(spark, sf_dir))
 
 
+@query(
+    o.with_(
+        o.BASE,
+        """arrived AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 3 WHEN local_date <= DATE '2024-01-15' THEN 1 ELSE 2 END AS batch,
+    (local_date + 1)::TIMESTAMP - INTERVAL 8 HOURS AS day_end FROM base)""",
+        """marks AS (SELECT max(event_ts) FILTER (batch <= 2) - INTERVAL 2 HOURS AS before_third,
+    max(event_ts) - INTERVAL 2 HOURS AS last FROM arrived)""",
+    )
+    + f"""SELECT CASE WHEN batch = 3 AND day_end <= before_third THEN 'late' WHEN day_end <= last THEN 'closed' ELSE 'open' END AS state,
+  local_date, team_id, tool, {", ".join(f"sum({t})::BIGINT AS {t}" for t in TOKENS)}, count(*) AS usage_event_count
+  FROM arrived, marks GROUP BY 1,2,3,4"""
+)
+def stream_closing_days(spark, sf_dir):
+    """Two halves of the month, then every tenth event of both: closed and open days, and the late rows by day."""
+    d.configure(spark)
+    columns = ("event_id", "event_ts", "team_id", "tool", *TOKENS)
+    source = d.usage_base(spark, sf_dir).select(*columns)
+    drop, checkpoint = scratch_dir(spark, "stream-source"), scratch_dir(spark, "stream-checkpoint")
+    days = ClosingDays(scratch_dir(spark, "closing-days"), d.ZONE, "2 hours")
+    tenth, early = F.col("event_id") % 10 == 0, local_date(F.col("event_ts"), d.ZONE) <= F.lit("2024-01-15").cast("date")
+    for number, part in enumerate((~tenth & early, ~tenth & ~early, tenth)):
+        source.where(part).write.parquet(f"{drop}/{number}")
+        stream = spark.readStream.schema(source.schema).parquet(f"{drop}/*")
+        days.start(stream, checkpoint).awaitTermination()
+    late = days.late_rows(spark, source.schema).groupBy("local_date", "team_id", "tool").agg(
+        *[F.sum(t).alias(t) for t in TOKENS], F.count(F.lit(1)).alias("usage_event_count")
+    )
+    parts = (("closed", days.closed_days(spark)), ("open", days.open_days(spark)), ("late", late))
+    rows = [df.withColumn("state", F.lit(state)) for state, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     o.with_(o.BASE, o.UPLOADS)
     + """SELECT team_id, user_id, device_id, upload_time AS last_upload_at, gap AS upload_gap_seconds,

@@ -14,7 +14,7 @@ def stream_daily_rollup(events: DataFrame, zone: str) -> DataFrame:
     """Running sums per local date, team and tool.
 
     Events of any age count, as in the batch report, so there is no watermark;
-    state is one row per date, team and tool.
+    state is one row per date, team and tool. ``closing_days`` is the bounded form.
     """
     return events.groupBy(
         local_date(F.col("event_ts"), zone).alias("local_date"), "team_id", "tool"
@@ -24,21 +24,6 @@ def stream_daily_rollup(events: DataFrame, zone: str) -> DataFrame:
     )
 
 
-def stream_daily_rollup_bounded(events: DataFrame, zone: str, horizon: str) -> DataFrame:
-    """The same as tumbling local days that close ``horizon`` after they end."""
-    shifted = events.withColumn("local_ts", F.from_utc_timestamp("event_ts", zone))
-    return (
-        shifted.withWatermark("local_ts", horizon)
-        .groupBy(F.window("local_ts", "1 day").alias("day"), "team_id", "tool")
-        .agg(
-            *[F.sum(t).alias(t) for t in TOKENS],
-            F.count(F.lit(1)).alias("usage_event_count"),
-        )
-        .withColumn("local_date", F.to_date("day.start"))
-        .drop("day")
-    )
-
-
 def stream_upload_health(uploads: DataFrame) -> DataFrame:
     """Latest upload of each device so far; age and status depend on when it is read."""
     newest = F.max(F.struct("upload_time", "status", "accepted", "duplicate", "rejected"))
