@@ -1,8 +1,9 @@
 import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from usageloom.llm import sharding
+from usageloom.llm import queries, sharding
 
 
 def records(docs):
@@ -51,3 +52,41 @@ def test_empty_table(spark, make_docs, tmp_path):
     rows = records(make_docs([]))
     sharding.save_map(spark, str(tmp_path), 1, sharding.first_map(sharding.slot_totals(rows), 3))
     assert sharding.place(rows, sharding.load_map(spark, str(tmp_path), 1), ["doc_id"]).count() == 0
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    path, totals = str(tmp_path), [(s, 100 + (s * 37) % 50) for s in range(300)]
+    sharding.save_map(spark, path, 1, sharding.first_map(totals, 5))
+    assert sharding.edit_map(spark, path, 1, totals, 6) == 2
+    old, new = (dict(map(tuple, sharding.load_map(spark, path, v).collect())) for v in (1, 2))
+    # The first version stays readable, and slots move to the new shard only.
+    assert old == dict(sharding.first_map(totals, 5)) and set(new) == set(old)
+    moved = {s for s in old if old[s] != new[s]}
+    assert moved and Counter(new[s] for s in moved).most_common(1)[0][0] == 5
+    assert len(moved) <= 300 / 6 * 1.3 and set(new.values()) == set(range(6))
+
+
+def test_query_against_plain_sharding(spark, make_docs, odd_texts, tmp_path):
+    """The whole query beside a plain one: sizes, checksums, gapless places, even bytes, few moves."""
+    texts = odd_texts + ["same text"] * 40 + [f"text {i} " * (1 + i * 7 % 60) for i in range(3000)] + ["long " * 2000]
+    docs = make_docs(texts)
+    docs.unionByName(docs.where(F.col("doc_id") % 50 == 3)).write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    found = queries.op2_sharding(spark, str(tmp_path)).collect()
+    plain = lambda r: (r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()))
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == Counter(map(plain, given))
+    load, places, slots = Counter(), defaultdict(list), defaultdict(set)
+    for r in found:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+        slots[r.virtual_slot].add((r.first_shard, r.shard, r.law, r.grown_shard))
+    assert set(load) == set(range(40)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert all(len(s) == 1 for s in slots.values())
+    own = {slot: next(iter(s)) for slot, s in slots.items()}
+    assert {s[0] for s in own.values()} == set(range(39)) and {s[2:] for s in own.values()} == {("bytes", None)}
+    # Whatever can't be split, a slot, bounds the difference; about a fortieth of the slots moved.
+    weight = Counter()
+    for r in found:
+        weight[r.virtual_slot] += r["size"]
+    assert max(load.values()) - min(load.values()) <= max(weight.values())
+    assert sum(s[0] != s[1] for s in own.values()) <= len(own) / 40 * 2

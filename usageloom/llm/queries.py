@@ -62,7 +62,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of nearly equal bytes, by a stored slot map."""
+    """All documents in 40 shards of nearly equal bytes, by a stored slot map.
+
+    The first version of the map deals all slots to 39 shards. Then a shard is
+    added: the second version is the stored first one with some slots moved, and
+    the documents lie where it says. ``first_shard`` is their shard before.
+    """
     text = F.coalesce("text", F.lit(""))
     keys = ["doc_id", "size", "text_crc32"]
     records = documents(spark, sf_dir).select(
@@ -73,11 +78,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = Stage(spark, "sharding").keep(records.withColumn("virtual_slot", sharding.slot_of(keys)))
     totals = sharding.slot_totals(staged)
     path = scratch_dir(spark, "slot-map")
-    sharding.save_map(spark, path, 1, sharding.first_map(totals, SHARDS))
-    placed = sharding.place(staged, sharding.load_map(spark, path, 1), keys)
-    return placed.select(
+    sharding.save_map(spark, path, 1, sharding.first_map(totals, SHARDS - 1))
+    first = sharding.load_map(spark, path, 1)
+    sharding.edit_map(spark, path, 1, totals, SHARDS)
+    placed = sharding.place(staged, sharding.load_map(spark, path, 2), keys)
+    before = F.broadcast(first.withColumnRenamed("shard", "first_shard"))
+    return placed.join(before, "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "first_shard",
     )
 
 

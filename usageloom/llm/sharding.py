@@ -98,6 +98,13 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
 
 
+def edit_map(spark: SparkSession, path: str, version: int, totals: list[tuple[int, int]], shards: int) -> int:
+    """Rebalance a stored version into the next one; returns its number. A map is a row per slot."""
+    stored = [tuple(row) for row in load_map(spark, path, version).collect()]
+    save_map(spark, path, version + 1, rebalance(sorted(stored), totals, shards))
+    return version + 1
+
+
 def place(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
     """Give each record its shard and its gapless place in the shard.
 
