@@ -169,3 +169,21 @@ def test_a_store_by_months_lists_only_the_months_of_a_report(spark, facts, tmp_p
     plan = ranged._jdf.queryExecution().executedPlan().toString()
     assert "year_month" in plan.split("PartitionFilters")[1].split("]")[0]
     assert ranged.count() == in_range(events, SPAN.start, SPAN.end, ZONE).count()
+
+
+def test_maps_hold_the_heaviest_values_and_rows_the_others(spark, facts):
+    """A free text with a value per event: maps stay short, and no count is lost."""
+    texts = F.when(F.col("input_tokens") % 2 == 0, "often").otherwise(F.concat(F.lit("v"), F.col("input_tokens").cast("string")))
+    events = spark.read.parquet(facts).withColumn("source_kind", texts)
+    grains = Grains(in_range(events, SPAN.start, SPAN.end, ZONE), LOCAL, (local_reports.TOOLS,))
+    full = {r.tool: r.source_kind for r in grains.value_maps("tools", local_reports.HISTOGRAMS).collect()}
+    heavy = {r.tool: r.source_kind for r in grains.value_maps("tools", local_reports.HISTOGRAMS, most=3).collect()}
+    beyond = local_reports.beyond_maps(grains, "tools", most=3).collect()
+    assert local_reports.beyond_maps(grains, "tools").count() == 0
+    for tool, counts in full.items():
+        order = sorted(counts, key=lambda v: (-counts[v], v))
+        assert heavy[tool] == {v: counts[v] for v in order[:3]}
+        assert {r.value: r.n for r in beyond if r.tool == tool and r.dimension == "source_kind"} == {v: counts[v] for v in order[3:]}
+    assert max(map(len, full.values())) > 100
+    plan = grains.value_maps("tools", local_reports.HISTOGRAMS, most=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -20,8 +20,9 @@ from usageloom.functions.texts import (
     is_known_tool,
     short_hash,
 )
-from usageloom.model import DEVICE, TEAM, TOKENS
+from usageloom.model import DEVICE, LOCAL, TEAM, TOKENS
 from usageloom.operators import decode, gate, idempotent, outbox, rank, registry, rollup, team_ingest
+from usageloom.operators.grains import Grains
 from usageloom.operators.series import carry_along
 from usageloom.plans import collector, documents, generations, jobs, local_reports, periods, registry_store, sessions, team_reports
 from usageloom.session import scratch_dir
@@ -1747,6 +1748,27 @@ def stream_closing_days(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query(
+    o.with_(
+        o.BASE, o.USAGE,
+        """counted AS (SELECT 'source_kind' AS dimension, tool, CASE WHEN source_kind='' THEN 'unknown' ELSE source_kind END AS value,
+    count(*) AS n FROM u GROUP BY ALL UNION ALL
+  SELECT 'source_quality', tool, CASE WHEN source_quality='' THEN 'unknown' ELSE source_quality END, count(*) FROM u GROUP BY ALL)""",
+    )
+    + "SELECT *, row_number() OVER (PARTITION BY dimension, tool ORDER BY n DESC, value) <= 1 AS in_map FROM counted"
+)
+def bounded_histograms(spark, sf_dir):
+    """Maps of the heaviest value per tool, here one, and all other values as rows."""
+    grains = Grains(_month(spark, sf_dir), LOCAL, (local_reports.TOOLS,))
+    maps = grains.value_maps("tools", local_reports.HISTOGRAMS, most=1)
+    rows = [
+        maps.select(F.lit(c).alias("dimension"), "tool", F.explode(c).alias("value", "n"), F.lit(True).alias("in_map"))
+        for c in local_reports.HISTOGRAMS
+    ]
+    beyond = local_reports.beyond_maps(grains, "tools", most=1).withColumn("in_map", F.lit(False))
+    return rows[0].unionByName(rows[1]).unionByName(beyond)
+
+
 @query(
     o.with_(o.BASE, o.UPLOADS)
     + """SELECT team_id, user_id, device_id, upload_time AS last_upload_at, gap AS upload_gap_seconds,

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageloom.functions.texts import or_unknown
@@ -26,6 +26,8 @@ from usageloom.model import Scope
 from usageloom.operators.rollup import ADDED, half_hours, session_grain, with_ratios
 
 Keep = Callable[..., DataFrame]
+#: Values in one map of a report; values beyond are given as rows.
+MAP_VALUES = 1000
 
 
 @dataclass(frozen=True)
@@ -183,16 +185,45 @@ class Grains:
         keys = self.section(name).keys
         return self._of(self.facets, name).withColumnsRenamed({self._key(k): k for k in keys})
 
-    def value_maps(self, name: str, dimensions: Sequence[str]) -> DataFrame:
-        """One sorted map of value to count per bucket and dimension; blank values are unknown."""
-        rows = self._facet_rows(name).groupBy(*self.section(name).keys, "dimension", "value").agg(F.expr("sum(n) AS n"))
-        return rows.groupBy(*self.section(name).keys).agg(
+    def value_counts(self, name: str, dimensions: Sequence[str]) -> DataFrame:
+        """(keys, dimension, value, n) of a section; blank values are unknown."""
+        rows = self._facet_rows(name).where(F.col("dimension").isin(*dimensions))
+        return rows.groupBy(*self.section(name).keys, "dimension", "value").agg(F.expr("sum(n) AS n"))
+
+    def _heavy(self, name: str, dimensions: Sequence[str], most: int) -> DataFrame:
+        """The ``most`` heaviest values per bucket and dimension, with their place; ties go by value.
+
+        The limit on the place is applied in every task before the shuffle, so a
+        bucket of a million values sends a few rows from each.
+        """
+        order = Window.partitionBy(*self.section(name).keys, "dimension").orderBy(F.desc("n"), F.asc("value"))
+        return self.value_counts(name, dimensions).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+
+    def value_maps(self, name: str, dimensions: Sequence[str], most: int = MAP_VALUES) -> DataFrame:
+        """One sorted map of value to count per bucket and dimension; blank values are unknown.
+
+        A map holds the ``most`` heaviest values with their exact counts;
+        ``values_beyond`` gives all others as rows.
+        """
+        return self._heavy(name, dimensions, most).groupBy(*self.section(name).keys).agg(
             *[
                 F.expr(f"map_from_entries(sort_array(collect_list(CASE WHEN dimension = '{c}' THEN struct(value, n) END))) AS {c}")
                 for c in dimensions
             ]
         )
 
+    def values_beyond(self, name: str, dimensions: Sequence[str], most: int = MAP_VALUES) -> DataFrame:
+        """(keys, dimension, value, n) of the values that the maps have no room for; none where all fit."""
+        keys = [*self.section(name).keys, "dimension"]
+        last = self._heavy(name, dimensions, most).where(F.col("_place") == most).drop("_place")
+        last = last.withColumnsRenamed({c: f"_last_{c}" for c in last.columns})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_last_{k}"))
+        after = (F.col("n") < F.col("_last_n")) | ((F.col("n") == F.col("_last_n")) & (F.col("value") > F.col("_last_value")))
+        rows = self.value_counts(name, dimensions)
+        return rows.join(last, same).where(after).select(*rows.columns)
+
     def value_lists(self, name: str, lists: Mapping[str, str]) -> DataFrame:
         """One sorted array of distinct values per bucket; ``lists`` maps a dimension to a column name.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.model import LOCAL, MAX_SESSION_PAGE, TOKENS
-from usageloom.operators.grains import Grains, Section
+from usageloom.operators.grains import MAP_VALUES, Grains, Section
 from usageloom.operators.rollup import METRICS, usage_rollup
 from usageloom.plans.compare import compare_by, compare_daily, compare_delta, compare_summary
 from usageloom.plans.periods import PeriodPair, Range, day_spine
@@ -71,6 +71,11 @@ def with_maps(grains: Grains, name: str) -> DataFrame:
     )
 
 
+def beyond_maps(grains: Grains, name: str, most: int = MAP_VALUES) -> DataFrame:
+    """Counts of the source values that a section's maps have no room for."""
+    return grains.values_beyond(name, HISTOGRAMS, most)
+
+
 def local_summary(events: DataFrame, grains: Grains | None = None) -> DataFrame:
     return with_maps(grains or _alone(events, SUMMARY), "summary")
 
