@@ -37,7 +37,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    """Keep one document of each group of near-duplicates, found by SimHash and by min-hashes beyond its radius.
+
+    Links are verified: a Jaccard similarity of 0.8 or more of five-word shingles.
+    """
     reachable(spark)
     return near_dedup.one_of_each(docs)
 
@@ -57,7 +60,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify_language),
     ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
+    ("simhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),
 ]

@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from cases import CLASHING, prose
-from usageloom.llm import near_dedup
+from usageloom.llm import near_dedup, simhash
 
 
 def plain_shingles(text):
@@ -73,6 +73,52 @@ def test_stage_finds_copies_that_fingerprints_miss(spark, make_docs):
     assert kept_ids(make_docs([base, copy, prose(12, 400)]), spark) == [0, 2]
 
 
+def counted_stars(monkeypatch):
+    """Comparisons with hubs: those of the fingerprint groups, then those of the buckets."""
+    seen = []
+    with_hubs = near_dedup.with_hubs
+
+    def counted(stars, sets, *rest):
+        seen.append(stars.count())
+        return with_hubs(stars, sets, *rest)
+
+    monkeypatch.setattr(near_dedup, "with_hubs", counted)
+    return seen
+
+
+def distance(a, b):
+    prints = [simhash.fingerprint(t.encode(), near_dedup.WORDS) for t in (a, b)]
+    return (prints[0] ^ prints[1]).bit_count()
+
+
+def test_fingerprints_find_copies_without_any_band(spark, make_docs, monkeypatch):
+    """The SimHash search links by itself, and what it brings together is verified."""
+    by_bands = near_dedup.by_bands
+    monkeypatch.setattr(near_dedup, "by_bands", lambda prints: by_bands(prints).limit(0))
+    seen = counted_stars(monkeypatch)
+    base, other = prose(21, 400), prose(22, 400)
+    copies = [base, base + " end", base.replace(" ", "\n", 3) + " fin", other, other + " end"]
+    # Repeats make fingerprints equal, though few different shingles are shared.
+    block = " ".join([prose(23, 31)] * 200)
+    alike = [block + " " + " ".join(f"{w}{i}" for i in range(60)) for w in "xy"]
+    assert distance(*alike) <= simhash.RADIUS
+    assert all(distance(a, b) <= simhash.RADIUS for a, b in [(copies[0], copies[1]), (copies[0], copies[2]), (copies[3], copies[4])])
+    a, b = map(plain_shingles, alike)
+    assert len(a & b) < 0.8 * len(a | b)
+    texts = list(enumerate([*copies, *alike, prose(24, 200)]))
+    assert kept_ids(make_docs(texts), spark) == plain_groups(texts) == [0, 3, 5, 6, 7]
+    assert seen == [4, 0]
+
+
+def test_buckets_that_fingerprints_joined_are_not_compared_again(spark, make_docs, monkeypatch):
+    seen = counted_stars(monkeypatch)
+    base = prose(25, 600)
+    close = [base, *[f"{base} end{i}" for i in range(20)]]
+    assert max(distance(base, t) for t in close) <= simhash.RADIUS
+    assert kept_ids(make_docs([*close, prose(26, 100)]), spark) == [0, 21]
+    assert seen == [20, 0]
+
+
 def template_texts(n, changed, seed=5):
     """Texts of one template with some words changed in each."""
     pick = random.Random(seed)

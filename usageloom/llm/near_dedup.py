@@ -1,15 +1,20 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-SimHash keys cannot carry this radius: at similarity 0.8 about 9 of 64 bits
-differ, and blocks that survive so many changes are too short to part a corpus.
-Candidates therefore come from min-hashes: texts that agree on every row of one
-of ``BANDS`` bands share a bucket, which a pair of similarity 0.8 misses with
-probability (1 - 0.8**ROWS)**BANDS, below 11 in a million, and a closer one more
-rarely. Every link is verified on the whole sets of shingles.
-
-Buckets link in two rounds, and pairs never become rows. First each member meets
-the hub of its bucket, the least member; the comparison also says which of the
-hub's shingles the member has and which it has besides. Members of a bucket share
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+Fingerprints of the shingles are searched by the bit-sliced comparison of
+``simhash``; texts whose fingerprints reach each other are a group, and its
+members are compared on the whole sets of shingles, so that only similar texts
+link. No radius that can be searched by bit blocks reaches similarity 0.8, where
+about 9 of 64 bits differ: blocks that survive so many changes are too short to
+part a corpus. Pairs further apart than the radius therefore meet by min-hashes.
+Texts that agree on every row of one of ``BANDS`` bands share a bucket, which a
+pair of similarity 0.8 misses with probability (1 - 0.8**ROWS)**BANDS, below 11
+in a million, and a closer one more rarely. A bucket whose members the
+fingerprints have all joined is not compared again. Every link, of either
+search, is verified on the whole sets of shingles.
+
+Groups link in two rounds, and pairs never become rows. First each member meets
+the hub of its group, the least member; the comparison also says which of the
+hub's shingles the member has and which it has besides. Members of a group share
 its hub, so every candidate pair lies in the group of one hub. Second, groups
 that still hold several components are compared whole: tile against tile inside
 a task, on bits of the hub's shingles and of those that members share besides,
@@ -19,7 +24,8 @@ the components are those of all candidates.
 
 Defined cases: a null text is empty; texts without a word are one group; a text
 of fewer words than a shingle is one shingle; texts of equal shingles are one
-node; null or repeated doc_ids take part row by row.
+node, which may have several fingerprints, since those count repeats; null or
+repeated doc_ids take part row by row.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 
 from usageloom.llm.arrays import bytes_of, column, give_back, tidy
 from usageloom.llm.components import components
-from usageloom.llm.simhash import shingle_hashes
+from usageloom.llm.simhash import RADIUS, folded, shingle_hashes, with_roots
 from usageloom.llm.staging import Stage, packed, unpacked
 
 #: Words of a shingle, and the Jaccard similarity of near-duplicates.
@@ -54,9 +60,14 @@ _FLIPS = _DRAW.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _FACTORS = _DRAW.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(hashes.astype(np.uint64))
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text, WORDS).astype(np.uint64))
+    return distinct(shingle_hashes(text, WORDS))
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -78,16 +89,18 @@ def _keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), least).alias("d"), F.xxhash64("text").alias("h")]
 
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """d, h (doc_id and a hash of the text), node (a hash of the shingles), their number and band keys."""
+def with_prints(docs: DataFrame) -> DataFrame:
+    """d, h (doc_id and a hash of the text), node (a hash of the shingles), their number, fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = bytes_of(column(batch, "text"))
             raw, cut = data.tobytes(), bounds.tolist()
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for a, b in zip(cut, cut[1:]):
-                own = shingles(raw[a:b])
+                hashes = shingle_hashes(raw[a:b], WORDS)
+                fps.append(folded(hashes))
+                own = distinct(hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 keys.append(bands(own))
@@ -95,13 +108,14 @@ def with_bands(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "d"), column(batch, "h"), pa.array(np.array(nodes, np.uint64).astype(np.int64)),
-                    pa.array(sizes, pa.int32()), pa.array(list(flat.reshape(-1, BANDS)), pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()),
+                    pa.array(list(flat.reshape(-1, BANDS)), pa.list_(pa.int64())),
                 ],
-                ["d", "h", "node", "size", "keys"],
+                ["d", "h", "node", "size", "fp", "keys"],
             )
 
     texts = docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(tidy(run), "d long, h long, node long, size int, keys array<long>")
+    return texts.mapInArrow(tidy(run), "d long, h long, node long, size int, fp long, keys array<long>")
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
@@ -251,23 +265,57 @@ def within_hubs(stars: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.select("v", "a", "b", "own", "u", "size", "comp", "has", "besides").groupBy("v", "a", "b").applyInArrow(run, "u long, v long")
 
 
+def by_fingerprints(stage: Stage, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Texts (node) whose fingerprints reach each other, with the least of them (hub)."""
+    classes = with_roots(stage, stage.keep(prints.select("fp").distinct()), radius)
+    rows = prints.select("node", "fp").distinct().join(classes, "fp").select("root", "node").distinct()
+    shared = rows.groupBy("root").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high")
+    return rows.join(shared.select("root", "hub"), "root").select("node", "hub").distinct()
+
+
+def by_bands(prints: DataFrame) -> DataFrame:
+    """Texts (node) that agree on a band t with key k, with the least of them (hub)."""
+    rows = prints.select("node", F.posexplode("keys").alias("t", "k"))
+    shared = rows.groupBy("t", "k").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high")
+    return rows.join(shared.select("t", "k", "hub"), ["t", "k"]).select("t", "k", "node", "hub").distinct()
+
+
+def still_apart(banded: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (node, hub) of the buckets that hold several components."""
+    known = banded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = known.groupBy("t", "k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return banded.join(several.select("t", "k"), ["t", "k"]).select("node", "hub").distinct()
+
+
+def rooted(stage: Stage, found: DataFrame) -> DataFrame:
+    """Linked nodes and their components (comp)."""
+    return components(stage, found).select("node", F.col("root").alias("comp"))
+
+
+def verified(stage: Stage, members: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The known links, and those (u, v) that join similar members (node) of each hub besides."""
+    pairs = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    stars = stage.keep(with_hubs(pairs, sets))
+    first = stars.where("near").select("u", "v")
+    if known is not None:
+        first = known.union(first)
+    return first.union(stage.keep(within_hubs(stars, rooted(stage, first))))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: d, h, node and root, the least node of its component."""
     stage = Stage(docs.sparkSession, "near-dedup")
-    prints = stage.keep(with_bands(docs))
-    rows = prints.select("node", "size", F.posexplode("keys").alias("t", "k"))
-    shared = rows.groupBy("t", "k").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high")
-    members = stage.keep(rows.join(shared.select("t", "k", "hub"), ["t", "k"]).distinct())
-    chosen = prints.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("d", "h")).alias("key"))
+    prints = stage.keep(with_prints(docs))
+    alike = stage.keep(by_fingerprints(stage, prints))
+    banded = stage.keep(by_bands(prints))
+    members = alike.select("node").union(banded.select("node")).distinct()
+    chosen = prints.join(members, "node").groupBy("node").agg(F.min(F.struct("d", "h")).alias("key"))
     texts = docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(chosen.select("key.*", "node"), ["d", "h"]).dropDuplicates(["node"]).select("node", "text")
     sets = stage.keep(with_shingles(found))
-    pairs = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = stage.keep(with_hubs(pairs, sets))
-    first = stars.where("near").select("u", "v")
-    comps = components(stage, first).select("node", F.col("root").alias("comp"))
-    second = stage.keep(within_hubs(stars, comps))
-    roots = components(stage, first.union(second))
+    close = verified(stage, alike, sets)
+    far = verified(stage, still_apart(banded, rooted(stage, close)), sets, close)
+    roots = components(stage, far)
     out = stage.keep(prints.select("d", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     stage.leave(out)
     return out.select("d", "h", "node", "root")

@@ -57,9 +57,8 @@ def shingle_hashes(text: bytes, size: int = WORDS) -> np.ndarray:
     return np.frombuffer(hashed, ">u8")
 
 
-def fingerprint(text: bytes, size: int = WORDS) -> int:
-    """A bit is 1 if it is set in more than half of the shingle hashes."""
-    hashes = shingle_hashes(text, size)
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if it is set in more than half of them."""
     ones = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), _SHINGLES):
         part = hashes[first : first + _SHINGLES].view(np.uint8).reshape(-1, 8)
@@ -67,6 +66,11 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: bytes, size: int = WORDS) -> int:
+    """The fingerprint of a text, from its word shingles."""
+    return folded(shingle_hashes(text, size))
+
+
 def with_fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, a hash of the text and the fingerprint (as signed longs) of each document."""
 
@@ -270,15 +274,18 @@ def links(stage: Stage, fingerprints: DataFrame, radius: int = RADIUS) -> DataFr
     )
 
 
+def with_roots(stage: Stage, fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of distinct fingerprints (fp) and the least fingerprint each reaches over links of the radius (root)."""
+    found = components(stage, links(stage, fingerprints.select("fp"), radius))
+    return fingerprints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, text_key, fp, its component's least fp (root) and least doc_id."""
     stage = Stage(docs.sparkSession, "simhash")
     prints = stage.keep(with_fingerprints(docs, size))
     nodes = stage.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(stage, links(stage, nodes.select("fp"), radius))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = with_roots(stage, nodes, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stage.keep(rooted.join(least, "root").select("fp", "root", "component_id"))
     stage.leave(prints, classes)
