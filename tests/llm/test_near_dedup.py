@@ -4,7 +4,9 @@ import numpy as np
 
 import corpus_pipeline
 from cases import CLASHING, prose
-from usageloom.llm import near_dedup, simhash
+from usageloom.llm import line_dedup, near_dedup, simhash
+from usageloom.llm.components import components
+from usageloom.llm.staging import Stage
 
 
 def plain_shingles(text):
@@ -186,3 +188,39 @@ def test_intersections_and_forest_equal_plain_sets():
         for b in range(a):
             if near_dedup.near_enough(want[a][b], sizes[a] + sizes[b] - want[a][b], 0.5):
                 assert root[a] == root[b]
+
+
+def broadcasts(spark, run):
+    """Broadcast tables in the final plans of the queries that a call runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = store.executionsList(before, store.executionsCount() - before)
+    plans = [rows.apply(i).physicalPlanDescription() for i in range(rows.size())]
+    assert len(plans) > 10
+    return sum(p.split("== Initial Plan ==")[0].split("\n\n")[0].count("BroadcastExchange") for p in plans)
+
+
+def test_small_joins_stay_off_the_driver(spark, make_docs):
+    """Many rounds over small tables: none of them is collected and held by the driver."""
+    base = prose(31, 200)
+    docs = make_docs([base, edited(base, 0.05, 1), edited(base, 0.1, 2), base + " end", prose(32, 200)])
+    found = []
+    assert broadcasts(spark, lambda: found.append(near_dedup.near_duplicates(docs))) == 0
+    assert found[0].select("root").distinct().count() == 2
+    # Line dedup broadcasts one short list of counts per suffix rank, no table of rows.
+    lines = make_docs([f"{base}\n{prose(33, 20)}\nown {n}" for n in range(3)])
+    assert broadcasts(spark, lambda: line_dedup.without_repeats(lines)) <= 4
+
+
+def test_known_components_take_one_round(spark):
+    stage = Stage(spark, "test")
+    path = spark.createDataFrame([(n + 1, n) for n in range(40)], "u long, v long")
+    found = stage.keep(components(stage, path))
+    assert sorted(map(tuple, found.collect())) == [(n, 0) for n in range(1, 41)]
+    kept = len(stage.kept)
+    again = components(stage, found.withColumnsRenamed({"node": "u", "root": "v"}))
+    assert sorted(map(tuple, again.collect())) == [(n, 0) for n in range(1, 41)]
+    assert len(stage.kept) == kept + 3

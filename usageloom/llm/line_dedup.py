@@ -143,7 +143,7 @@ def later_copies(stage: Stage, rows: DataFrame, min_words: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents, text without later copies of line runs, and removed_lines (an array)."""
-    stage = Stage(docs.sparkSession, "line-dedup")
+    stage = Stage(docs.sparkSession, "line-dedup", shuffled=True)
     rows = stage.keep(line_rows(docs, min_words).dropDuplicates(["d", "h", "seq"]))
     gone = later_copies(stage, rows, min_words)
     covered = gone.select("d", "h", F.explode(F.expr("sequence(seq, seq + n - 1)")).alias("seq")).distinct()

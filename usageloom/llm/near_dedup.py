@@ -292,19 +292,25 @@ def rooted(stage: Stage, found: DataFrame) -> DataFrame:
     return components(stage, found).select("node", F.col("root").alias("comp"))
 
 
+def as_links(comps: DataFrame) -> DataFrame:
+    """One link (u, v) per node to its component: enough to find the component again."""
+    return comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+
+
 def verified(stage: Stage, members: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The known links, and those (u, v) that join similar members (node) of each hub besides."""
+    """Components (node, comp) of the known ones and of the similar members (node) of each hub."""
     pairs = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     stars = stage.keep(with_hubs(pairs, sets))
     first = stars.where("near").select("u", "v")
     if known is not None:
-        first = known.union(first)
-    return first.union(stage.keep(within_hubs(stars, rooted(stage, first))))
+        first = as_links(known).union(first)
+    comps = rooted(stage, first)
+    return rooted(stage, as_links(comps).union(within_hubs(stars, comps)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: d, h, node and root, the least node of its component."""
-    stage = Stage(docs.sparkSession, "near-dedup")
+    stage = Stage(docs.sparkSession, "near-dedup", shuffled=True)
     prints = stage.keep(with_prints(docs))
     alike = stage.keep(by_fingerprints(stage, prints))
     banded = stage.keep(by_bands(prints))
@@ -314,9 +320,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = texts.join(chosen.select("key.*", "node"), ["d", "h"]).dropDuplicates(["node"]).select("node", "text")
     sets = stage.keep(with_shingles(found))
     close = verified(stage, alike, sets)
-    far = verified(stage, still_apart(banded, rooted(stage, close)), sets, close)
-    roots = components(stage, far)
-    out = stage.keep(prints.select("d", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    far = verified(stage, still_apart(banded, close), sets, close)
+    out = stage.keep(prints.select("d", "h", "node").join(far, "node", "left").withColumn("root", F.coalesce("comp", "node")))
     stage.leave(out)
     return out.select("d", "h", "node", "root")
 

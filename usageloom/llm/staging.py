@@ -7,21 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.session import scratch_dir
+from usageloom.session import scratch_dir, settings
 
 
 class Stage:
-    """Staged tables of one job; ``drop`` removes those that are no longer read."""
+    """Staged tables of one job; ``drop`` removes those that are no longer read.
 
-    def __init__(self, spark: SparkSession, job: str):
+    With ``shuffled`` joins of staged tables are broadcast only where the code
+    says so: a job of many short joins otherwise fills the driver, which collects
+    and holds every small side.
+    """
+
+    def __init__(self, spark: SparkSession, job: str, shuffled: bool = False):
         self.spark = spark
         self.root = scratch_dir(spark, job)
+        self.joins = {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.autoBroadcastJoinThreshold": -1} if shuffled else {}
         self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back: a lost executor costs no recomputation."""
         path = f"{self.root}/{len(self.kept)}"
-        df.write.parquet(path)
+        with settings(self.spark, self.joins):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept.append((out, path))
         return out
