@@ -16,10 +16,26 @@ from usageloom.llm import decontamination, language_id, line_dedup, near_dedup,
 from usageloom.llm.queries import VOCABULARY, reachable
 from usageloom.llm.staging import Stage
 
+#: What a task holds at once. All stages run in the same executors, whose memory
+#: keeps the size of the largest buffers they ever had: batches handed to Python,
+#: rows that a Parquet reader decodes at once, and the row group of a Parquet writer.
+BUFFERS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+    "parquet.block.size": 16 << 20,
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set the session up for a stage: as for any operator, but with smaller buffers."""
+    reachable(spark)
+    for key, value in BUFFERS.items():
+        spark.conf.set(key, value)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language; a missing lang is filled with the prediction."""
-    reachable(spark)
+    prepare(spark)
     model = language_id.fit_on(docs)
     rows = language_id.with_language(docs.select(F.struct("*").alias("doc"), "text"), model)
     kept = rows.where(F.col("lang_pred") != language_id.UNKNOWN)
@@ -29,7 +45,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of line runs; n_chars follows the text where lines went."""
-    reachable(spark)
+    prepare(spark)
     kept = line_dedup.without_repeats(docs.select(F.struct("*").alias("doc"), "doc_id", "text"))
     size = F.when(F.size("removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("doc.n_chars"))
     changed = {"text": F.col("text"), "n_chars": size.alias("n_chars")}
@@ -41,19 +57,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Links are verified: a Jaccard similarity of 0.8 or more of five-word shingles.
     """
-    reachable(spark)
+    prepare(spark)
     return near_dedup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
-    reachable(spark)
+    prepare(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents left, with their sequences and offsets."""
-    reachable(spark)
+    prepare(spark)
     return packing.pack_documents(docs, VOCABULARY)
 
 

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from usageloom.llm import line_dedup
@@ -90,3 +91,23 @@ def test_stages_keep_the_columns_of_documents(spark):
         out = function(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert 0 < out.count() <= docs.count()
+
+
+def test_stages_hold_little_at_once(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("plain words "), 17_000))
+    docs = spark.range(150).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    staged = corpus_pipeline.identify_language(spark, docs, SF).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+    # 200 kB a text: 30 MB in all.
+    assert max(r.rows for r in docs.coalesce(1).mapInArrow(sizes, "rows long").collect()) <= 11
+    staged.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/out")
+    (file,) = tmp_path.glob("out/part-*")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 1
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 150

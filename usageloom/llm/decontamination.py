@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.arrays import column, mix, slices
+from usageloom.llm.arrays import column, mix, slices, tidy
 from usageloom.llm.staging import packed, unpacked
 
 #: Tokens of a seed and of the shortest tile.
@@ -223,7 +223,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame
                     ]
                     yield part.set_column(index, "leaks", pa.array(found, kind))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out.select("row", "leaks")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.arrays import bytes_of, column, slices
+from usageloom.llm.arrays import bytes_of, column, slices, tidy
 from usageloom.llm.samples import labelled_sample
 from usageloom.llm.staging import packed, unpacked
 
@@ -171,4 +171,4 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     letters = F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" ")).alias("letters")
     rows = packed(docs, known, letters)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return unpacked(rows.mapInArrow(run, schema), "lang_pred", "score")
+    return unpacked(rows.mapInArrow(tidy(run), schema), "lang_pred", "score")

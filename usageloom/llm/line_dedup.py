@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.arrays import bytes_of, column, slices
+from usageloom.llm.arrays import bytes_of, column, slices, tidy
 from usageloom.llm.staging import Stage, ordered_ranks, packed, unpacked
 from usageloom.llm.textstats import Words, lines
 
@@ -88,7 +88,7 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 )
 
     texts = docs.select(*_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, _LINES)
+    return texts.mapInArrow(tidy(run), _LINES)
 
 
 def suffix_ranks(stage: Stage, rows: DataFrame, longest: int) -> list[DataFrame]:
@@ -172,4 +172,4 @@ def _cut(rows: DataFrame) -> DataFrame:
             yield batch.set_column(index, "text", pa.array(texts, batch.schema.field(index).type))
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, removed_lines array<int>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

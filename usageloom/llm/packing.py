@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usageloom.llm.arrays import column, slices
+from usageloom.llm.arrays import column, slices, tidy
 from usageloom.llm.staging import Stage
 
 CAPACITY = 4096
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     texts = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
