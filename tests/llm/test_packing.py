@@ -1,7 +1,9 @@
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from usageloom.llm import packing
@@ -16,6 +18,33 @@ def test_ids_equal_the_tokenizer(odd_texts):
         assert got == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_of_all_latin_pairs_and_of_cut_columns_equal_the_tokenizer():
+    whole = Tokenizer.from_file(PATH)
+    texts = [f"x{chr(a)}{chr(b)}'S{chr(b)} 1" for a in range(257) for b in range(257)]
+    texts += ["<|ENDOFTEXT|>", "x<|startoftext|>'ll", "", " \t"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert packing.token_bytes(PATH, texts) == want
+    for first, rows in ((5, 1000), (len(texts) - 2, 2), (3, 0)):
+        for kind in (pa.string(), pa.large_string()):
+            cut = pa.array(texts, kind).slice(first, rows)
+            assert packing.token_bytes(PATH, cut) == want[first : first + rows]
+
+
+def test_new_words_of_known_parts_take_no_python_calls():
+    parts = [f"{a}{b}" for a in "bdgklmnprt" for b in ("a", "e", "ou", "I")]
+    words = [f"{a}{mark}{b}" for a in parts for b in parts for mark in ".,;:-!?/()"]
+    packing.token_bytes(PATH, [" ".join(parts), " ".join(words[:10])])
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(event))
+    try:
+        (got,) = packing.token_bytes(PATH, [" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words) / 10
+    whole = Tokenizer.from_file(PATH)
+    assert got == np.array(whole.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pieces_fill_sequences_without_gaps(make_docs, odd_texts):
     docs = make_docs(odd_texts, clash=True)
     rows = packing.pack_documents(docs, PATH).collect()

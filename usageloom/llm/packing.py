@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,15 @@ CAPACITY = 4096
 END = 1
 #: Pieces packed together by one task.
 GROUP_PIECES = 1 << 15
-#: A worker keeps the token ids of about so many distinct words, and of those used before them.
-CACHE_WORDS = 500_000
+#: A worker keeps the token ids of about so many distinct parts of words, and of those used before them.
+CACHE_PARTS = 500_000
+#: Bytes of text cut into words at once.
+TEXT_BYTES = 8 << 20
 
-#: Characters that str.split() takes for white space and the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Latin-1 text is its own composed form.
-_LATIN = re.compile("[\x00-\xff]*").fullmatch
+#: Characters that are not Latin-1, whose text is its own composed form, or may be white space beyond ASCII's.
+_ODD = r"[^\x{00}-\x{1b}\x{20}-\x{84}\x{86}-\x{9f}\x{a1}-\x{ff}]"
+#: Leads a word that is encoded whole; no word holds white space.
+_WHOLE = "\n"
 
 _workers: dict[str, WordEncoder] = {}
 
@@ -49,71 +52,79 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 class WordEncoder:
-    """Ids of white-space separated words; each distinct word is encoded once.
+    """Ids of the words between ASCII white space, a batch of texts at a time.
 
     The tokenizer lower-cases, splits by a pattern that never spans white space
-    and merges each part by itself. Words of Latin-1 characters take these three
-    steps directly, with the tokenizer's own pattern, byte letters and merge
-    model; words with other characters or with special tokens go through the
-    whole tokenizer.
+    and merges each part by itself. Arrow cuts texts into words and their distinct
+    words into parts, by the tokenizer's own pattern; only distinct parts are merged,
+    with the tokenizer's byte letters and merge model. That holds for words of
+    Latin-1 characters; words with other characters, odd white space or special
+    tokens are one part that goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         split = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.pattern = f"({split['pattern']['Regex']})"
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # Printable ASCII stands for itself.
         self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        special = (re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
+        self.odd = "|".join((_ODD, *special))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return _as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        if word.isalpha() and _LATIN(word):
-            split = (word.lower(),)
-        elif not _LATIN(word) or any(s in word for s in self.special):
-            return self.encode(word)
-        else:
-            split = self.split(word.lower())
-        out = []
-        for part in split:
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.older[1].get(part)
-                if ids is None:
-                    plain = part.isascii() and part.isprintable()
-                    ids = _as_bytes([t.id for t in self.merge(part if plain else part.translate(self.letters))])
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def _part(self, part: str) -> bytes:
+        if part.startswith(_WHOLE):
+            return self.encode(part[1:])
+        plain = part.isascii() and part.isprintable()
+        return _as_bytes([t.id for t in self.merge(part if plain else part.translate(self.letters))])
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PARTS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for part in parts:
+            if part not in known:
+                ids = older.get(part)
+                known[part] = self._part(part) if ids is None else ids
+        return list(map(known.__getitem__, parts))
+
+    def _parts(self, words: pa.Array) -> pa.ListArray:
+        """The parts of each word; empty ones may be among them."""
+        odd = pc.match_substring_regex(words, self.odd)
+        parts = pc.utf8_lower(words)
+        cut = pc.invert(pc.or_(odd, pc.utf8_is_alpha(words)))
+        parts = pc.replace_with_mask(parts, cut, pc.replace_substring_regex(parts.filter(cut), self.pattern, "\\1 "))
+        whole = words.filter(odd)
+        marks = pa.array([_WHOLE], whole.type).take(pa.array(np.zeros(len(whole), np.int32)))
+        parts = pc.replace_with_mask(parts, odd, pc.binary_join_element_wise(marks, whole, pa.scalar("", whole.type)))
+        return pc.split_pattern(parts, " ")
+
+    def _words(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of each word."""
+        parts = self._parts(words)
+        each = parts.flatten().dictionary_encode()
+        ids = self._ids(each.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        ids = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4")).take(each.indices)
+        return pa.LargeListArray.from_arrays(ids.offsets.take(parts.offsets), ids.flatten())
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [None if _ODD_SPACE.search(text) else text.split() for text in texts]
-        fresh: set[str] = set()
-        for own in words:
-            if own:
-                fresh.update(own)
-        if len(self.words) > CACHE_WORDS:
-            self.older = (self.words, self.parts)
-            self.words, self.parts = {}, {}
-        known, older = self.words, self.older[0]
-        for word in fresh:
-            if word not in known:
-                ids = older.get(word)
-                known[word] = self._word(word) if ids is None else ids
-        get = known.__getitem__
-        return [self.encode(text) if own is None else b"".join(map(get, own)) for text, own in zip(texts, words)]
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        ids = self._words(each.dictionary).take(each.indices)
+        ends = (4 * ids.offsets.to_numpy()[words.offsets.to_numpy()]).tolist()
+        raw = ids.flatten().to_numpy().view(np.uint8)
+        return [raw[first:last].tobytes() for first, last in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -123,8 +134,8 @@ def encoder(path: str) -> WordEncoder:
     return _workers[path]
 
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    return encoder(path).texts(texts)
+def token_bytes(path: str, texts: list[str] | pa.Array) -> list[bytes]:
+    return encoder(path).texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -135,10 +146,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 rows: list[list] = [[], [], [], [], [], []]
                 ids, keys = column(part, "doc_id").to_pylist(), column(part, "text_key").to_pylist()
-                for doc, key, raw in zip(ids, keys, token_bytes(tokenizer_path, column(part, "text").to_pylist())):
+                for doc, key, raw in zip(ids, keys, token_bytes(tokenizer_path, column(part, "text"))):
                     raw += end
                     for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[at : at + 4 * capacity]
