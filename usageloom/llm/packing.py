@@ -69,7 +69,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         split = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]
-        self.pattern = f"({split['pattern']['Regex']})"
+        self.pattern = split["pattern"]["Regex"]
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # Printable ASCII stands for itself.
         self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
@@ -90,19 +90,19 @@ class WordEncoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PARTS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for part in parts:
-            if part not in known:
-                ids = older.get(part)
-                known[part] = self._part(part) if ids is None else ids
-        return list(map(known.__getitem__, parts))
+        found = list(map(self.known.get, parts))
+        for at, part in enumerate(parts):
+            if found[at] is None:
+                ids = self.older.get(part)
+                self.known[part] = found[at] = self._part(part) if ids is None else ids
+        return found
 
     def _parts(self, words: pa.Array) -> pa.ListArray:
         """The parts of each word; empty ones may be among them."""
         odd = pc.match_substring_regex(words, self.odd)
         parts = pc.utf8_lower(words)
         cut = pc.invert(pc.or_(odd, pc.utf8_is_alpha(words)))
-        parts = pc.replace_with_mask(parts, cut, pc.replace_substring_regex(parts.filter(cut), self.pattern, "\\1 "))
+        parts = pc.replace_with_mask(parts, cut, pc.replace_substring_regex(parts.filter(cut), self.pattern, "\\0 "))
         whole = words.filter(odd)
         marks = pa.array([_WHOLE], whole.type).take(pa.array(np.zeros(len(whole), np.int32)))
         parts = pc.replace_with_mask(parts, odd, pc.binary_join_element_wise(marks, whole, pa.scalar("", whole.type)))
