@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +98,8 @@ class WordEncoder:
 
     def _parts(self, words: pa.Array) -> pa.ListArray:
         """The parts of each word; empty ones may be among them."""
+        import pyarrow.compute as pc
+
         odd = pc.match_substring_regex(words, self.odd)
         parts = pc.utf8_lower(words)
         cut = pc.invert(pc.or_(odd, pc.utf8_is_alpha(words)))
@@ -119,6 +120,9 @@ class WordEncoder:
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        # Imported by workers alone: the driver does without it.
+        import pyarrow.compute as pc
+
         words = pc.ascii_split_whitespace(texts)
         each = words.flatten().dictionary_encode()
         ids = self._words(each.dictionary).take(each.indices)
