@@ -1,5 +1,6 @@
 """Reports of many sections read their events once."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -187,3 +188,79 @@ def test_maps_hold_the_heaviest_values_and_rows_the_others(spark, facts):
     assert max(map(len, full.values())) > 100
     plan = grains.value_maps("tools", local_reports.HISTOGRAMS, most=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def odd_events(spark):
+    """Nulls in every session column, users with several devices, equal starts, sessions over midnight and half hours."""
+    rows = [
+        row(
+            f"2026-05-{1 + i % 3:02d}T{(23, 0, 15)[i % 3]:02d}:{i * 17 % 60:02d}:00", f"k{i}", session=f"s{i % 11}", tool=("codex", "claude-code")[i % 2],
+            model=f"m{i % 3}", tokens=(i, i // 3, i % 7, i % 2, i + i % 7), user=f"u{i % 4}",
+        )
+        for i in range(240)
+    ]
+    n = F.col("input_tokens")
+    return team_rows(spark, *rows).withColumns(
+        {
+            "team_id": F.when(n % 10 != 0, F.concat(F.lit("t"), (n % 2).cast("string"))),
+            "user_id": F.when(n % 13 != 0, F.col("user_id")),
+            "device_id": F.when(n % 17 != 0, F.concat(F.lit("d"), (n % 5).cast("string"))),
+            "session_id": F.when(n % 19 != 0, F.col("session_id")),
+            "model": F.when(n % 23 != 0, F.col("model")),
+            "source_kind": F.when(n % 3 == 0, "a"),
+        }
+    )
+
+
+def test_sections_together_count_and_name_buckets_as_alone(spark):
+    once = odd_events(spark)
+    events = once.unionByName(once.where("input_tokens % 6 = 0").withColumns({"event_key": F.lit("again"), "source_kind": F.lit("b")}))
+    events = events.withColumn("early", F.col("local_date") < "2026-05-03")
+    also = {**team_reports.FIRST_DEVICE, **team_reports.FIRST_USER, **team_reports.LAST_TEAM}
+    sections = (
+        Section("summary", facets=("source_kind",)), Section("early", ("team_id", "user_id"), "early"), Section("early_models", ("model",), "early"),
+        *[Section(f"by{i}", k) for i, k in enumerate(
+            [("team_id", "user_id"), ("team_id", "device_id"), ("model",), (*TEAM.session, "tool"), ("local_date", "team_id", "user_id", "tool", "model")]
+        )],
+    )
+    grains = Grains(events, TEAM, sections, ("early",), also, documents._kept(spark))
+    for s in sections:
+        alone = Grains(events.where(s.where), TEAM, (Section(s.name, s.keys),), also=also).rollup(s.name)
+        together = grains.rollup(s.name)
+        assert [(f.name, f.dataType) for f in together.schema] == [(f.name, f.dataType) for f in alone.schema]
+        assert sorted(map(str, together.collect())) == sorted(map(str, alone.collect())), s.name
+
+
+@pytest.mark.parametrize("report", ["local", "team"])
+def test_half_hours_are_dealt_to_sections_after_their_last_shuffle(spark, facts, names, uploads, monkeypatch, report):
+    """Dealt before, every section's rows of every event would lie in shuffle files, twice."""
+    staged = recorded(monkeypatch)
+    every = spark.read.parquet(facts)
+    if report == "local":
+        documents.local_report(spark, every, SPAN, WEEK, ZONE)
+    else:
+        documents.team_report(spark, every, names, uploads, SPAN, WEEK, datetime(2026, 5, 18), ZONE)
+    rollups = next(df for p, df in staged if p == "rollups")
+    plan = rollups._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [line.split("(")[0] for line in plan[next(i for i, line in enumerate(plan) if " Window " in line):]]
+    kinds = [kind for line in below for kind in ("Generate", "Exchange") if f" {kind} " in f"{line} "]
+    assert kinds == ["Generate", "Exchange", "Exchange"]
+
+
+def shuffle_files(spark):
+    every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in every.split("\n") if "/shuffle_" in f}
+
+
+def test_shuffle_files_of_a_staged_job_go_with_it(spark, facts):
+    keep = documents._kept(spark)
+    counts = spark.read.parquet(facts).groupBy("model", "tool").count()
+    want = sorted(map(str, counts.collect()))
+    before = shuffle_files(spark)
+    kept = [keep(counts, "counts"), keep(counts, "counts", "tool")]
+    until = time.time() + 30
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)  # executors drop them shortly after the job
+    assert not shuffle_files(spark) - before
+    for df in kept:
+        assert sorted(map(str, df.select(*counts.columns).collect())) == want

@@ -1171,7 +1171,7 @@ _HEALTH = """(SELECT device_id, CASE WHEN status<>'ok' THEN 'error' WHEN gap>720
 )
 def team_report_rows(spark, sf_dir):
     """The whole team report as JSON rows, each read back."""
-    uploads = _uploads(spark, sf_dir)
+    uploads = jobs.stage(spark, _uploads(spark, sf_dir), "uploads")
     last = uploads.agg(F.max(F.unix_seconds("upload_time"))).first()[0]
     report = documents.team_report(
         spark, d.usage(spark, sf_dir), _registry(spark, sf_dir), uploads, SPAN, WEEK,

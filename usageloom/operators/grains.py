@@ -7,6 +7,13 @@ in, as one row per section with that section's keys, and all sections go through
 the stages of the metric layer together: the section is a column of the keys.
 Values to list or count per bucket (``facets``) come from the base the same way.
 
+Rows are dealt where they shuffle no more. Calls become half hours of sessions at
+the finest keys of all sections, and those are shuffled once by session. A bucket
+of a session then lies in one task whatever its keys, so half hours are dealt to
+the different *cuts* of a session (sections that differ in session columns alone
+share one) and summed to sessions without another shuffle. Sessions are dealt to
+sections last, and summed per section and key on the map side.
+
 A report run passes a ``keep`` that stages the base, the rollups and the facets;
 the two results are written in one folder per section, so a section reads its
 own rows only. Without ``keep`` everything is one plan, in which both results
@@ -23,9 +30,11 @@ from pyspark.sql import functions as F
 
 from usageloom.functions.texts import or_unknown
 from usageloom.model import Scope
-from usageloom.operators.rollup import ADDED, half_hours, session_grain, with_ratios
+from usageloom.operators.rollup import ADDED, SLOT, half_hours, session_grain, with_ratios
 
 Keep = Callable[..., DataFrame]
+#: How the session is chosen that names a bucket: the least or greatest of an instant.
+ENDS = {"first": ("min", "started_at"), "last": ("max", "ended_at")}
 #: Values in one map of a report; values beyond are given as rows.
 MAP_VALUES = 1000
 
@@ -52,15 +61,16 @@ def _names(*groups: Sequence[str]) -> list[str]:
 class Grains:
     """Rollups and facets of several sections of the same events.
 
-    ``flags`` are columns that conditions of sections read; ``also`` are
-    SQL aggregates over session rows, computed for every bucket.
+    ``flags`` are columns that conditions of sections read; ``also`` names
+    session columns whose value every bucket gets from one of its sessions, the
+    one that started first or ended last; ties go by the value.
     """
 
     events: DataFrame
     scope: Scope
     sections: tuple[Section, ...]
     flags: tuple[str, ...] = ()
-    also: Mapping[str, str] = field(default_factory=dict)
+    also: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     keep: Keep = _unstaged
     _made: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
@@ -130,18 +140,117 @@ class Grains:
         columns = _names(self.scope.call, keys, self.flags)
         if set(calls.columns) > {*columns, "usage_event_count"}:
             # Facets split calls further; here a call is one row again.
+            if not self._single:
+                # One shuffle by session and half hour serves calls and half hours.
+                calls = calls.withColumn("_slot", F.expr(SLOT))
+                calls = calls.repartition(*_names(self.scope.session, keys, self.flags, ["_slot"]))
+                columns.append("_slot")
             calls = calls.groupBy(*columns).agg(F.expr("sum(usage_event_count) AS usage_event_count"))
-        group = self._group(keys)
-        sessions = session_grain(half_hours(self._dealt(calls, self.sections, False), group, self.scope), group, self.scope)
-        return sessions.groupBy(*group).agg(
+        if not self._single:
+            return self._summed(self._shared_sessions(calls, keys), keys)
+        sessions = session_grain(half_hours(calls, keys, self.scope), keys, self.scope)
+        return sessions.groupBy(*keys).agg(
             *[F.expr(f"coalesce(sum(_{c}), 0L) AS {c}") for c in ADDED],
             F.expr("count(*) AS sessions"),
             F.expr("coalesce(sum(_active), 0L) AS active_seconds"),
             F.expr("min(started_at) AS started_at"),
             F.expr("max(ended_at) AS ended_at"),
             *[F.count_distinct(c).alias(name) for c, name in self.scope.counted],
-            *[F.expr(sql).alias(name) for name, sql in self.also.items()],
+            *[F.expr(f"{ENDS[end][0]}_by({c}, struct({ENDS[end][1]}, {c})) AS {name}") for name, (end, c) in self.also.items()],
+        )
+
+    def _cut(self, section: Section) -> tuple[str, tuple[str, ...]]:
+        """What a section cuts sessions by: its condition, and its keys that are no session columns."""
+        return section.where, tuple(k for k in section.keys if k not in self.scope.session)
+
+    @property
+    def _cuts(self) -> list[tuple[str, tuple[str, ...]]]:
+        return list(dict.fromkeys(map(self._cut, self.sections)))
+
+    def _shared_sessions(self, calls: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """One row per session of every cut, its keys as ``_cut_…``; sections that share a cut share its rows.
+
+        Half hours are summed before they are shuffled by session, so a hot session
+        still costs one task its half hours, not its events. The number of
+        partitions is stated: rows multiply after this shuffle, so its size must not
+        decide how many of them one task takes.
+        """
+        session = list(self.scope.session)
+        own = [k for k in keys if k not in session]
+        slots = half_hours(calls, _names(own, self.flags), self.scope)
+        parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        types = {f.name: f.dataType for f in slots.schema.fields}
+        shares = []
+        for place, (where, cut) in enumerate(self._cuts):
+            by = [(F.col(k) if k in cut else F.lit(None).cast(types[k])).alias(f"_cut_{k}") for k in own]
+            shares.append(F.when(F.expr(where), F.struct(F.lit(place).alias("_cut"), *by)))
+        summed = [f"_{c}" for c in ADDED]
+        dealt = slots.repartition(parts, *session).select(
+            *session, "_slot", *summed, "started_at", "ended_at",
+            F.inline(F.filter(F.array(*shares), lambda x: x.isNotNull())),
+        )
+        group = ["_cut", *[f"_cut_{k}" for k in own]]
+        whole = dealt.groupBy(*group, *session, "_slot").agg(
+            *[F.expr(f"sum({c}) AS {c}") for c in summed],
+            F.expr("min(started_at) AS started_at"),
+            F.expr("max(ended_at) AS ended_at"),
+        )
+        return session_grain(whole, group, self.scope)
+
+    def _told(self, section: Section) -> list[str]:
+        """Columns whose values a bucket counts or is named by, but for its keys, which it has once."""
+        told = _names([c for c, _ in self.scope.counted], [c for _, c in self.also.values()])
+        return [c for c in told if c not in section.keys]
+
+    def _dealt_sessions(self, sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Rows of sessions per section: sums, and the values of the told columns as (``_of``, ``_who``).
+
+        A section that has one such column has it in the rows with the sums. With
+        more of them each has rows of its own, which are not ``_whole``: they count
+        in no sum.
+        """
+        types = {f.name: f.dataType for f in sessions.schema.fields}
+        at = lambda k: k if k in self.scope.session else f"_cut_{k}"
+        nobody = (F.lit(None).cast("string"), F.lit(None).cast("string"), True)
+        rows = F.lit(None)
+        for place, cut in enumerate(self._cuts):
+            shares = []
+            for s in (s for s in self.sections if self._cut(s) == cut):
+                own = [(F.col(at(k)) if k in s.keys else F.lit(None).cast(types[at(k)])).alias(self._key(k)) for k in keys]
+                told = [(F.lit(c), F.col(c), len(self._told(s)) == 1) for c in self._told(s)]
+                for of, who, whole in told if len(told) == 1 else [nobody, *told]:
+                    shares.append(F.struct(F.lit(s.name).alias("section"), *own, of.alias("_of"), who.alias("_who"), F.lit(whole).alias("_whole")))
+            rows = F.when(F.col("_cut") == place, F.array(*shares)).otherwise(rows)
+        return sessions.select(*[f"_{c}" for c in ADDED], "_active", "started_at", "ended_at", F.inline(rows))
+
+    def _summed(self, sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Sums of every bucket, first per told value, then over them: a value counts once."""
+        group = self._group(keys)
+        rows = self._dealt_sessions(sessions, keys)
+        added = {**{f"_{c}": c for c in ADDED}, "_sessions": "sessions", "_active": "active_seconds"}
+        parts = rows.withColumn("_sessions", F.lit(1).cast("bigint"))
+        told = _names(*map(self._told, self.sections))
+        if told:
+            parts = parts.groupBy(*group, "_of", "_who").agg(
+                *[F.expr(f"sum(CASE WHEN _whole THEN {c} END) AS {c}") for c in added],
+                F.expr("min(started_at) AS started_at"),
+                F.expr("max(ended_at) AS ended_at"),
+            )
+        sums = parts.groupBy(*group).agg(
+            *[F.expr(f"coalesce(sum({c}), 0L) AS {name}") for c, name in added.items()],
+            F.expr("min(started_at) AS started_at"),
+            F.expr("max(ended_at) AS ended_at"),
+            *[F.expr(f"count_if(_of = '{c}' AND _who IS NOT NULL) AS {name}") for c, name in self.scope.counted],
+            *[
+                F.expr(f"{ENDS[end][0]}(CASE WHEN _of = '{c}' THEN struct({ENDS[end][1]}, _who) END)._who AS {name}")
+                for name, (end, c) in self.also.items()
+            ],
         )
+        keyed = lambda c: F.col("section").isin([s.name for s in self.sections if c in s.keys])
+        once = {name: F.col(self._key(c)).isNotNull().cast("bigint") for c, name in self.scope.counted if c in keys}
+        same = {name: F.col(self._key(c)) for name, (_, c) in self.also.items() if c in keys}
+        of = {**{name: c for c, name in self.scope.counted}, **{name: c for name, (_, c) in self.also.items()}}
+        return sums.withColumns({name: F.when(keyed(of[name]), value).otherwise(F.col(name)) for name, value in {**once, **same}.items()})
 
     @property
     def facets(self) -> DataFrame:

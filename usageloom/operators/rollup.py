@@ -59,9 +59,13 @@ def call_grain(events: DataFrame, keys: Sequence[str], scope: Scope) -> DataFram
     )
 
 
+#: The aligned half hour of a call, as wide as the longest counted gap.
+SLOT = f"CAST(floor(unix_seconds(event_ts) / {ACTIVE_GAP_SECONDS}) AS bigint)"
+
+
 def half_hours(calls: DataFrame, keys: Sequence[str], scope: Scope) -> DataFrame:
-    """One row per session and aligned half hour, as wide as the longest counted gap."""
-    slot = F.expr(f"CAST(floor(unix_seconds(event_ts) / {ACTIVE_GAP_SECONDS}) AS bigint) AS _slot")
+    """One row per session and aligned half hour; calls may carry theirs as ``_slot``."""
+    slot = F.col("_slot") if "_slot" in calls.columns else F.expr(SLOT).alias("_slot")
     return calls.groupBy(*_names(keys, scope.session), slot).agg(
         *[F.expr(f"sum({t} * usage_event_count) AS _{t}") for t in TOKENS],
         F.expr(

@@ -16,7 +16,7 @@ from usageloom.operators.grains import Grains, Keep, Section
 from usageloom.plans import local_reports, team_reports
 from usageloom.plans.compare import compare_daily, compare_delta, compare_summary, day_index, largest_changes
 from usageloom.plans.periods import PeriodPair, Range, period_of
-from usageloom.session import scratch_dir, stage
+from usageloom.session import scratch_dir, settings, stage
 from usageloom.sources.facts import in_range, match
 
 # Decimal places of printed ratios and averages.
@@ -115,15 +115,23 @@ def report_document(
     return summary.select(F.to_json(F.struct(bounds.alias("range"), head, *gathered)).alias("document"))
 
 
+_CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def _kept(spark: SparkSession) -> Keep:
-    """Stage the tables of one report run; results by section, in a folder each."""
+    """Stage the tables of one report run; results by section, in a folder each.
+
+    Shuffle files of a job go when its table is written, so those of one job do not
+    lie beside those of the next.
+    """
 
     def keep(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
-        if by is None:
-            return stage(spark, df, purpose)
-        path = scratch_dir(spark, purpose)
-        df.write.partitionBy(by).parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        with settings(spark, _CLEANED):
+            if by is None:
+                return stage(spark, df, purpose)
+            path = scratch_dir(spark, purpose)
+            df.write.partitionBy(by).parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
     return keep
 
@@ -153,7 +161,7 @@ def _report_grains(
     scope: Scope,
     sections: Sequence[Section],
     compared: Mapping[str, tuple[str, ...]],
-    also: Mapping[str, str] | None = None,
+    also: Mapping[str, tuple[str, str]] | None = None,
 ) -> Grains:
     """Sections over the range and comparisons over the periods, from one scan of the events."""
     whole = [replace(s, where=_IN_SPAN) for s in sections]

@@ -51,12 +51,12 @@ TEAM_MODELS = Section("team_models", ("local_date", "team_id", "user_id", "tool"
 COMPARE_USERS = Section("compare_users", ("period", "team_id", "user_id"))
 
 #: What buckets are named by: device and user of the session that started first, team of the one that ended last.
-FIRST_DEVICE = {"_first_device": "min_by(device_id, struct(started_at, device_id))"}
-FIRST_USER = {"_first_user": "min_by(user_id, struct(started_at, user_id))"}
-LAST_TEAM = {"_last_team": "max_by(team_id, struct(ended_at, team_id))"}
+FIRST_DEVICE = {"_first_device": ("first", "device_id")}
+FIRST_USER = {"_first_user": ("first", "user_id")}
+LAST_TEAM = {"_last_team": ("last", "team_id")}
 
 
-def _alone(events: DataFrame, section: Section, also: Mapping[str, str] | None = None) -> Grains:
+def _alone(events: DataFrame, section: Section, also: Mapping[str, tuple[str, str]] | None = None) -> Grains:
     return Grains(events, TEAM, (section,), also=also or {})
 
 
