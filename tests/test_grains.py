@@ -264,3 +264,15 @@ def test_shuffle_files_of_a_staged_job_go_with_it(spark, facts):
     assert not shuffle_files(spark) - before
     for df in kept:
         assert sorted(map(str, df.select(*counts.columns).collect())) == want
+
+
+def test_sessions_of_a_device_are_summed_together_unless_it_has_many_calls(spark):
+    hot = [row(f"2026-05-01T{i % 24:02d}:00:00", f"h{i}", session=f"h{i % 40}", user="hot", tokens=(i, 0, 1, 0, i + 1)) for i in range(160)]
+    rest = [row(f"2026-05-02T{i % 24:02d}:00:00", f"r{i}", session=f"r{i}", user=f"u{i % 10}", tokens=(i, 0, 1, 0, i + 1)) for i in range(30)]
+    sections = (Section("users", ("team_id", "user_id", "device_id")), Section("models", ("model",)))
+    grains = Grains(team_rows(spark, *hot, *rest), TEAM, sections, keep=documents._kept(spark))
+    by = grains.base.withColumn("place", grains._place(["team_id", "user_id", "device_id", "model"], 8)).groupBy("user_id")
+    places = {r.user_id: (r.n, r.sessions) for r in by.agg(F.count_distinct("place").alias("n"), F.count_distinct("session_id").alias("sessions")).collect()}
+    assert places.pop("hot") == (40, 40)
+    assert len(places) == 10 and set(places.values()) == {(1, 3)}
+    assert {r.user_id: r.sessions for r in grains.rollup("users").collect()} == {"hot": 40, **dict.fromkeys(places, 3)}

@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usageloom.functions.texts import or_unknown
@@ -175,7 +175,7 @@ class Grains:
         partitions is stated: rows multiply after this shuffle, so its size must not
         decide how many of them one task takes.
         """
-        session = list(self.scope.session)
+        session = [*self.scope.session, "_place"]
         own = [k for k in keys if k not in session]
         slots = half_hours(calls, _names(own, self.flags), self.scope)
         parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -185,7 +185,7 @@ class Grains:
             by = [(F.col(k) if k in cut else F.lit(None).cast(types[k])).alias(f"_cut_{k}") for k in own]
             shares.append(F.when(F.expr(where), F.struct(F.lit(place).alias("_cut"), *by)))
         summed = [f"_{c}" for c in ADDED]
-        dealt = slots.repartition(parts, *session).select(
+        dealt = slots.withColumn("_place", self._place(keys, parts)).repartition(parts, "_place").select(
             *session, "_slot", *summed, "started_at", "ended_at",
             F.inline(F.filter(F.array(*shares), lambda x: x.isNotNull())),
         )
@@ -195,7 +195,21 @@ class Grains:
             F.expr("min(started_at) AS started_at"),
             F.expr("max(ended_at) AS ended_at"),
         )
-        return session_grain(whole, group, self.scope)
+        return session_grain(whole, [*group, "_place"], self.scope)
+
+    def _place(self, keys: Sequence[str], parts: int) -> Column:
+        """Where a session is summed: beside others of its device and user, so that their buckets meet before the next shuffle.
+
+        Those with more calls than a partition has on average are spread by session;
+        there are fewer of them than partitions. Their calls are counted on the staged base.
+        """
+        session = self.scope.session
+        near, alone = [c for c in session if c in keys], F.xxhash64(*session)
+        if self.keep is _unstaged or len(near) in (0, len(session)):
+            return alone
+        beside, most = F.xxhash64(*near), self.base.count() // parts
+        heavy = self.base.groupBy(beside.alias("_near")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+        return F.when(beside.isin([r._near for r in heavy]), alone).otherwise(beside)
 
     def _told(self, section: Section) -> list[str]:
         """Columns whose values a bucket counts or is named by, but for its keys, which it has once."""
